@@ -34,6 +34,13 @@ AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
     "nunique": lambda c, _: F.count_distinct(c),
 }
 
+# What the number of rows and of non-null values tell about the null indicator of a column.
+NULL_COUNTS: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda rows, valid: rows - valid,
+    "min": lambda _, valid: (valid == 0).cast("int"),
+    "max": lambda rows, valid: (valid < rows).cast("int"),
+}
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -82,6 +89,8 @@ def feature_catalog(numeric: Sequence[str], categorical: Sequence[str]) -> list[
 
 def _aggregate(feature: Feature, spec: PanelSpec) -> Column:
     column, order = F.col(feature.column), F.col(spec.index)
+    if feature.prefix == "null" and feature.aggregate in NULL_COUNTS:
+        return NULL_COUNTS[feature.aggregate](F.count(F.lit(1)), F.count(column))
     if feature.prefix == "recent":
         column = from_order(column, order, spec.recent_from)
     elif feature.prefix == "null":

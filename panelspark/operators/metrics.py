@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.losses import FocalLoss, log_loss
 from panelspark.functions.numeric import sigmoid
 from panelspark.operators.ranking import average_rank, running_total, tie_groups
+from panelspark.operators.skew import join_totals
 
 # Fixed values of the metric.
 NEGATIVE_WEIGHT = 20
@@ -47,11 +48,11 @@ def rank_metrics(df: DataFrame, label: str, score: str, id_col: str, partition_b
     parts = list(partition_by)
     curve = weight_curve(df, label, score, id_col, parts)
     totals = curve.groupBy(*parts).agg(
-        F.sum("weight").alias("__w"), F.sum(F.col(label).cast("long")).alias("__p")
+        F.sum("weight").alias("__w"), F.count(F.lit(1)).alias("__rows")
     )
     limit = F.floor(F.lit(CAPTURE_SHARE) * F.col("__w"))
     if parts:
-        limited = curve.join(totals.select(*parts, limit.alias("__limit")), parts, "inner")
+        limited = join_totals(curve, totals.select(*parts, "__rows", limit.alias("__limit")), parts, "__rows")
     else:
         limited = curve.withColumn("__limit", totals.select(limit).scalar())
     weight = F.col("weight").cast("double")

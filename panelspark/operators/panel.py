@@ -18,6 +18,7 @@ from panelspark.operators.skew import attach_group_values, group_values
 
 LAST_INDEX = 13
 SPLIT = "split"
+MAX_PERIODS = 10_000
 
 
 def date_parts(df: DataFrame, ts: str) -> DataFrame:
@@ -71,12 +72,15 @@ def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
 def period_grid(panel: DataFrame, id_col: str, index: str = "ind", periods: Sequence[int] | None = None) -> DataFrame:
     """Every customer with every period, by exploding one array of periods per customer.
 
-    Without ``periods`` the distinct periods of the panel are used. They are as many as the
-    calendar has, so the array is one small value, read through a scalar subquery.
+    Without ``periods`` the distinct periods of the panel are used, read as one array through a
+    scalar subquery. The calendar bounds them; a column with more than ``MAX_PERIODS`` values is
+    no period index and fails the job.
     """
     if periods is None:
-        observed = panel.agg(F.sort_array(F.collect_set(index)).alias("periods"))
-        slots = observed.scalar()
+        distinct = panel.select(index).dropna().distinct().limit(MAX_PERIODS + 1)
+        observed = F.sort_array(F.collect_list(index))
+        too_many = F.raise_error(F.lit(f"{index} has more than {MAX_PERIODS} distinct periods"))
+        slots = distinct.agg(F.when(F.size(observed) <= MAX_PERIODS, observed).otherwise(too_many)).scalar()
     else:
         slots = F.array(*[F.lit(int(p)) for p in periods])
     return distinct_keys(panel, id_col).select(id_col, F.explode(slots).alias(index))

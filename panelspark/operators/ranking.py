@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.skew import attach_group_values
+from panelspark.operators.skew import attach_group_values, join_totals, present
 from panelspark.session import checkpoint_frame
 
 _BUCKET = "__bucket"
@@ -28,7 +28,8 @@ def running_total(
     groups that continue from an earlier bucket need a shift: at most one per bucket, so the
     broadcast carry table never exceeds the number of shuffle partitions.
 
-    The order columns must not be null. Select the needed columns first; all are checkpointed.
+    ``partition_by`` values must not be null. Select the needed columns first; all are
+    checkpointed.
     """
     parts = list(partition_by)
     inputs = {f"__in_{name}": value for name, value in totals.items()}
@@ -76,7 +77,7 @@ def tie_groups(
     Ties collapse in the partial aggregation, so a score shared by most rows costs nothing.
     """
     counted = (
-        df.filter(F.col(score).isNotNull())
+        present(df, [*partition_by, score])
         .groupBy(*partition_by, score)
         .agg(F.count(F.lit(1)).alias("ties"), *[s.alias(n) for n, s in sums.items()])
     )
@@ -96,8 +97,8 @@ def percent_rank(
     parts = list(partition_by)
     groups = tie_groups(df, score, parts)
     if parts:
-        sizes = groups.groupBy(*parts).agg(F.sum("ties").alias("__n"))
-        groups = groups.join(sizes, parts, "inner")
+        sizes = groups.groupBy(*parts).agg(F.sum("ties").alias("__n"), F.count(F.lit(1)).alias("__scores"))
+        groups = join_totals(groups, sizes, parts, "__scores")
     else:
         groups = groups.withColumn("__n", groups.agg(F.sum("ties").alias("n")).scalar())
     ranks = groups.select(*parts, score, "ties", (average_rank() / F.col("__n")).alias(name))

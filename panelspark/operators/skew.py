@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HEAVY_GROUPS = 256
 SALTS = 1 << 20
+BROADCAST_ROWS = 10_000
 
 
 def attach_group_values(
@@ -28,14 +29,16 @@ def attach_group_values(
     """
     keys = list(keys)
     values = [c for c in groups.columns if c not in keys]
-    # A filter on the aggregate keeps both branches on the same shuffle, so it is computed once.
+    # Both branches read the size, so they need the same shuffle, which is computed once.
     sized = groups.filter(F.col(size) > 0)
     heavy = (
         sized.orderBy(F.desc(size), *keys)
         .limit(heavy_groups)
         .select(*keys, F.struct(*values).alias("__heavy"))
     )
-    light = sized.select(*keys, F.struct(*values).alias("__light"), F.lit(0).alias("__salt"))
+    # Always 0, but not a literal: the optimizer would take a literal out of the join keys.
+    no_salt = (F.col(size) < 0).cast("int").alias("__salt")
+    light = sized.select(*keys, F.struct(*values).alias("__light"), no_salt)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int") + 1
     missing_key = F.lit(False)
     for k in keys:
@@ -50,8 +53,27 @@ def attach_group_values(
     )
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null in the columns, as plain conditions that reach the scan and joins recognize."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def group_values(rows: DataFrame, keys: Sequence[str], size: str, **values: Column) -> DataFrame:
-    """One row per group with its row count; the partial aggregation absorbs hot groups."""
-    return rows.groupBy(*keys).agg(
+    """One row per group with non-null keys and its row count; partial aggregation absorbs hot groups."""
+    return present(rows, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias(size), *[value.alias(name) for name, value in values.items()]
     )
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Inner join of per-group totals, unique on ``keys`` and holding every group of ``rows``.
+
+    Groups such as folds or models are few and each has a large share of the rows, so their
+    totals are broadcast if a count finds at most ``BROADCAST_ROWS`` of them. Otherwise the
+    join is the skew-safe one.
+    """
+    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(totals), list(keys), "inner")
+    return attach_group_values(present(rows, keys), totals, keys, size)

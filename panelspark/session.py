@@ -6,7 +6,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Generated methods above 8000 bytes of bytecode are never compiled by HotSpot. With the limit,
+# Spark leaves whole-stage code for such a stage and splits its expressions into small methods,
+# which is many times faster for long CASE chains and wide aggregations.
 SESSION_DEFAULTS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
