@@ -223,14 +223,10 @@ def rank_blend(spark, sf_dir):
 
 
 @R.query(
-    f"""WITH {SCORED_LABELS}, once AS (SELECT *, 0.5e0 * {pct_sql('s1')} + 0.5e0 * {pct_sql('s2')} AS b FROM scored),
-    rounded AS (SELECT *, round(b, 12) AS b12 FROM once)
-    SELECT doc_id, {rounded_sql(f"0.95e0 * {pct_sql('b12')} + 0.05e0 * {pct_sql('s3')}", 9)} AS prediction FROM rounded"""
+    f"""WITH {SCORED_LABELS}, once AS (SELECT *, 0.5e0 * {pct_sql('s1')} + 0.5e0 * {pct_sql('s2')} AS b FROM scored)
+    SELECT doc_id, {rounded_sql(f"0.95e0 * {pct_sql('b')} + 0.05e0 * {pct_sql('s3')}", 9)} AS prediction FROM once"""
 )
 def rank_blend_chain(spark, sf_dir):
     models = _models(spark, sf_dir)
-    # Ranking float sums again: rounding makes their ties independent of the order of addition.
-    first = B.rank_blend_chain(models["s1"], [(models["s2"], 0.5)], "doc_id")
-    first = first.withColumn("prediction", F.round("prediction", 12))
-    blended = B.rank_blend_chain(first, [(models["s3"], 0.05)], "doc_id")
+    blended = B.rank_blend_chain(models["s1"], [(models["s2"], 0.5), (models["s3"], 0.05)], "doc_id")
     return blended.withColumn("prediction", rounded("prediction", 9))

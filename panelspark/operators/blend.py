@@ -43,13 +43,15 @@ def rank_blend(
         [df.select(id_col, score, F.lit(name).alias("__model")) for name, df in models.items()],
     )
     ranked = percent_rank(stacked, score, "__rank", ["__model"])
-    weight = F
-    for name, value in weights.items():
-        weight = weight.when(F.col("__model") == name, F.lit(float(value)))
-    blended = ranked.groupBy(id_col).agg(
-        F.sum(F.col("__rank") * weight).alias(score), F.count("__rank").alias("__models")
+    # One column per model, then a sum in model order: adding up rows in the order they arrive
+    # would let equal blends differ in the last bit, and a later ranking would part them.
+    columns = {name: f"__rank{i}" for i, name in enumerate(weights)}
+    by_id = ranked.groupBy(id_col).agg(
+        *[F.max(F.when(F.col("__model") == name, F.col("__rank"))).alias(c) for name, c in columns.items()]
     )
-    return blended.filter(F.col("__models") == len(models)).drop("__models")
+    terms = [F.lit(float(weights[name])) * F.col(c) for name, c in columns.items()]
+    blended = by_id.select(id_col, reduce(lambda a, b: a + b, terms).alias(score))
+    return blended.filter(F.col(score).isNotNull())
 
 
 def rank_blend_chain(
