@@ -18,16 +18,16 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.cleaning import null_indicator
 from panelspark.functions.losses import FocalLoss, log_loss
 from panelspark.functions.numeric import nan_to_null, sigmoid
 from panelspark.operators.folds import SEED
 from panelspark.operators.metrics import rank_metrics
-from panelspark.operators.panel import LAST_INDEX, sequence_pivot
+from panelspark.operators.panel import LAST_INDEX
 from panelspark.session import checkpoint_frame
 
 FINITE_BOUND = 1e12
 MIN_HESSIAN = 1e-6
+WORD_BITS = 62
 
 
 def feature_vectors(
@@ -194,21 +194,28 @@ def null_sequences(
     index: str = "ind",
     periods: Sequence[int] = range(1, LAST_INDEX + 1),
 ) -> DataFrame:
-    """Per customer one 0/1 column per (column, period) slot.
+    """Per customer one 0/1 column ``{column}_{period}`` for every slot.
 
     ``value`` marks nulls of existing statements, so absent statements count 0; ``statement``
-    marks the absent statements themselves. Slots are conditional aggregates: the dense grid
-    is implied and never built.
+    marks the absent statements themselves. The slots of a column are the bits of one bit-or,
+    so the dense grid is implied and never built.
     """
-    if variant == "value":
-        flags = panel.select(id_col, index, *[null_indicator(c).alias(c) for c in columns])
-        slots = sequence_pivot(flags, id_col, columns, index, periods)
-        return slots.select(id_col, *[F.coalesce(c, F.lit(0)).alias(c) for c in slots.columns if c != id_col])
-    if variant != "statement":
+    if variant not in ("value", "statement"):
         raise ValueError(f"variant must be 'value' or 'statement', not {variant!r}")
-    flags = panel.select(id_col, index, F.lit(1).alias("statement"))
-    slots = sequence_pivot(flags, id_col, ["statement"], index, periods)
-    return slots.select(id_col, *[F.when(F.col(c).isNull(), 1).otherwise(0).alias(c) for c in slots.columns if c != id_col])
+    marked = {c: F.col(c).isNull() for c in columns} if variant == "value" else {"statement": F.lit(True)}
+    words = [list(periods)[i : i + WORD_BITS] for i in range(0, len(periods), WORD_BITS)]
+    masks, slots = [], []
+    for c, mark in marked.items():
+        for i, word in enumerate(words):
+            bit = F
+            for position, p in enumerate(word):
+                bit = bit.when(F.col(index) == p, F.lit(1 << position).cast("long"))
+            name = f"__{c}_{i}"
+            masks.append(F.coalesce(F.bit_or(F.when(mark, bit)), F.lit(0)).alias(name))
+            for position, p in enumerate(word):
+                is_set = F.col(name).bitwiseAND(F.lit(1 << position).cast("long")) != 0
+                slots.append((is_set if variant == "value" else ~is_set).cast("int").alias(f"{c}_{p}"))
+    return panel.groupBy(id_col).agg(*masks).select(id_col, *slots)
 
 
 def null_sequence_stack(

@@ -10,52 +10,48 @@ from pyspark.sql import functions as F
 from panelspark.functions.cleaning import GRID_WIDTH, snap_grid
 
 
-def _any(condition: Column) -> Column:
-    return F.coalesce(F.max(condition), F.lit(False))
-
-
-def _near(c: Column, point: float) -> Column:
-    """Next to the snap range of ``point`` but outside it, on either side."""
-    below = (c >= point - GRID_WIDTH) & (c < point)
-    above = (c > point + GRID_WIDTH) & (c <= point + 2 * GRID_WIDTH)
-    return below | above
+# Facts about a column, one bit each.
+HAS_ZERO, NOISY_ZERO, NEAR_ZERO, HAS_ONE, NOISY_ONE, NEAR_ONE, OTHER = (1 << i for i in range(7))
+
+
+def _facts(c: Column) -> Column:
+    """What one value says about its column. ``NEAR`` is next to a snap range, on either side."""
+    w = GRID_WIDTH
+    far = (c < -w) | (c > 1 + 2 * w) | ((c > 2 * w) & (c < 1 - w))
+    return (
+        F.when(c.isNull(), 0)
+        .when(far, OTHER)
+        .when(c < 0, OTHER | NEAR_ZERO)
+        .when(c == 0, HAS_ZERO)
+        .when(c <= w, HAS_ZERO | NOISY_ZERO)
+        .when(c <= 2 * w, OTHER | NEAR_ZERO)
+        .when(c < 1, OTHER | NEAR_ONE)
+        .when(c == 1, HAS_ONE)
+        .when(c <= 1 + w, HAS_ONE | NOISY_ONE)
+        .otherwise(OTHER | NEAR_ONE)
+    )
 
 
 def noise_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with a struct per column: ``zero`` and ``one`` (snap there), ``binary`` (collapse).
 
     A point is snapped if the range above it is inhabited and its surroundings are empty. A
-    column is binary if nothing but 0 and 1 is left afterwards.
+    column is binary if nothing but 0 and 1 is left afterwards. All columns are profiled in one
+    pass, with a single bit-or each.
     """
-    facts = []
-    for name in columns:
-        c = F.col(name)
-        at_zero, at_one = c.between(0.0, GRID_WIDTH), c.between(1.0, 1.0 + GRID_WIDTH)
-        facts.append(
-            F.struct(
-                _any(at_zero).alias("has_zero"),
-                _any(_near(c, 0.0)).alias("near_zero"),
-                _any(at_zero & (c != 0.0)).alias("noisy_zero"),
-                _any(at_one).alias("has_one"),
-                _any(_near(c, 1.0)).alias("near_one"),
-                _any(at_one & (c != 1.0)).alias("noisy_one"),
-                _any(~(at_zero | at_one)).alias("other"),
-            ).alias(name)
-        )
-    flags = df.agg(*facts)
+    facts = df.agg(*[F.coalesce(F.bit_or(_facts(F.col(c))), F.lit(0)).alias(c) for c in columns])
     verdicts = []
     for name in columns:
-        f = F.col(name)
-        zero = f["has_zero"] & ~f["near_zero"]
-        one = f["has_one"] & ~f["near_one"]
-        binary = (
-            (f["has_zero"] | f["has_one"])
-            & ~f["other"]
-            & (zero | ~f["noisy_zero"])
-            & (one | ~f["noisy_one"])
-        )
+
+        def has(bits: int) -> Column:
+            return F.col(name).bitwiseAND(F.lit(bits)) != 0
+
+        zero = has(HAS_ZERO) & ~has(NEAR_ZERO)
+        one = has(HAS_ONE) & ~has(NEAR_ONE)
+        only_points = has(HAS_ZERO | HAS_ONE) & ~has(OTHER)
+        binary = only_points & (zero | ~has(NOISY_ZERO)) & (one | ~has(NOISY_ONE))
         verdicts.append(F.struct(zero.alias("zero"), one.alias("one"), binary.alias("binary")).alias(name))
-    return flags.select(*verdicts)
+    return facts.select(*verdicts)
 
 
 def _with_profile(df: DataFrame, columns: Sequence[str], profile: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ def definition(y, s, ids):
     def area(order):
         label = y[order]
         weight = np.where(label == 0, 20.0, 1.0)
-        lorentz = np.cumsum(label * weight) / np.sum(label * weight)
-        return np.sum((lorentz - np.cumsum(weight / weight.sum())) * weight)
+        found = np.cumsum(label) / label.sum()
+        expected = np.cumsum(weight) / weight.sum()
+        return np.dot(found - expected, weight)
 
     by_score = np.lexsort((-ids, -s))
     label = y[by_score]
