@@ -241,7 +241,7 @@ def cent_sql(x: str) -> str:
 @R.query(f"SELECT c_custkey, {cent_sql('(c_acctbal / 3)')} AS bal FROM customer")
 def floor_to_cent(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    return customer.select("c_custkey", cleaning.floor_to_cent(F.col("c_acctbal") / 3).alias("bal"))
+    return customer.select("c_custkey", cleaning.floor_to_cent("(c_acctbal / 3)").alias("bal"))
 
 
 @R.query(f"WITH {LINEITEM}, o AS (SELECT {KEY_SQL}, {ordinal_sql('disc', 0.01)} AS ord FROM li) "

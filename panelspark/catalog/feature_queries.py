@@ -141,7 +141,7 @@ _LAGS = ", ".join(f"{rounded_sql(_sql_reference(c, 'lag'), DIGITS)} AS {c}_lag"
 
 @R.query(f"WITH {ORDERS_PANEL} SELECT id, {_LAGS} FROM panel GROUP BY id")
 def agg_lag_last(spark, sf_dir):
-    lags = [rounded(last_valid_before(c, "ind", 13), DIGITS).alias(f"{c}_lag") for c in NUMERIC]
+    lags = [rounded(F.expr(last_valid_before(c, "ind", 13)), DIGITS).alias(f"{c}_lag") for c in NUMERIC]
     return orders_panel(spark, sf_dir).groupBy("id").agg(*lags)
 
 

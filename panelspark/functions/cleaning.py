@@ -107,9 +107,12 @@ def dict_encode(column: Column | str, codes: Mapping[str, int], null_code: int |
     return branches.otherwise(unknown)
 
 
-def floor_to_cent(column: Column | str) -> Column:
-    """Round down to hundredths, with the remainder-based floor division of NumPy."""
-    return floor_divide(column, 0.01) / F.lit(100.0)
+def floor_to_cent(x: str) -> Column:
+    """Round down to hundredths, with the remainder-based floor division of NumPy.
+
+    ``x`` is a column name or SQL text.
+    """
+    return F.expr(f"{floor_divide(x, 0.01)} / 100D")
 
 
 def sentinel_null(column: Column | str, sentinel: float = -1) -> Column:

@@ -18,28 +18,41 @@ def nan_to_null(column: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def floor_divide(column: Column | str, divisor: float) -> Column:
-    """Floor division of doubles for a positive divisor, exact where ``floor(x / y)`` is not."""
-    x, y = as_column(column), F.lit(float(divisor))
-    remainder = x % y
-    quotient = (x - remainder) / y - F.when(remainder < 0, 1.0).otherwise(0.0)
-    floored = F.floor(quotient).cast("double")
-    return floored + F.when(quotient - floored > 0.5, 1.0).otherwise(0.0)
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def safe_ratio(numerator: Column | str, denominator: Column | str, on_zero: str = "ieee") -> Column:
-    """Division that never raises.
+def floor_divide(x: str, divisor: float) -> str:
+    """Floor division of doubles for a positive divisor, exact where ``floor(x / y)`` is not.
+
+    Takes and gives SQL text. The quotient is whole up to rounding once the remainder is taken
+    off; a negative remainder costs one more step down.
+    """
+    y = f"{float(divisor)!r}D"
+    quotient = f"(({x} - {x} % {y}) / {y} - IF({x} % {y} < 0, 1, 0))"
+    return f"(floor({quotient}) + IF({quotient} - floor({quotient}) > 0.5D, 1D, 0D))"
+
+
+def ratio(numerator: str, denominator: str, on_zero: str = "ieee") -> str:
+    """SQL text of a division that never raises.
 
     ``ieee``: x/0 is an infinity with the sign of x and 0/0 is NULL; ``null``: both are NULL.
     """
-    n, d = as_column(numerator).cast("double"), as_column(denominator).cast("double")
-    quotient = n / F.nullif(d, F.lit(0.0))
+    quotient = f"CAST({numerator} AS DOUBLE) / nullif({denominator}, 0)"
     if on_zero == "null":
         return quotient
     if on_zero != "ieee":
         raise ValueError(f"on_zero must be 'ieee' or 'null', not {on_zero!r}")
-    infinity = F.lit(float("inf"))
-    return F.when((d == 0) & (n > 0), infinity).when((d == 0) & (n < 0), -infinity).otherwise(quotient)
+    return (
+        f"CASE WHEN {denominator} = 0 AND {numerator} > 0 THEN DOUBLE('Infinity') "
+        f"WHEN {denominator} = 0 AND {numerator} < 0 THEN DOUBLE('-Infinity') ELSE {quotient} END"
+    )
+
+
+def safe_ratio(numerator: str, denominator: str, on_zero: str = "ieee") -> Column:
+    """``ratio`` of two columns given by name."""
+    return F.expr(ratio(quoted(numerator), quoted(denominator), on_zero))
 
 
 def row_max(columns: list[Column]) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.aggregates import first_valid, last_valid
-from panelspark.functions.numeric import nan_to_null, row_max, row_mean, row_min, safe_ratio
+from panelspark.functions.numeric import nan_to_null, quoted, row_max, row_mean, row_min, safe_ratio
+from panelspark.operators.panel import unfold
 
 # Pair name -> minuend and subtrahend. The ratio of the min_max pair is inverted.
 PAIRS = {
@@ -27,31 +28,19 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     A zero deviation counts as 1. Nulls are ignored.
     """
-    sums = df.agg(
-        *[F.avg(c).alias(f"mu_{c}") for c in columns], *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns]
-    )
-    return sums.select(
-        *[
-            F.struct(
-                F.col(f"mu_{c}").alias("mu"),
-                F.when(F.col(f"sd_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"sd_{c}")).alias("sd"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
+    names = [quoted(c) for c in columns]
+    fits = [
+        f"struct(avg({c}) AS mu, IF(stddev_pop({c}) = 0, 1D, stddev_pop({c})) AS sd) AS {c}" for c in names
+    ]
+    return df.agg(*[F.expr(fit) for fit in fits])
 
 
 def standardize(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale columns with a fitted scaler, read as a one-row scalar subquery."""
     fitted = df.withColumn("__scaler", scaler.select(F.struct(*columns)).scalar())
-    scale = {c: (F.col(c) - F.col("__scaler")[c]["mu"]) / F.col("__scaler")[c]["sd"] for c in columns}
-    return fitted.withColumns(scale).drop("__scaler")
-
-
-def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, feature, value) rows. A generator, unlike ``unpivot``, keeps the partitioning."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(*keys, F.inline(cells))
+    chosen = set(columns)
+    scaled = "({c} - __scaler.{c}.mu) / __scaler.{c}.sd AS {c}"
+    return fitted.selectExpr(*[scaled.format(c=quoted(c)) if c in chosen else quoted(c) for c in df.columns])
 
 
 def _pair(kind: str, pair: str) -> Column:
@@ -77,18 +66,17 @@ def self_distances(
     statistics instead of to every row. The scaler has one row per column and is broadcast.
     """
     by_customer = panel.select(id_col, index, *columns).repartition(id_col)
-    cells = _long(by_customer, [id_col, index], columns)
-    raw = cells.groupBy(id_col, "feature").agg(
-        first_valid("value", index).alias("first"),
-        last_valid("value", index).alias("last"),
+    cells = unfold(by_customer, [id_col, index], columns)
+    raw = cells.groupBy(id_col, "column").agg(
+        F.expr(first_valid("value", quoted(index))).alias("first"),
+        F.expr(last_valid("value", quoted(index))).alias("last"),
         F.avg("value").alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    scales = scaler.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["mu"], F.col(c)["sd"]) for c in columns]))
-    ).toDF("feature", "mu", "sd")
-    scaled = raw.join(F.broadcast(scales), "feature").select(
+    positions = ", ".join(f"struct({i} AS column, {quoted(c)}.mu, {quoted(c)}.sd)" for i, c in enumerate(columns))
+    scales = scaler.selectExpr(f"inline(array({positions}))").toDF("column", "mu", "sd")
+    scaled = raw.join(F.broadcast(scales), "column").select(
         id_col, *[((F.col(s) - F.col("mu")) / F.col("sd")).alias(s) for s in STATISTICS]
     )
     pairs = scaled.select(id_col, *[_pair(k, p).alias(f"{p}_{k}") for k in kinds for p in PAIRS])

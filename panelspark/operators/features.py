@@ -1,44 +1,43 @@
 """Per-customer aggregate features over a panel, named ``{column}_{prefix}{aggregate}``.
 
-All families of a column batch come out of one aggregation. Contrasts, i.e. differences and
-ratios against the last value, are projections over it, named
-``{column}_last_{reference}_{type}``.
+All families come out of one aggregation. Contrasts, i.e. differences and ratios against the
+last value, are projections over it, named ``{column}_last_{reference}_{type}``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.aggregates import first_valid, from_order, last_valid, last_valid_before
-from panelspark.functions.cleaning import floor_to_cent, null_indicator
-from panelspark.functions.numeric import safe_ratio
-from panelspark.operators.panel import LAST_INDEX, exact_lag_diff
+from panelspark.functions.cleaning import floor_to_cent
+from panelspark.functions.numeric import quoted, ratio
+from panelspark.operators.panel import LAST_INDEX, exact_lag_diff, unfold
+from panelspark.operators.skew import present
 
 RECENT_FROM = 10
-BATCH_COLUMNS = 50
-
-AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
-    "last": last_valid,
-    "first": first_valid,
-    "mean": lambda c, _: F.avg(c),
-    "min": lambda c, _: F.min(c),
-    "max": lambda c, _: F.max(c),
-    "std": lambda c, _: F.stddev_samp(c),
-    "sum": lambda c, _: F.sum(c),
-    "count": lambda c, _: F.count(c),
-    "nunique": lambda c, _: F.count_distinct(c),
+NUMERIC_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+# Aggregates of a column that need no order.
+PLAIN_AGGREGATES = {
+    "mean": "avg({c})",
+    "min": "min({c})",
+    "max": "max({c})",
+    "std": "stddev_samp({c})",
+    "sum": "sum({c})",
+    "count": "count({c})",
+    "nunique": "count(DISTINCT {c})",
 }
 
 # What the number of rows and of non-null values tell about the null indicator of a column.
-NULL_COUNTS: dict[str, Callable[[Column, Column], Column]] = {
-    "sum": lambda rows, valid: rows - valid,
-    "min": lambda _, valid: (valid == 0).cast("int"),
-    "max": lambda rows, valid: (valid < rows).cast("int"),
+NULL_AGGREGATES = {
+    "sum": "count(1) - count({c})",
+    "min": "CAST(count({c}) = 0 AS INT)",
+    "max": "CAST(count({c}) < count(1) AS INT)",
 }
 
 
@@ -53,10 +52,14 @@ class Feature:
     kind: str | None = None
 
     @property
-    def name(self) -> str:
+    def suffix(self) -> str:
         if self.reference is None:
-            return f"{self.column}_{self.prefix}{self.aggregate}"
-        return f"{self.column}_{self.aggregate}_{self.reference}_{self.kind}"
+            return f"{self.prefix}{self.aggregate}"
+        return f"{self.aggregate}_{self.reference}_{self.kind}"
+
+    @property
+    def name(self) -> str:
+        return f"{self.column}_{self.suffix}"
 
 
 @dataclass(frozen=True)
@@ -87,61 +90,102 @@ def feature_catalog(numeric: Sequence[str], categorical: Sequence[str]) -> list[
     return features
 
 
-def _aggregate(feature: Feature, spec: PanelSpec) -> Column:
-    column, order = F.col(feature.column), F.col(spec.index)
-    if feature.prefix == "null" and feature.aggregate in NULL_COUNTS:
-        return NULL_COUNTS[feature.aggregate](F.count(F.lit(1)), F.count(column))
-    if feature.prefix == "recent":
+def _aggregate(feature: Feature, spec: PanelSpec) -> str:
+    column, order = quoted(feature.column), quoted(spec.index)
+    if feature.prefix == "null":
+        if feature.aggregate in NULL_AGGREGATES:
+            return NULL_AGGREGATES[feature.aggregate].format(c=column)
+        column = f"CAST({column} IS NULL AS INT)"
+    elif feature.prefix == "recent":
         column = from_order(column, order, spec.recent_from)
-    elif feature.prefix == "null":
-        column = null_indicator(column)
     elif feature.prefix == "diff":
-        column = F.col(f"{feature.column}_diff")
-    return AGGREGATES[feature.aggregate](column, order)
+        column = quoted(f"{feature.column}_diff")
+    if feature.aggregate == "last":
+        return last_valid(column, order)
+    if feature.aggregate == "first":
+        return first_valid(column, order)
+    return PLAIN_AGGREGATES[feature.aggregate].format(c=column)
 
 
-def _reference(column: str, reference: str, spec: PanelSpec) -> Column:
-    if reference == "lag":
-        return last_valid_before(column, spec.index, spec.last)
-    return AGGREGATES[reference](F.col(column), F.col(spec.index))
+def _reference(feature: Feature, spec: PanelSpec) -> str:
+    if feature.reference == "lag":
+        return last_valid_before(quoted(feature.column), quoted(spec.index), spec.last)
+    return _aggregate(Feature(feature.column, feature.reference), spec)
 
 
-def contrast(numerator: Column | str, reference: Column | str, kind: str, on_zero: str = "ieee") -> Column:
-    """Difference or ratio of two aggregates; NULL if either is missing."""
+def contrast(numerator: str, reference: str, kind: str, on_zero: str = "ieee") -> str:
+    """SQL text of the difference or ratio of two aggregates; NULL if either is missing."""
     if kind == "ratio":
-        return safe_ratio(numerator, reference, on_zero)
+        return ratio(numerator, reference, on_zero)
     if kind != "difference":
         raise ValueError(f"kind must be 'difference' or 'ratio', not {kind!r}")
-    n = F.col(numerator) if isinstance(numerator, str) else numerator
-    r = F.col(reference) if isinstance(reference, str) else reference
-    return n - r
+    return f"{numerator} - {reference}"
+
+
+def _grouped(rows: DataFrame, keys: Sequence[str], spec: PanelSpec, features: Sequence[Feature], on_zero: str) -> DataFrame:
+    """Keys and features of grouped rows; diff features read ``{column}_diff``."""
+    aggregates: dict[str, str] = {}
+    outputs: list[str] = []
+    for f in features:
+        if f.reference is None:
+            aggregates[f.name] = _aggregate(f, spec)
+            outputs.append(quoted(f.name))
+        else:
+            last, reference = f"{f.column}_last", f"__{f.column}_{f.reference}"
+            aggregates.setdefault(last, _aggregate(Feature(f.column, "last"), spec))
+            aggregates[reference] = _reference(f, spec)
+            outputs.append(f"{contrast(quoted(last), quoted(reference), f.kind, on_zero)} AS {quoted(f.name)}")
+    aggregated = rows.groupBy(*keys).agg(*[F.expr(f"{sql} AS {quoted(name)}") for name, sql in aggregates.items()])
+    return aggregated.selectExpr(*[quoted(k) for k in keys], *outputs)
 
 
 def aggregate_features(
     panel: DataFrame, spec: PanelSpec, features: Sequence[Feature], on_zero: str = "ieee"
 ) -> DataFrame:
-    """The given features in one aggregation by customer.
+    """A handful of features in one aggregation by customer, for columns of any type.
 
     With diff features the panel is shuffled once by customer, for the window and the
     aggregation alike; without them partial aggregation runs before the shuffle.
     """
-    rows = panel.filter(F.col(spec.id_col).isNotNull())
+    rows = present(panel, [spec.id_col])
     diffed = list(dict.fromkeys(f.column for f in features if f.prefix == "diff"))
     if diffed:
         rows = exact_lag_diff(rows, spec.id_col, diffed, spec.index)
-    aggregates: dict[str, Column] = {}
-    outputs: list[Column] = []
+    return _grouped(rows, [spec.id_col], spec, features, on_zero)
+
+
+def _unfolded_features(panel: DataFrame, spec: PanelSpec, features: Sequence[Feature], on_zero: str) -> DataFrame:
+    """Many features of number columns, by way of one row per customer and column.
+
+    Spelling out every column would mean thousands of aggregates, whose generated code takes
+    longer to compile than to run. Instead the panel is shuffled once by customer, its columns
+    are unfolded into rows, all families are computed by (customer, column), and the rows of a
+    customer, one per column, are folded into an array that the output columns are read from.
+    None of this moves data again.
+    """
+    columns = list(dict.fromkeys(f.column for f in features))
+    diffed = list(dict.fromkeys(f.column for f in features if f.prefix == "diff"))
+    rows = present(panel, [spec.id_col]).select(spec.id_col, spec.index, *columns).repartition(spec.id_col)
+    if diffed:
+        rows = exact_lag_diff(rows, spec.id_col, diffed, spec.index)
+        rows = rows.withColumns({f"{c}_diff": F.lit(None).cast("double") for c in columns if c not in set(diffed)})
+    cells = unfold(rows, [spec.id_col, spec.index], columns, {"value_diff": "_diff"} if diffed else None)
+
+    families = {f.suffix: replace(f, column="value") for f in features}
+    by_column = _grouped(cells, [spec.id_col, "column"], spec, list(families.values()), on_zero)
+    fields = [F.col(f.name).alias(suffix) for suffix, f in families.items()]
+    folded = by_column.groupBy(spec.id_col).agg(
+        F.array_sort(F.collect_list(F.struct("column", *fields))).alias("__columns")
+    )
+    position = {c: i for i, c in enumerate(columns)}
+    types = dict(panel.dtypes)
+    outputs = []
     for f in features:
-        if f.reference is None:
-            aggregates[f.name] = _aggregate(f, spec)
-            outputs.append(F.col(f.name))
-        else:
-            last, reference = f"{f.column}_last", f"__{f.column}_{f.reference}"
-            aggregates.setdefault(last, AGGREGATES["last"](F.col(f.column), F.col(spec.index)))
-            aggregates[reference] = _reference(f.column, f.reference, spec)
-            outputs.append(contrast(last, reference, f.kind, on_zero).alias(f.name))
-    aggregated = rows.groupBy(spec.id_col).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return aggregated.select(spec.id_col, *outputs)
+        value = f"__columns[{position[f.column]}].{quoted(f.suffix)}"
+        if f.suffix in ("last", "first", "min", "max"):
+            value = f"CAST({value} AS {types[f.column]})"
+        outputs.append(f"{value} AS {quoted(f.name)}")
+    return folded.selectExpr(quoted(spec.id_col), *outputs)
 
 
 def build_features(
@@ -151,42 +195,38 @@ def build_features(
     categorical: Sequence[str],
     names: Sequence[str] | None = None,
     to_cents: bool = True,
-    batch_columns: int = BATCH_COLUMNS,
     on_zero: str = "ieee",
 ) -> DataFrame:
-    """The full feature table keyed by customer, or only ``names`` of it.
+    """The full feature table keyed by customer, or only ``names`` of it, in their order.
 
-    Columns are taken in batches: one aggregation over thousands of expressions leaves code
-    generation, and each batch reads its own columns only. The batches come out partitioned
-    by customer alike, so joining them moves no data. Distinct counts get an aggregation of
-    their own, because they multiply the rows of the one they are part of.
+    Number columns go through one row per column, columns of other types through plain
+    aggregates, and distinct counts through an aggregation of their own. The frames come out
+    partitioned by customer alike, so joining them moves no data.
     """
     features = feature_catalog(numeric, categorical)
     if names is not None:
         wanted = set(names)
         features = [f for f in features if f.name in wanted]
     if to_cents:
-        panel = panel.withColumns({c: floor_to_cent(c) for c in numeric})
-    panel = panel.select(spec.id_col, spec.index, *numeric, *categorical)
-
-    plain = [f for f in features if f.aggregate != "nunique"]
-    columns = list(dict.fromkeys(f.column for f in plain))
-    frames = []
-    for start in range(0, len(columns), batch_columns):
-        batch = set(columns[start : start + batch_columns])
-        frames.append(aggregate_features(panel, spec, [f for f in plain if f.column in batch], on_zero))
+        panel = panel.withColumns({c: floor_to_cent(quoted(c)) for c in numeric})
+    types = dict(panel.dtypes)
     distinct = [f for f in features if f.aggregate == "nunique"]
-    if distinct:
-        frames.append(aggregate_features(panel, spec, distinct, on_zero))
+    numbers = [f for f in features if f.aggregate != "nunique" and types[f.column] in NUMERIC_TYPES]
+    others = [f for f in features if f.aggregate != "nunique" and types[f.column] not in NUMERIC_TYPES]
+    frames = []
+    if numbers:
+        frames.append(_unfolded_features(panel, spec, numbers, on_zero))
+    frames += [aggregate_features(panel, spec, part, on_zero) for part in (others, distinct) if part]
     if not frames:
-        return panel.filter(F.col(spec.id_col).isNotNull()).select(spec.id_col).distinct()
+        return present(panel, [spec.id_col]).select(spec.id_col).distinct()
     joined = reduce(lambda a, b: a.join(b, spec.id_col, "inner"), frames)
+    built = set(joined.columns)
     ordered = names if names is not None else [f.name for f in features]
-    return joined.select(spec.id_col, *[n for n in ordered if n in set(joined.columns)])
+    return joined.select(spec.id_col, *[n for n in ordered if n in built])
 
 
 def fill_categories(features: DataFrame, categorical: Sequence[str], fill: int = -1) -> DataFrame:
     """Integer ``last`` and ``first`` of the categorical columns, missing ones as ``fill``."""
     names = [f"{c}_{agg}" for agg in ("last", "first") for c in categorical]
-    present = [n for n in names if n in features.columns]
-    return features.withColumns({n: F.coalesce(F.col(n), F.lit(fill)).cast("int") for n in present})
+    present_names = [n for n in names if n in features.columns]
+    return features.withColumns({n: F.coalesce(F.col(n), F.lit(fill)).cast("int") for n in present_names})

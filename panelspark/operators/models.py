@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.losses import FocalLoss, log_loss
-from panelspark.functions.numeric import nan_to_null, sigmoid
+from panelspark.functions.numeric import nan_to_null, quoted, sigmoid
 from panelspark.operators.folds import SEED
 from panelspark.operators.metrics import rank_metrics
 from panelspark.operators.panel import LAST_INDEX
@@ -202,20 +202,18 @@ def null_sequences(
     """
     if variant not in ("value", "statement"):
         raise ValueError(f"variant must be 'value' or 'statement', not {variant!r}")
-    marked = {c: F.col(c).isNull() for c in columns} if variant == "value" else {"statement": F.lit(True)}
+    marked = {c: f"{quoted(c)} IS NULL" for c in columns} if variant == "value" else {"statement": "true"}
     words = [list(periods)[i : i + WORD_BITS] for i in range(0, len(periods), WORD_BITS)]
     masks, slots = [], []
     for c, mark in marked.items():
         for i, word in enumerate(words):
-            bit = F
+            mask = quoted(f"__{c}_{i}")
+            bits = " ".join(f"WHEN {p} THEN {1 << position}L" for position, p in enumerate(word))
+            masks.append(F.expr(f"coalesce(bit_or(IF({mark}, CASE {quoted(index)} {bits} END, NULL)), 0L) AS {mask}"))
             for position, p in enumerate(word):
-                bit = bit.when(F.col(index) == p, F.lit(1 << position).cast("long"))
-            name = f"__{c}_{i}"
-            masks.append(F.coalesce(F.bit_or(F.when(mark, bit)), F.lit(0)).alias(name))
-            for position, p in enumerate(word):
-                is_set = F.col(name).bitwiseAND(F.lit(1 << position).cast("long")) != 0
-                slots.append((is_set if variant == "value" else ~is_set).cast("int").alias(f"{c}_{p}"))
-    return panel.groupBy(id_col).agg(*masks).select(id_col, *slots)
+                test = "<> 0" if variant == "value" else "= 0"
+                slots.append(f"CAST({mask} & {1 << position}L {test} AS INT) AS {quoted(f'{c}_{p}')}")
+    return panel.groupBy(id_col).agg(*masks).selectExpr(quoted(id_col), *slots)
 
 
 def null_sequence_stack(

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.numeric import as_column
+from panelspark.functions.numeric import as_column, quoted
 from panelspark.operators.skew import attach_group_values, group_values
 
 LAST_INDEX = 13
@@ -123,10 +123,29 @@ def exact_lag_diff(
 ) -> DataFrame:
     """Change against exactly the previous period; NULL where that period has no row.
 
-    A range frame of one period back looks the row up by value, so gaps are not bridged.
+    A range frame of one period back looks the row up by value, so gaps are not bridged. One
+    window function fetches all values of that row.
     """
     before = Window.partitionBy(id_col).orderBy(index).rangeBetween(-1, -1)
-    return panel.withColumns({f"{v}{suffix}": F.col(v) - F.last(v).over(before) for v in values})
+    found = panel.withColumn("__before", F.last(F.struct(*values)).over(before))
+    changes = [f"{quoted(v)} - __before.{quoted(v)} AS {quoted(v + suffix)}" for v in values]
+    return found.selectExpr(*[quoted(c) for c in panel.columns], *changes)
+
+
+def unfold(df: DataFrame, keys: Sequence[str], columns: Sequence[str], extras: Mapping[str, str] | None = None) -> DataFrame:
+    """One row (keys, column, value) per column, known by its position; values are doubles.
+
+    ``extras`` adds further fields: name to a suffix of the columns to take them from. A
+    generator keeps the partitioning of its input, which ``unpivot`` would lose.
+    """
+    fields = {"value": "", **(extras or {})}
+    cells = ", ".join(
+        f"struct({i} AS column, "
+        + ", ".join(f"CAST({quoted(c + suffix)} AS DOUBLE) AS {name}" for name, suffix in fields.items())
+        + ")"
+        for i, c in enumerate(columns)
+    )
+    return df.selectExpr(*[quoted(k) for k in keys], f"inline(array({cells}))")
 
 
 def assemble_features(frames: Sequence[DataFrame], id_col: str, how: str = "full") -> DataFrame:

@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.cleaning import GRID_WIDTH, snap_grid
+from panelspark.functions.cleaning import GRID_WIDTH
+from panelspark.functions.numeric import quoted
 
 
 # Facts about a column, one bit each.
 HAS_ZERO, NOISY_ZERO, NEAR_ZERO, HAS_ONE, NOISY_ONE, NEAR_ONE, OTHER = (1 << i for i in range(7))
 
 
-def _facts(c: Column) -> Column:
+def _facts(c: str) -> str:
     """What one value says about its column. ``NEAR`` is next to a snap range, on either side."""
     w = GRID_WIDTH
-    far = (c < -w) | (c > 1 + 2 * w) | ((c > 2 * w) & (c < 1 - w))
-    return (
-        F.when(c.isNull(), 0)
-        .when(far, OTHER)
-        .when(c < 0, OTHER | NEAR_ZERO)
-        .when(c == 0, HAS_ZERO)
-        .when(c <= w, HAS_ZERO | NOISY_ZERO)
-        .when(c <= 2 * w, OTHER | NEAR_ZERO)
-        .when(c < 1, OTHER | NEAR_ONE)
-        .when(c == 1, HAS_ONE)
-        .when(c <= 1 + w, HAS_ONE | NOISY_ONE)
-        .otherwise(OTHER | NEAR_ONE)
+    return f"""CASE WHEN {c} IS NULL THEN 0
+        WHEN {c} < {-w}D OR {c} > {1 + 2 * w}D OR ({c} > {2 * w}D AND {c} < {1 - w}D) THEN {OTHER}
+        WHEN {c} < 0 THEN {OTHER | NEAR_ZERO}
+        WHEN {c} = 0 THEN {HAS_ZERO}
+        WHEN {c} <= {w}D THEN {HAS_ZERO | NOISY_ZERO}
+        WHEN {c} <= {2 * w}D THEN {OTHER | NEAR_ZERO}
+        WHEN {c} < 1 THEN {OTHER | NEAR_ONE}
+        WHEN {c} = 1 THEN {HAS_ONE}
+        WHEN {c} <= {1 + w}D THEN {HAS_ONE | NOISY_ONE}
+        ELSE {OTHER | NEAR_ONE} END"""
+
+
+def _verdict(c: str) -> str:
+    """Decode the facts of a column: where to snap, and whether it is binary afterwards."""
+
+    def has(bits: int) -> str:
+        return f"({c} & {bits}) <> 0"
+
+    zero = f"({has(HAS_ZERO)} AND NOT {has(NEAR_ZERO)})"
+    one = f"({has(HAS_ONE)} AND NOT {has(NEAR_ONE)})"
+    binary = (
+        f"{has(HAS_ZERO | HAS_ONE)} AND NOT {has(OTHER)} "
+        f"AND ({zero} OR NOT {has(NOISY_ZERO)}) AND ({one} OR NOT {has(NOISY_ONE)})"
     )
+    return f"struct({zero} AS zero, {one} AS one, ({binary}) AS binary) AS {c}"
 
 
 def noise_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,36 +52,37 @@ def noise_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     column is binary if nothing but 0 and 1 is left afterwards. All columns are profiled in one
     pass, with a single bit-or each.
     """
-    facts = df.agg(*[F.coalesce(F.bit_or(_facts(F.col(c))), F.lit(0)).alias(c) for c in columns])
-    verdicts = []
-    for name in columns:
+    facts = df.agg(*[F.expr(f"coalesce(bit_or({_facts(c)}), 0) AS {c}") for c in map(quoted, columns)])
+    return facts.selectExpr(*[_verdict(c) for c in map(quoted, columns)])
 
-        def has(bits: int) -> Column:
-            return F.col(name).bitwiseAND(F.lit(bits)) != 0
 
-        zero = has(HAS_ZERO) & ~has(NEAR_ZERO)
-        one = has(HAS_ONE) & ~has(NEAR_ONE)
-        only_points = has(HAS_ZERO | HAS_ONE) & ~has(OTHER)
-        binary = only_points & (zero | ~has(NOISY_ZERO)) & (one | ~has(NOISY_ONE))
-        verdicts.append(F.struct(zero.alias("zero"), one.alias("one"), binary.alias("binary")).alias(name))
-    return facts.select(*verdicts)
+def _snapped(c: str) -> str:
+    verdict, width = f"__profile.{c}", f"{GRID_WIDTH}D"
+    return (
+        f"CASE WHEN {verdict}.zero AND {c} BETWEEN 0 AND {width} THEN 0D "
+        f"WHEN {verdict}.one AND {c} BETWEEN 1 AND {1 + GRID_WIDTH}D THEN 1D ELSE {c} END"
+    )
 
 
-def _with_profile(df: DataFrame, columns: Sequence[str], profile: DataFrame) -> DataFrame:
-    return df.withColumn("__profile", profile.select(F.struct(*columns)).scalar())
+def _collapsed(c: str) -> str:
+    return f"CASE WHEN __profile.{c}.binary AND {c} IS NULL THEN -1D ELSE {_snapped(c)} END"
 
 
-def _snapped(name: str) -> Column:
-    c, verdict = F.col(name), F.col("__profile")[name]
-    zero, one = snap_grid(c, [0.0]), snap_grid(c, [1.0])
-    return F.when(verdict["zero"] & c.between(0.0, GRID_WIDTH), zero).when(verdict["one"], one).otherwise(c)
+def _rewrite(
+    df: DataFrame, columns: Sequence[str], profile: DataFrame | None, rewritten: Callable[[str], str]
+) -> DataFrame:
+    """Replace columns by expressions over themselves and the profile, a one-row scalar subquery."""
+    profile = noise_profile(df, columns) if profile is None else profile
+    profiled = df.withColumn("__profile", profile.select(F.struct(*columns)).scalar())
+    chosen = set(columns)
+    return profiled.selectExpr(
+        *[f"{rewritten(quoted(c))} AS {quoted(c)}" if c in chosen else quoted(c) for c in df.columns]
+    )
 
 
 def snap_zero_one(df: DataFrame, columns: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
     """Snap noise just above 0 and 1 where the profile finds the point isolated."""
-    profile = noise_profile(df, columns) if profile is None else profile
-    snapped = _with_profile(df, columns, profile).withColumns({c: _snapped(c) for c in columns})
-    return snapped.drop("__profile")
+    return _rewrite(df, columns, profile, _snapped)
 
 
 def binary_collapse(df: DataFrame, columns: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
@@ -76,9 +90,4 @@ def binary_collapse(df: DataFrame, columns: Sequence[str], profile: DataFrame |
 
     Columns stay numeric, so the schema does not depend on the data.
     """
-    profile = noise_profile(df, columns) if profile is None else profile
-    collapsed = {
-        c: F.when(F.col("__profile")[c]["binary"], F.coalesce(_snapped(c), F.lit(-1.0))).otherwise(_snapped(c))
-        for c in columns
-    }
-    return _with_profile(df, columns, profile).withColumns(collapsed).drop("__profile")
+    return _rewrite(df, columns, profile, _collapsed)

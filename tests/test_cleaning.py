@@ -75,7 +75,7 @@ def test_dict_encode(spark):
 def test_floor_division_equals_numpy(spark):
     rng = np.random.default_rng(7)
     values = np.concatenate([np.arange(-300, 300) / 100, rng.normal(0, 50, 500), np.arange(0, 400) * 0.01, [0.01, -0.01, 0.0]])
-    got = apply(spark, [float(v) for v in values], floor_divide("x", 0.01))
+    got = apply(spark, [float(v) for v in values], F.expr(floor_divide("x", 0.01)))
     assert got == list(values // 0.01)
     cents = apply(spark, [float(v) for v in values], cleaning.floor_to_cent("x"))
     assert cents == list((values // 0.01) / 100)
