@@ -154,14 +154,23 @@ def aggregate_features(
     return _grouped(rows, [spec.id_col], spec, features, on_zero)
 
 
-def _unfolded_features(panel: DataFrame, spec: PanelSpec, features: Sequence[Feature], on_zero: str) -> DataFrame:
+def _read(folded: str, position: int, field: str) -> str:
+    """A field of a folded column. ``element_at`` rather than an index, which the optimizer would
+    try to push down, comparing every such read with every other."""
+    return f"element_at({folded}, {position + 1}).{quoted(field)}"
+
+
+def _unfolded_features(
+    panel: DataFrame, spec: PanelSpec, features: Sequence[Feature], on_zero: str
+) -> tuple[DataFrame, dict[str, str]]:
     """Many features of number columns, by way of one row per customer and column.
 
     Spelling out every column would mean thousands of aggregates, whose generated code takes
     longer to compile than to run. Instead the panel is shuffled once by customer, its columns
     are unfolded into rows, all families are computed by (customer, column), and the rows of a
-    customer, one per column, are folded into an array that the output columns are read from.
-    None of this moves data again.
+    customer, one per column, are folded into an array. None of this moves data again.
+
+    Returns (id, array) and, by feature name, the SQL text that reads the feature out of it.
     """
     columns = list(dict.fromkeys(f.column for f in features))
     diffed = list(dict.fromkeys(f.column for f in features if f.prefix == "diff"))
@@ -179,13 +188,26 @@ def _unfolded_features(panel: DataFrame, spec: PanelSpec, features: Sequence[Fea
     )
     position = {c: i for i, c in enumerate(columns)}
     types = dict(panel.dtypes)
-    outputs = []
+    reads = {}
     for f in features:
-        value = f"__columns[{position[f.column]}].{quoted(f.suffix)}"
+        value = _read("__columns", position[f.column], f.suffix)
         if f.suffix in ("last", "first", "min", "max"):
             value = f"CAST({value} AS {types[f.column]})"
-        outputs.append(f"{value} AS {quoted(f.name)}")
-    return folded.selectExpr(quoted(spec.id_col), *outputs)
+        reads[f.name] = value
+    return folded, reads
+
+
+def _distinct_counts(panel: DataFrame, spec: PanelSpec, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Distinct values per customer and column, folded like the other features.
+
+    Distinct aggregates over several columns would multiply the rows once per column and
+    shuffle twice; here the rows are shuffled once, by customer, and unfolded after that.
+    """
+    rows = present(panel, [spec.id_col]).select(spec.id_col, *columns).repartition(spec.id_col)
+    values = unfold(rows, [spec.id_col], columns, value_type="STRING").select(spec.id_col, "column", "value").distinct()
+    counts = values.groupBy(spec.id_col, "column").agg(F.count("value").alias("n"))
+    folded = counts.groupBy(spec.id_col).agg(F.array_sort(F.collect_list(F.struct("column", "n"))).alias("__distinct"))
+    return folded, {Feature(c, "nunique").name: _read("__distinct", i, "n") for i, c in enumerate(columns)}
 
 
 def build_features(
@@ -201,7 +223,8 @@ def build_features(
 
     Number columns go through one row per column, columns of other types through plain
     aggregates, and distinct counts through an aggregation of their own. The frames come out
-    partitioned by customer alike, so joining them moves no data.
+    partitioned by customer alike, so joining them moves no data; the output columns are
+    spelled out after the join, which keeps the optimizer's view of it narrow.
     """
     features = feature_catalog(numeric, categorical)
     if names is not None:
@@ -210,19 +233,25 @@ def build_features(
     if to_cents:
         panel = panel.withColumns({c: floor_to_cent(quoted(c)) for c in numeric})
     types = dict(panel.dtypes)
-    distinct = [f for f in features if f.aggregate == "nunique"]
+    distinct = [f.column for f in features if f.aggregate == "nunique"]
     numbers = [f for f in features if f.aggregate != "nunique" and types[f.column] in NUMERIC_TYPES]
     others = [f for f in features if f.aggregate != "nunique" and types[f.column] not in NUMERIC_TYPES]
-    frames = []
+    frames, reads = [], {}
     if numbers:
-        frames.append(_unfolded_features(panel, spec, numbers, on_zero))
-    frames += [aggregate_features(panel, spec, part, on_zero) for part in (others, distinct) if part]
+        folded, reads = _unfolded_features(panel, spec, numbers, on_zero)
+        frames.append(folded)
+    if distinct:
+        folded, counts = _distinct_counts(panel, spec, distinct)
+        frames.append(folded)
+        reads.update(counts)
+    if others:
+        frames.append(aggregate_features(panel, spec, others, on_zero))
+        reads.update({f.name: quoted(f.name) for f in others})
     if not frames:
         return present(panel, [spec.id_col]).select(spec.id_col).distinct()
     joined = reduce(lambda a, b: a.join(b, spec.id_col, "inner"), frames)
-    built = set(joined.columns)
     ordered = names if names is not None else [f.name for f in features]
-    return joined.select(spec.id_col, *[n for n in ordered if n in built])
+    return joined.selectExpr(quoted(spec.id_col), *[f"{reads[n]} AS {quoted(n)}" for n in ordered if n in reads])
 
 
 def fill_categories(features: DataFrame, categorical: Sequence[str], fill: int = -1) -> DataFrame:

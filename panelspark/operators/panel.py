@@ -132,8 +132,14 @@ def exact_lag_diff(
     return found.selectExpr(*[quoted(c) for c in panel.columns], *changes)
 
 
-def unfold(df: DataFrame, keys: Sequence[str], columns: Sequence[str], extras: Mapping[str, str] | None = None) -> DataFrame:
-    """One row (keys, column, value) per column, known by its position; values are doubles.
+def unfold(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    extras: Mapping[str, str] | None = None,
+    value_type: str = "DOUBLE",
+) -> DataFrame:
+    """One row (keys, column, value) per column, known by its position.
 
     ``extras`` adds further fields: name to a suffix of the columns to take them from. A
     generator keeps the partitioning of its input, which ``unpivot`` would lose.
@@ -141,7 +147,7 @@ def unfold(df: DataFrame, keys: Sequence[str], columns: Sequence[str], extras: M
     fields = {"value": "", **(extras or {})}
     cells = ", ".join(
         f"struct({i} AS column, "
-        + ", ".join(f"CAST({quoted(c + suffix)} AS DOUBLE) AS {name}" for name, suffix in fields.items())
+        + ", ".join(f"CAST({quoted(c + suffix)} AS {value_type}) AS {name}" for name, suffix in fields.items())
         + ")"
         for i, c in enumerate(columns)
     )
