@@ -147,10 +147,6 @@ def customer_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CUSTOMER_TARGET = """customer_target AS (
-  SELECT c_custkey AS id, CAST(c_acctbal < 0 AS INT) AS target FROM customer)"""
-
-
 def rounded(column: Column | str, digits: int = 6) -> Column:
     """Round half to even with plain double arithmetic, which both engines do alike.
 

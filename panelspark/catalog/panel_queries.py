@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.catalog.fixtures import (
-    CUSTOMER_TARGET,
     ORDERS_PANEL,
     USER_DAY_PANEL,
     customer_target,
@@ -72,12 +71,12 @@ def densify_panel(spark, sf_dir):
 
 
 @R.query(
-    f"WITH {ORDERS_PANEL}, {CUSTOMER_TARGET} SELECT p.id, p.ind, p.amt, t.target FROM panel p "
-    "LEFT JOIN (SELECT * FROM customer_target WHERE id % 5 <> 0) t ON p.id = t.id"
+    """SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def label_left_join(spark, sf_dir):
-    labels = customer_target(spark, sf_dir).filter(F.col("id") % 5 != 0)
-    return P.attach(orders_panel(spark, sf_dir).select("id", "ind", "amt"), labels, ["id"])
+    """Labels cover some documents only."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return P.attach(documents, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["doc_id"])
 
 
 @R.query(

@@ -108,3 +108,12 @@ def test_holdout_share(spark):
     assert inside < {r["id"] for r in df.filter(in_holdout("id", 0.3)).collect()}
     with pytest.raises(ValueError):
         in_holdout("id", 1.0)
+
+
+def test_empty_and_unscored_frames(frame):
+    nothing = frame.filter("id < 0")
+    assert running_total(nothing, [F.col("id").asc()], {"cum": F.col("w")}).count() == 0
+    assert percent_rank(nothing, "s", "r").count() == 0
+    unscored = frame.filter(F.col("s").isNull())
+    ranks = percent_rank(unscored, "s", "r", ["fold"]).select("r").distinct().collect()
+    assert [r[0] for r in ranks] == [None]
