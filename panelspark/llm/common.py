@@ -72,3 +72,13 @@ def numbered(frame: DataFrame, *order: Column, name: str = "number") -> DataFram
     table = frame.sparkSession.createDataFrame(offsets, "_part long, _before long")
     joined = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(table), "_part")
     return joined.withColumn(name, F.col("_before") + place).drop("_part", "_before", "_at")
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the frame already has such a column."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.line_dedup import line_dedup
+from panelspark.llm.mixing import mix_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +34,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ITEM_WORDS = f"regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op6_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {ITEM_WORDS} AS w FROM documents),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {ITEM_WORDS} AS w FROM benchmark),
+    win AS (
+        SELECT DISTINCT item, least(len(w), 10) AS l, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS t
+        FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)
+    ), places AS (
+        SELECT doc_id, l, p, array_to_string(w[p : p + l - 1], ' ') AS t
+        FROM (SELECT doc_id, w, l, unnest(generate_series(1, len(w) - l + 1)) AS p FROM d, (SELECT DISTINCT l FROM win))
+    ), hits AS (SELECT DISTINCT doc_id, p, l, item FROM places JOIN win USING (t, l)),
+    covered AS (SELECT doc_id, count(DISTINCT c) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + l - 1)) AS c FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named i USING (doc_id)
+    """,
+)
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query(
     "op8_line_dedup",
     f"""
@@ -55,6 +91,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "full", "shard", "taken")
+
+
 @query(
     "op10_exact_dedup",
     f"""
