@@ -11,6 +11,8 @@ from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.line_dedup import line_dedup
 from panelspark.llm.mixing import mix_plan
+from panelspark.llm.token_counts import count_tokens
+from panelspark.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 ITEM_WORDS = f"regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
