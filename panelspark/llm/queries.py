@@ -11,6 +11,7 @@ from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.line_dedup import line_dedup
 from panelspark.llm.mixing import mix_plan
+from panelspark.llm.simhash import fingerprint_hex, simhash_components
 from panelspark.llm.token_counts import count_tokens
 from panelspark.llm.token_files import token_files
 
@@ -80,6 +81,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query(
     "op8_line_dedup",
     f"""
