@@ -11,6 +11,7 @@ from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.line_dedup import line_dedup
 from panelspark.llm.mixing import mix_plan
+from panelspark.llm.repeats import repeated_passages
 from panelspark.llm.simhash import fingerprint_hex, simhash_components
 from panelspark.llm.token_counts import count_tokens
 from panelspark.llm.token_files import token_files
@@ -48,6 +49,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+@query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
