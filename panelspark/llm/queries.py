@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
+from panelspark.llm.html_main import main_text
 from panelspark.llm.line_dedup import line_dedup
 from panelspark.llm.mixing import mix_plan
 from panelspark.llm.repeats import repeated_passages
@@ -39,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_main")
+def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
