@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import fresh, frozen, whole
+from panelspark.llm.common import frozen, whole
 
 #: Characters of a subsequence, the span they may lie in, and what each gap costs.
 LENGTH, SPAN, DECAY = 4, 7, 0.5
@@ -246,23 +247,26 @@ class ToxicityModel:
 
     def score(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, score) per row, the whole text judged; null counts as empty and has a score too."""
-        features = _features(documents, self.table, self.offset, id_col, text_col)
-        logit = sum((F.get(F.col("features"), i) * float(w) for i, w in enumerate(self.weights[:-1])), F.lit(float(self.weights[-1])))
-        return features.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
+        return documents.select(F.col(id_col).alias("doc_id"), self.probability(F.col(text_col)).alias("score"))
 
+    def probability(self, text: Column) -> Column:
+        """The score of a text column."""
+        features = _features(text, self.table, self.offset)
+        logit = sum((F.get(features, F.lit(i)) * float(w) for i, w in enumerate(self.weights[:-1])), F.lit(float(self.weights[-1])))
+        return 1 / (1 + F.exp(-logit))
 
-def _features(documents: DataFrame, table: np.ndarray, offset: float, id_col: str, text_col: str) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(table)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(text: Column, table: np.ndarray, offset: float) -> Column:
+    """What texts are judged by. The table goes to each executor once."""
+    shared = SparkSession.active().sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<double>")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         margins = Margins(shared.value, offset)
-        for batch in batches:
-            rows = [margins.features(text.as_py()) for text in batch["body"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
+        for part in texts:
+            yield pd.Series([margins.features(text) for text in part])
 
-    kind = dict(documents.dtypes)[id_col]
-    rows = documents.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("body"))
-    return rows.mapInArrow(judge, f"doc_id {kind}, features array<double>")
+    return judge(whole(text))
 
 
 def fit_toxicity(
@@ -307,8 +311,8 @@ def fit_toxicity(
     telling = telling_slots(*(by_slot[c].to_numpy().astype(np.int64) for c in ("slot", "toxic", "clean")), n.get((1, True), 0), n.get((0, True), 0))
     table, offset = fit_units(by_unit["unit"].to_pylist(), by_unit["toxic"].to_numpy().astype(float), by_unit["clean"].to_numpy(), telling)
     rest = sample.where("not fits") if n.get((1, False)) and n.get((0, False)) else sample
-    judged = _features(rest.withColumnRenamed("y", "label"), table, offset, "label", "body").toArrow().to_pydict()
-    y = np.array(judged["doc_id"], dtype=float)
+    judged = rest.select("y", _features(F.col("body"), table, offset).alias("features")).toArrow().to_pydict()
+    y = np.array(judged["y"], dtype=float)
     x = np.array(judged["features"], dtype=float).reshape(len(y), -1)
     weights = fit_logistic(x, y) if len(set(y)) == 2 else np.array([0.0] * 5 + [-1.0])
     return ToxicityModel(table, offset, weights)
@@ -328,7 +332,4 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, cut: float = CUT, id
 def drop_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents``, all columns, whose text scores below ``cut``."""
     model = fit_toxicity(documents, labels, id_col, text_col, **options)
-    (row,) = fresh(documents, "_row")
-    keyed = documents.withColumn(row, F.xxhash64(whole(F.col(text_col))))
-    scored = model.score(keyed, row, text_col).where(F.col("score") >= cut).select(F.col("doc_id").alias(row)).distinct()
-    return keyed.join(scored, row, "left_anti").drop(row)
+    return documents.where(model.probability(F.col(text_col)) < cut)
