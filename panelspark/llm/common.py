@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,13 @@ def frozen(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a compressed table in the shared folder; smaller than a checkpoint, for wide intermediates."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """The frame, to be broadcast if its counted rows are few enough."""
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame

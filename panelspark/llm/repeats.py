@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import frozen, whole
+from panelspark.llm.common import whole, written
 
 #: Words from which a repeated passage counts.
 PASSAGE = 50
@@ -94,42 +94,27 @@ def anchors(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:
 def repeated_keys(suffixes: DataFrame) -> DataFrame:
     """Keys that suffixes of two documents or more begin with.
 
-    The suffixes are range-partitioned and sorted by key and document; each partition compares
-    neighbours and passes on a run's first and last document if they differ, and its two outermost runs,
-    which may go on in the next partition.
+    Each partition of ``suffixes``, sorted by key and document, is an array of its own. A task compares
+    neighbours and passes on one row per run of equal keys, with the run's first and last document; runs of
+    all partitions are merged by key. So a key that a third of all documents hold is one row per task.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        first = True
-
-        def out(keys, lows, highs, kind):
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, kind), pa.array(highs, kind)], ["key", "low", "high"])
-
-        kind = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            kind = batch["doc_id"].type
-            keys = batch["key"].to_numpy()
-            begins = np.nonzero(np.diff(keys, prepend=keys[0]))[0]
-            begins = np.concatenate([[0], begins])
+            keys, docs = batch["key"].to_numpy(), batch["doc_id"]
+            begins = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
             ends = np.concatenate([begins[1:], [len(keys)]]) - 1
-            docs = batch["doc_id"]
-            low, high = docs.take(pa.array(begins)), docs.take(pa.array(ends))
-            runs = list(zip(keys[begins].tolist(), low.to_pylist(), high.to_pylist(), strict=True))
+            runs = pa.RecordBatch.from_arrays([pa.array(keys[begins]), docs.take(pa.array(begins)), docs.take(pa.array(ends))], ["key", "low", "high"])
             if held is not None:
-                if held[0] == runs[0][0]:
-                    runs[0] = (held[0], held[1], runs[0][2])
-                else:
-                    runs.insert(0, held)
-            held = runs.pop()
-            keep = [r for i, r in enumerate(runs) if r[1] != r[2] or (first and i == 0)]
-            first = first and not runs
-            if keep:
-                yield out(*zip(*keep, strict=True), kind)
+                yield held  # a run that goes on in this batch is merged with its rest later
+            if len(begins) > 1:
+                yield runs.slice(0, len(begins) - 1)
+            held = runs.slice(len(begins) - 1)
         if held is not None:
-            yield out([held[0]], [held[1]], [held[2]], kind)
+            yield held
 
     kind = dict(suffixes.dtypes)["doc_id"]
     runs = suffixes.select("key", "doc_id").mapInArrow(compare, f"key long, low {kind}, high {kind}")
@@ -148,7 +133,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     A word is covered if it lies in a run of ``passage`` words that another document holds too; words are
     those between ASCII white space with A-Z lower-cased. ``first``: no smaller id holds any part of it.
 
-    Suffixes are kept at minimiser positions only, sorted, and neighbours compared on half a passage. From
+    Suffixes are kept at minimiser positions only, sorted in each task, and neighbours compared on half a
+    passage; equal neighbours of different tasks meet in a merge of the tasks' runs. From
     each repeated suffix the match is extended left and right: first by half a passage to either side,
     which settles the inside of long repeats; where that is not repeated as a whole, by every place in
     between. Texts are joined only to their own repeated suffixes, and a passage that a third of all
@@ -160,9 +146,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     """
     half = passage // 2
     docs = documents.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("body")).where(F.col("doc_id").isNotNull())
-    order = ["key", "doc_id", "pos"]
-    suffixes = frozen(anchors(docs, passage).repartitionByRange(*order).sortWithinPartitions(*order))
-    repeated = frozen(repeated_keys(suffixes))
+    suffixes = written(anchors(docs, passage).sortWithinPartitions("key", "doc_id", "pos"))
+    repeated = written(repeated_keys(suffixes.sortWithinPartitions("key", "doc_id")))
     spots = suffixes.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +168,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = dict(docs.dtypes)["doc_id"]
     extended = docs.join(spots, "doc_id").select("doc_id", "body", "spots")
-    extended = frozen(extended.mapInArrow(extend, f"key long, doc_id {kind}, pos int, wkeys array<long>"))
+    extended = written(extended.mapInArrow(extend, f"key long, doc_id {kind}, pos int, wkeys array<long>"))
 
     def placed(rows: DataFrame) -> DataFrame:
         each = rows.select("key", "doc_id", "pos", F.posexplode("wkeys").alias("j", "wkey")).where("wkey IS NOT NULL")
@@ -191,7 +176,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     far = placed(extended.withColumn("wkeys", F.array(F.get("wkeys", F.lit(0)), F.get("wkeys", F.size("wkeys") - 1))))
     far = far.withColumn("start", F.when(F.col("j") == 0, F.col("pos") - (passage - half)).otherwise(F.col("pos")))
-    hit = frozen(far.join(_shared(far), "wkey"))
+    hit = written(far.join(_shared(far), "wkey").select("key", "doc_id", "pos", "start", "first_id"))
     settled = hit.groupBy("key", "doc_id", "pos").agg(F.count("*").alias("n")).where("n = 2").drop("n")
     ragged = extended.select("key", "doc_id", "pos").join(settled, ["key", "doc_id", "pos"], "left_anti").select("key").distinct()
     near = placed(extended.join(ragged, "key", "left_semi"))
