@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import frozen
 
 
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """(v, p) with each p replaced by the root of its tree, by doubling the steps taken."""
+    while True:
+        up = parents.select(F.col("v").alias("p"), F.col("p").alias("up"))
+        stepped = frozen(parents.join(up, "p", "left").select("v", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().alias("moved")))
+        parents = stepped.select("v", "p")
+        if stepped.where("moved").isEmpty():
+            return parents
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, c): each vertex with the smallest vertex of its component.
 
-    ``vertices`` has v, ``edges`` has a and b; both are frozen by the caller or cheap. Every round each
-    vertex takes the smallest label among its neighbours and then the label of its label, so the rounds
-    grow with the logarithm of the longest path. A round is joins and partial aggregations only; a vertex
-    with any number of edges is split like any skewed join. Labels are frozen each round.
+    ``vertices`` has v, ``edges`` has a and b. In a round each vertex points to its smallest neighbour if
+    that is smaller, the trees this gives become one vertex each, and edges inside them go; so a dense
+    group is gone after the first round or two and is not carried through the others. Rounds are joins
+    and partial aggregations; edges are frozen after each.
     """
-    both = frozen(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = frozen(vertices.select("v", F.col("v").alias("c")))
-    if both.isEmpty():
-        return labels
-    while True:
-        near = both.join(labels.select(F.col("v").alias("a"), "c"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("near"))
-        lower = labels.join(near, "v", "left").select("v", F.least("c", F.coalesce("near", "c")).alias("low"), "c")
-        lower = frozen(lower)
-        up = lower.select(F.col("v").alias("low"), F.col("low").alias("up"))
-        jumped = lower.where("low <> v").join(up, "low").select("v", F.col("up").alias("c"), F.col("c").alias("was"))
-        still = lower.where("low = v").select("v", F.col("low").alias("c"), F.col("c").alias("was"))
-        step = frozen(jumped.union(still))
-        labels = step.select("v", "c")
-        if step.where("c <> was").isEmpty():
-            return labels
+    labels = vertices.select("v", F.col("v").alias("c"))
+    left = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not left.isEmpty():
+        parents = left.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
+        roots = _to_roots(parents)
+        labels = labels.join(roots.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c"))
+        ends = left.join(roots.withColumnRenamed("v", "a"), "a").select(F.col("p").alias("a"), "b")
+        ends = ends.join(roots.select(F.col("v").alias("b"), "p"), "b", "left").select("a", F.coalesce("p", "b").alias("b"))
+        left = frozen(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return frozen(labels)

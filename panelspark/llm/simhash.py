@@ -104,6 +104,7 @@ def plan_parts(sample: np.ndarray, n: int, distance: int = DISTANCE, probe_cost:
     over the parts; a cost is the probes made (times ``probe_cost``) plus the candidates expected, from
     the distances within the sample and no less than for independent even bits.
     """
+    n = max(n, 2)
     best: tuple[float, list[Part]] | None = None
     pairs = (sample[:, None] ^ sample[None, :])[np.triu_indices(len(sample), 1)]
     for parts in range(1, distance + 2):
