@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import frozen, whole
 
 #: Characters of a subsequence, the span they may lie in, and what each gap costs.
-LENGTH, SPAN, DECAY = 4, 7, 0.5
+LENGTH, SPAN, DECAY = 4, 6, 0.5
 #: Slots that subsequences are hashed to.
 SLOTS = 1 << 20
 #: Longest unit; longer words are cut into overlapping pieces.
@@ -31,28 +32,39 @@ SURE = 10.0
 #: Units of which a task remembers the margin.
 CACHE = 400_000
 CUT = 0.7
+#: Margin below which a unit does not speak for toxicity at all.
+LEAST = -0.5
 NOT_A_LETTER = re.compile(r"[\W\d_]+")
 SPELLED = re.compile(r"(?<!\S)(?:\w\s+){2,}\w(?!\S)")
+#: Places of a subsequence's characters; the first has no gap.
 PATTERNS = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
 
 
-def units(text: str) -> list[str]:
-    """What is judged: lower-case words, without characters put between their letters; long ones in pieces.
+def pieces(word: str) -> list[str]:
+    """A lower-case word without characters put between its letters; a long one in overlapping pieces."""
+    if not word.isalpha():
+        word = NOT_A_LETTER.sub("", word) or word
+    if len(word) <= UNIT:
+        return [word]
+    return [word[i : i + UNIT] for i in range(0, len(word) - OVERLAP, UNIT - OVERLAP)]
+
 
-    Letters spelled out one by one ("x y z") are also read as a word.
+def words(text: str) -> Counter[str]:
+    """The lower-case words of a text and how often each stands there.
+
+    Letters spelled out one by one ("x y z") also count as the word they spell.
     """
     lower = text.lower()
-    out = []
-    for word in lower.split():
-        if not word.isalpha():
-            bare = NOT_A_LETTER.sub("", word)
-            word = bare or word
-        if len(word) <= UNIT:
-            out.append(word)
-        else:
-            out += [word[i : i + UNIT] for i in range(0, len(word) - OVERLAP, UNIT - OVERLAP)]
-    out += [NOT_A_LETTER.sub("", run)[:UNIT] for run in SPELLED.findall(lower)]
-    return out
+    own = lower.split()
+    counts = Counter(own)
+    if list(map(len, own)).count(1) >= 3:
+        counts.update(NOT_A_LETTER.sub("", run) for run in SPELLED.findall(lower))
+    return counts
+
+
+def units(text: str) -> list[str]:
+    """The different units that a text is judged by."""
+    return sorted({unit for word in words(text) for unit in pieces(word)})
 
 
 @dataclass
@@ -65,13 +77,13 @@ class Subsequences:
     norms: np.ndarray
 
     @classmethod
-    def of(cls, strings: list[str]) -> Subsequences:
+    def of(cls, strings: list[str], patterns: list[tuple[int, ...]] = PATTERNS) -> Subsequences:
         marked = [f"\x02{s}\x03" for s in strings]
         chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         owner = np.repeat(np.arange(len(strings)), [len(s) for s in marked])
         odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
         slots, weights, owners = [], [], []
-        for pattern in PATTERNS:
+        for pattern in patterns:
             n = len(chars) - pattern[-1]
             if n <= 0:
                 continue
@@ -98,7 +110,7 @@ class Subsequences:
         return np.bincount(self.slots, share, minlength=SLOTS).astype(np.float32)
 
 
-def kernel_columns(strings: Subsequences, landmarks: list[str], chunk: int = 50_000) -> np.ndarray:
+def kernel_columns(strings: Subsequences, landmarks: list[str], chunk: int = 20_000) -> np.ndarray:
     """The kernel of all strings with each landmark; only subsequences of landmarks are looked at."""
     marks = Subsequences.of(landmarks)
     used, place = np.unique(marks.slots, return_inverse=True)
@@ -145,10 +157,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def margins_of(names: list[str], table: np.ndarray, chunk: int = 10_000) -> np.ndarray:
+    parts = [Subsequences.of(names[i : i + chunk]).against(table) for i in range(0, len(names), chunk)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def contiguous(strings: list[str]) -> np.ndarray:
     """The different slots of the strings' subsequences without gaps."""
-    grams = Subsequences.of(strings)
-    return np.unique(grams.slots[grams.weights == 1])
+    return np.unique(Subsequences.of(strings, PATTERNS[:1]).slots)
 
 
 def telling_slots(slots: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -174,10 +190,9 @@ def fit_units(names: list[str], toxic: np.ndarray, clean: np.ndarray, telling: n
     subsequence start as positive, each weighted by its toxic texts. A second round lets go the ones on the wrong side and adds the
     negatives that came closest.
     """
-    grams = Subsequences.of(names)
+    exact = Subsequences.of(names, PATTERNS[:1])
     evidence = np.zeros(len(names))
-    exact = grams.weights == 1
-    np.maximum.at(evidence, grams.owner[exact], telling[grams.slots[exact]])
+    np.maximum.at(evidence, exact.owner, telling[exact.slots])
     positive = np.nonzero((clean == 0) & (evidence > 0))[0]
     positive = positive[np.argsort(-evidence[positive], kind="stable")][:TOXIC_UNITS]
     pool = np.nonzero((clean > 0) | (evidence == 0))[0]
@@ -200,8 +215,8 @@ def fit_units(names: list[str], toxic: np.ndarray, clean: np.ndarray, telling: n
         balance = np.concatenate([0.5 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))]) * 1000
         w, offset = fit_svm(kernel_columns(Subsequences.of([names[i] for i in rows]), marks) @ root, y, balance)
         table = Subsequences.of(marks).table(root @ w)
-        margin = grams.against(table) + offset
         if again:
+            margin = margins_of(names, table) + offset
             kept = positive[margin[positive] > 0]
             positive = kept if len(kept) else positive
             hard = pool[np.argsort(-margin[pool], kind="stable")][: CLEAN_UNITS // 2]
@@ -210,28 +225,35 @@ def fit_units(names: list[str], toxic: np.ndarray, clean: np.ndarray, telling: n
 
 
 class Margins(dict):
-    """The margin of each unit, found for all new units of a text at once."""
+    """Of each word the margins that matter, those above ``LEAST``; found for all new words of a text at once."""
 
     def __init__(self, table: np.ndarray, offset: float, most: int = CACHE):
         super().__init__()
         self.table, self.offset, self.most = table, offset, most
 
-    def learn(self, strings: set[str]) -> None:
-        if len(self) > self.most:
-            self.clear()
-        new = [s for s in strings if s not in self]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.update(zip(part, (Subsequences.of(part).against(self.table) + self.offset).tolist(), strict=True))
+    def learn(self, new: list[str]) -> None:
+        split = [pieces(word) for word in new]
+        margins = (margins_of([unit for own in split for unit in own], self.table) + self.offset).tolist()
+        at = 0
+        for word, own in zip(new, split, strict=True):
+            self[word] = tuple(m for m in margins[at : at + len(own)] if m > LEAST)
+            at += len(own)
 
     def features(self, text: str) -> list[float]:
-        """What a text is judged by: its highest margins and how many units lie on the wrong side."""
-        own = units(text)
-        self.learn(set(own))
-        margins = sorted((m for m in map(self.__getitem__, own) if m > -0.5), reverse=True)
-        top = [*margins[:3], -0.5, -0.5, -0.5][:3]
-        over = sum(m > 0 for m in margins)
-        return [top[0], top[1], top[2], float(np.log1p(over)), float(np.log1p(len(own)))]
+        """What a text is judged by: its highest margins and how many words lie on the wrong side."""
+        own = words(text)
+        found: list[float] = []
+        if len(self) > self.most:
+            self.clear()
+        if new := [word for word in own if word not in self]:
+            self.learn(new)
+        for word, n in own.items():
+            if near := self[word]:
+                found += near * n
+        found.sort(reverse=True)
+        top = [*found[:3], LEAST, LEAST, LEAST][:3]
+        over = sum(m > 0 for m in found)
+        return [top[0], top[1], top[2], float(np.log1p(over)), float(np.log1p(sum(own.values())))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -296,7 +318,7 @@ def fit_toxicity(
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, text in zip(batch["y"], batch["body"], strict=True):
-                own = sorted(set(units(text.as_py())))
+                own = units(text.as_py())
                 slots = contiguous(own)
                 names = pa.array([*own, *[None] * len(slots)], pa.string())
                 places = pa.array([*[None] * len(own), *slots.tolist()], pa.int32())
@@ -313,7 +335,7 @@ def fit_toxicity(
     rest = sample.where("not fits") if n.get((1, False)) and n.get((0, False)) else sample
     judged = rest.select("y", _features(F.col("body"), table, offset).alias("features")).toArrow().to_pydict()
     y = np.array(judged["y"], dtype=float)
-    x = np.array(judged["features"], dtype=float).reshape(len(y), -1)
+    x = np.array(judged["features"], dtype=float).reshape(len(y), 5)
     weights = fit_logistic(x, y) if len(set(y)) == 2 else np.array([0.0] * 5 + [-1.0])
     return ToxicityModel(table, offset, weights)
 
