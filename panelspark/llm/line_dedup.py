@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WHITE, ascii_lower, whole
+from panelspark.llm.common import WHITE, ascii_lower, frozen, whole
 
 
 def _lines(text: Column) -> Column:
@@ -35,7 +35,7 @@ def line_keep_bitmaps(documents: DataFrame, id_col: str = "doc_id", text_col: st
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos", "text_hash"
     )
     order = ["h1", "h2", "doc_id", "pos"]
-    runs = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = frozen(hashed.repartitionByRange(*order).sortWithinPartitions(*order))
     firsts = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     shared = firsts.where(F.col("first_id") < F.col("last_id")).drop("last_id")
     bit = F.expr("shiftleft(1L, pos % 64)")
