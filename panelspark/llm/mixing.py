@@ -170,7 +170,7 @@ def mix_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Columns are those of ``documents``; only the text of the last kind of row differs. Documents of which
     nothing is taken go. Options as in ``mix_plan``.
     """
-    plan = mix_plan(documents, id_col, text_col, source_col, **options)
+    plan = mix_plan(documents, id_col, text_col, source_col, **options).where("taken > 0")
     of, mix, copy = fresh(documents, "_of", "_mix", "_copy")
     plan = plan.select(F.struct("doc_id", "text_hash", "source").alias(of), F.struct("full", "drawn").alias(mix))
     key = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), F.col(source_col).alias("source"))
