@@ -16,12 +16,14 @@ from panelspark.catalog.fixtures import (
     rounded,
     rounded_sql,
     supplier_panel,
+    table,
     user_day_panel,
 )
 from panelspark.catalog.registry import Registry
 from panelspark.functions.aggregates import last_valid_before
 from panelspark.operators import distance as D
 from panelspark.operators.features import Feature, PanelSpec, aggregate_features, build_features, feature_catalog
+from panelspark.plans.feature_plan import customer_features
 
 R = Registry()
 SPEC = PanelSpec("id")
@@ -219,6 +221,37 @@ for _kind in D.KINDS:
     R.query(_distance_sql(_kind))(_distance(_kind))
 
 
+# --- The whole feature table -------------------------------------------------------------------
+
+_MEASURES = feature_catalog(SUPPLIER_MEASURES, ())
+_DISTANCES = [f"{r}_{p}_{k}" for k in D.KINDS for r in ("mean", "max", "min") for p in D.PAIRS]
+_TABLE = " JOIN ".join([f"({_sql_build(_MEASURES, SUPPLIER_PANEL, (), SUPPLIER_MEASURES)}) f", *[f"({_distance_sql(k)}) {k}s USING (id)" for k in D.KINDS]])
+#: A selection, as it comes out of training: some features of each kind, in its own order.
+_SELECTED = [_DISTANCES[0], "qty_last", "price_mean", _DISTANCES[-1], "disc_std", "price_recentmean"]
+
+
+def _whole_table(spark, sf_dir, names=None, customers=None):
+    panel = supplier_panel(spark, sf_dir)
+    return customer_features(panel, SPEC, list(SUPPLIER_MEASURES), [], _scaler(panel), names=names, customers=customers)
+
+
+@R.query(f"SELECT id, {', '.join([f.name for f in _MEASURES] + _DISTANCES)} FROM {_TABLE}")
+def feature_table(spark, sf_dir):
+    """Aggregates and distances of every customer."""
+    features = _whole_table(spark, sf_dir)
+    whole = [F.col(f.name) if _is_whole(f, ()) else rounded(f.name, DIGITS).alias(f.name) for f in _MEASURES]
+    return features.select("id", *whole, *[rounded(d).alias(d) for d in _DISTANCES])
+
+
+@R.query(f"SELECT id, {', '.join(_SELECTED)} FROM {_TABLE} WHERE id % 5 = 0")
+def feature_table_selected(spark, sf_dir):
+    """The test split's table, following a selection made on train."""
+    test = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).filter("id % 5 = 0")
+    chosen = _whole_table(spark, sf_dir, _SELECTED, test)
+    digits = {name: 6 if name in _DISTANCES else DIGITS for name in _SELECTED}
+    return chosen.select("id", *[rounded(name, digits[name]).alias(name) for name in _SELECTED])
+
+
 @R.query(
     f"""WITH {SUPPLIER_PANEL} SELECT id, ind,
       {rounded_sql("list_avg([qty, price, disc, ret_qty])")} AS row_mean,

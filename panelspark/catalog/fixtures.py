@@ -1,7 +1,7 @@
 """Panels and score frames derived from the given tables, in Spark and as SQL text.
 
-Measures are scaled to dyadic fractions, so that sums are exact in any order and both engines
-see the same doubles.
+Amounts are summed as whole cents, which is exact in any order, and divided once at the end, so both
+engines see the same doubles.
 """
 
 from __future__ import annotations
@@ -12,29 +12,36 @@ from pyspark.sql import functions as F
 from panelspark.operators.panel import month_number, panel_index
 from panelspark.sources.tables import read_panel
 
+# Fixed values of the given tables.
 EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
+PRIORITY_CODES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_panel(spark, f"{sf_dir}/{name}.parquet")
 
 
-def thousands(amount: Column) -> Column:
-    """Whole units of a sum of cents, in 1024ths; the shift keeps the floor clear of whole units."""
-    return F.floor(amount + F.lit(0.005)) / F.lit(1024.0)
+def money(amount: Column) -> Column:
+    """The sum of an amount with two decimals."""
+    return F.sum(F.rint(amount * F.lit(100.0)).cast("long")) / F.lit(100.0)
 
 
-def cents(amount: Column) -> Column:
-    """Whole cents of a sum, in 64ths."""
-    return F.floor(amount * F.lit(100.0) + F.lit(0.5)) / F.lit(64.0)
+def money_sql(amount: str, where: str | None = None) -> str:
+    kept = f" FILTER (WHERE {where})" if where else ""
+    return f"CAST(sum(CAST(round_even({amount} * 100.0e0, 0) AS BIGINT)){kept} AS DOUBLE) / 100.0e0"
 
 
-def thousands_sql(amount: str) -> str:
-    return f"floor({amount} + 0.005e0) / 1024.0e0"
+def code(column: str, codes: dict[str, int]) -> Column:
+    """The code of a text; one without a code fails the query."""
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    unknown = F.raise_error(F.concat(F.lit(f"no code for {column} "), F.col(column)))
+    value = F.get(F.array(known[F.col(column)]), F.lit(0))
+    return F.when(F.col(column).isNull(), F.lit(None)).when(value.isNotNull(), value).otherwise(unknown.cast("int")).cast("int")
 
 
-def cents_sql(amount: str) -> str:
-    return f"floor({amount} * 100.0e0 + 0.5e0) / 64.0e0"
+def code_sql(column: str, codes: dict[str, int]) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.items())
+    return f"CASE {column} {cases} ELSE error('no code') END"
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +51,10 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("id"), month_number("o_orderdate").alias("st"))
         .agg(
-            thousands(F.sum(price)).alias("amt"),
+            money(price).alias("amt"),
             F.count(F.lit(1)).cast("double").alias("n"),
-            thousands(F.sum(F.when(pending, price))).alias("pend"),
-            F.min(F.substring("o_orderpriority", 1, 1).cast("int")).alias("prio"),
+            money(F.when(pending, price)).alias("pend"),
+            F.min(code("o_orderpriority", PRIORITY_CODES)).alias("prio"),
         )
     )
     return panel_index(monthly, "id", "st")
@@ -55,9 +62,9 @@ def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDERS_PANEL = f"""orders_month AS (
   SELECT o_custkey AS id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS st,
-    {thousands_sql("sum(o_totalprice)")} AS amt, CAST(count(*) AS DOUBLE) AS n,
-    {thousands_sql("sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P')")} AS pend,
-    min(CAST(substr(o_orderpriority, 1, 1) AS INT)) AS prio
+    {money_sql("o_totalprice")} AS amt, CAST(count(*) AS DOUBLE) AS n,
+    {money_sql("o_totalprice", "o_orderstatus = 'P'")} AS pend,
+    CAST(min({code_sql("o_orderpriority", PRIORITY_CODES)}) AS INT) AS prio
   FROM orders GROUP BY 1, 2),
 panel AS (SELECT *, CAST(13 - (max(st) OVER (PARTITION BY id) - st) AS INT) AS ind FROM orders_month)"""
 
@@ -70,8 +77,8 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias("id"), month_number("l_shipdate").alias("st"))
         .agg(
             F.sum(quantity).alias("qty"),
-            thousands(F.sum("l_extendedprice")).alias("price"),
-            cents(F.sum("l_discount")).alias("disc"),
+            money(F.col("l_extendedprice")).alias("price"),
+            money(F.col("l_discount")).alias("disc"),
             F.sum(F.when(returned, quantity)).alias("ret_qty"),
         )
     )
@@ -82,8 +89,8 @@ SUPPLIER_MEASURES = ("qty", "price", "disc", "ret_qty")
 
 SUPPLIER_PANEL = f"""supplier_month AS (
   SELECT l_suppkey AS id, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INT) AS st,
-    sum(l_quantity) AS qty, {thousands_sql("sum(l_extendedprice)")} AS price,
-    {cents_sql("sum(l_discount)")} AS disc,
+    sum(l_quantity) AS qty, {money_sql("l_extendedprice")} AS price,
+    {money_sql("l_discount")} AS disc,
     sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS ret_qty
   FROM lineitem GROUP BY 1, 2),
 panel AS (SELECT *, CAST(13 - (max(st) OVER (PARTITION BY id) - st) AS INT) AS ind FROM supplier_month)"""
@@ -91,32 +98,27 @@ panel AS (SELECT *, CAST(13 - (max(st) OVER (PARTITION BY id) - st) AS INT) AS i
 
 def user_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, ind) of user and day: val, buy (null without purchases), n_types, top_type."""
-    kind = F
-    for name, code in EVENT_CODES.items():
-        kind = kind.when(F.col("event_type") == name, F.lit(code))
     daily = (
         table(spark, sf_dir, "events")
-        .withColumn("kind", kind.otherwise(F.lit(-1)))
+        .withColumn("kind", code("event_type", EVENT_CODES))
         .groupBy(F.col("user_id").alias("id"), F.datediff("ts", F.lit("2024-01-01")).alias("st"))
         .agg(
-            cents(F.sum("value")).alias("val"),
-            cents(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")))).alias("buy"),
-            F.count_distinct("kind").cast("int").alias("n_types"),
+            money(F.col("value")).alias("val"),
+            money(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("buy"),
+            F.count_distinct("event_type").cast("int").alias("n_types"),
             F.min("kind").alias("top_type"),
         )
     )
     return panel_index(daily, "id", "st")
 
 
-_KIND = " ".join(f"WHEN '{k}' THEN {v}" for k, v in EVENT_CODES.items())
-
 USER_DAY_PANEL = f"""event_kind AS (
-  SELECT *, CASE event_type {_KIND} ELSE -1 END AS kind FROM events),
+  SELECT *, {code_sql("event_type", EVENT_CODES)} AS kind FROM events),
 user_day AS (
   SELECT user_id AS id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS st,
-    {cents_sql("sum(value)")} AS val,
-    {cents_sql("sum(value) FILTER (WHERE event_type = 'purchase')")} AS buy,
-    CAST(count(DISTINCT kind) AS INT) AS n_types, CAST(min(kind) AS INT) AS top_type
+    {money_sql("value")} AS val,
+    {money_sql("value", "event_type = 'purchase'")} AS buy,
+    CAST(count(DISTINCT event_type) AS INT) AS n_types, CAST(min(kind) AS INT) AS top_type
   FROM event_kind GROUP BY 1, 2),
 panel AS (SELECT *, CAST(13 - (max(st) OVER (PARTITION BY id) - st) AS INT) AS ind FROM user_day)"""
 

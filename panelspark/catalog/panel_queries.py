@@ -9,6 +9,8 @@ from panelspark.catalog.fixtures import (
     USER_DAY_PANEL,
     customer_target,
     orders_panel,
+    rounded,
+    rounded_sql,
     table,
     user_day_panel,
 )
@@ -101,15 +103,15 @@ def exact_lag_diff(spark, sf_dir):
 
 @R.query(
     f"""WITH {ORDERS_PANEL},
-    a AS (SELECT id, sum(amt) AS amt_sum FROM panel WHERE prio <= 2 GROUP BY id),
-    b AS (SELECT id, sum(pend) AS pend_sum FROM panel WHERE pend IS NOT NULL GROUP BY id)
+    a AS (SELECT id, {rounded_sql("sum(amt)", 2)} AS amt_sum FROM panel WHERE prio <= 2 GROUP BY id),
+    b AS (SELECT id, {rounded_sql("sum(pend)", 2)} AS pend_sum FROM panel WHERE pend IS NOT NULL GROUP BY id)
     SELECT coalesce(a.id, b.id) AS id, amt_sum, pend_sum, target FROM a FULL JOIN b ON a.id = b.id
     LEFT JOIN (SELECT c_custkey AS id, CAST(c_acctbal < 0 AS INT) AS target FROM customer) t ON t.id = coalesce(a.id, b.id)"""
 )
 def assemble_features(spark, sf_dir):
     panel = orders_panel(spark, sf_dir)
-    urgent = panel.filter(F.col("prio") <= 2).groupBy("id").agg(F.sum("amt").alias("amt_sum"))
-    pending = panel.filter(F.col("pend").isNotNull()).groupBy("id").agg(F.sum("pend").alias("pend_sum"))
+    urgent = panel.filter(F.col("prio") <= 2).groupBy("id").agg(rounded(F.sum("amt"), 2).alias("amt_sum"))
+    pending = panel.filter(F.col("pend").isNotNull()).groupBy("id").agg(rounded(F.sum("pend"), 2).alias("pend_sum"))
     both = P.assemble_features([urgent, pending], "id")
     return P.assemble_features([both, customer_target(spark, sf_dir)], "id", "left")
 
@@ -124,8 +126,7 @@ _CELLS = ", ".join(f"coalesce(max(CASE WHEN ind = {p} THEN {v} END), 0) AS {v}_{
 
 @R.query(f"WITH {USER_DAY_PANEL} SELECT id, {_CELLS} FROM panel GROUP BY id")
 def sequence_pivot(spark, sf_dir):
-    dense = P.densify(user_day_panel(spark, sf_dir), "id", ["val", "buy"], periods=SLOTS, fill=0.0)
-    return P.sequence_pivot(dense, "id", ["val", "buy"], periods=SLOTS)
+    return P.sequence_pivot(user_day_panel(spark, sf_dir), "id", ["val", "buy"], periods=SLOTS, fill=0.0)
 
 
 @R.query(

@@ -255,7 +255,13 @@ def build_features(
 
 
 def fill_categories(features: DataFrame, categorical: Sequence[str], fill: int = -1) -> DataFrame:
-    """Integer ``last`` and ``first`` of the categorical columns, missing ones as ``fill``."""
+    """``last`` and ``first`` of the categorical columns, missing ones as ``fill``: codes as integers, texts as texts."""
     names = [f"{c}_{agg}" for agg in ("last", "first") for c in categorical]
     present_names = [n for n in names if n in features.columns]
-    return features.withColumns({n: F.coalesce(F.col(n), F.lit(fill)).cast("int") for n in present_names})
+    types = dict(features.dtypes)
+    return features.withColumns(
+        {
+            n: F.coalesce(F.col(n), F.lit(str(fill))) if types[n] == "string" else F.coalesce(F.col(n), F.lit(fill)).cast("int")
+            for n in present_names
+        }
+    )

@@ -216,6 +216,13 @@ def null_sequences(
     return panel.groupBy(id_col).agg(*masks).selectExpr(quoted(id_col), *slots)
 
 
+def complete_sequences(ids: DataFrame, sequences: DataFrame, id_col: str, absent: int) -> DataFrame:
+    """The rows of ``ids`` with their sequences; ``absent`` fills the slots of those that have none."""
+    slots = [c for c in sequences.columns if c != id_col]
+    joined = ids.join(sequences, id_col, "left")
+    return joined.select(*ids.columns, *[F.coalesce(F.col(quoted(c)), F.lit(absent)).alias(c) for c in slots])
+
+
 def null_sequence_stack(
     train: DataFrame,
     test: DataFrame | None,
@@ -225,14 +232,17 @@ def null_sequence_stack(
     label: str,
     folds: int,
     name: str,
+    absent: int = 0,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Stack a model of null sequences into one feature ``name`` per customer.
 
     ``train`` and ``test`` come from ``null_sequences``; ``folds_frame`` has (id, label, fold).
     Train customers get their out-of-fold prediction, test customers the mean over fold models.
+    Every labelled customer gets one; those without a sequence have ``absent`` in all slots (0 for
+    the ``value`` variant, 1 for ``statement``).
     """
     slots = [c for c in train.columns if c != id_col]
-    labelled = train.join(folds_frame, id_col)
+    labelled = complete_sequences(folds_frame, train, id_col, absent)
     vectors = feature_vectors(labelled, [id_col, label, "fold"], slots, indicators=False)
     test_vectors = feature_vectors(test, [id_col], slots, indicators=False) if test is not None else None
     fitted = cross_fit(vectors, estimator, id_col, label, folds, test=test_vectors)

@@ -18,7 +18,6 @@ from panelspark.operators.skew import attach_group_values, group_values
 
 LAST_INDEX = 13
 SPLIT = "split"
-MAX_PERIODS = 10_000
 
 
 def date_parts(df: DataFrame, ts: str) -> DataFrame:
@@ -69,21 +68,23 @@ def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def period_grid(panel: DataFrame, id_col: str, index: str = "ind", periods: Sequence[int] | None = None) -> DataFrame:
-    """Every customer with every period, by exploding one array of periods per customer.
+def _slots(panel: DataFrame, index: str, periods: Sequence[int] | None) -> Column:
+    """The given periods, or all from the panel's first to its last, which are two scalars."""
+    if periods is not None:
+        return F.array(*[F.lit(int(p)).cast(dict(panel.dtypes)[index]) for p in periods])
+    low, high = (panel.agg(bound(index)).scalar() for bound in (F.min, F.max))
+    return F.sequence(low, high)
 
-    Without ``periods`` the distinct periods of the panel are used, read as one array through a
-    scalar subquery. The calendar bounds them; a column with more than ``MAX_PERIODS`` values is
-    no period index and fails the job.
-    """
-    if periods is None:
-        distinct = panel.select(index).dropna().distinct().limit(MAX_PERIODS + 1)
-        observed = F.sort_array(F.collect_list(index))
-        too_many = F.raise_error(F.lit(f"{index} has more than {MAX_PERIODS} distinct periods"))
-        slots = distinct.agg(F.when(F.size(observed) <= MAX_PERIODS, observed).otherwise(too_many)).scalar()
-    else:
-        slots = F.array(*[F.lit(int(p)) for p in periods])
-    return distinct_keys(panel, id_col).select(id_col, F.explode(slots).alias(index))
+
+def _observed(grid: DataFrame, panel: DataFrame, index: str, periods: Sequence[int] | None) -> DataFrame:
+    """Without given periods, the grid has those that the panel has."""
+    return grid if periods is not None else grid.join(distinct_keys(panel, index), index, "left_semi")
+
+
+def period_grid(panel: DataFrame, id_col: str, index: str = "ind", periods: Sequence[int] | None = None) -> DataFrame:
+    """Every customer with every period: the given ones, or all that the panel has."""
+    grid = distinct_keys(panel, id_col).select(id_col, F.explode(_slots(panel, index, periods)).alias(index))
+    return _observed(grid, panel, index, periods).select(id_col, index)
 
 
 def densify(
@@ -97,14 +98,19 @@ def densify(
 ) -> DataFrame:
     """Complete (id, period) grid with the panel's values, gaps and nulls filled.
 
-    ``present`` names an optional 0/1 column telling real rows from added ones.
+    One shuffle by id gathers a customer's rows in a map from period to values, which the calendar bounds;
+    the slots look their values up there. ``present`` names an optional 0/1 column telling real rows from
+    added ones. Rows without a period are in no slot.
     """
-    observed = panel.select(id_col, index, *values, F.lit(1).alias("__present"))
-    dense = period_grid(panel, id_col, index, periods).join(observed, [id_col, index], "left")
-    columns = [F.coalesce(F.col(v), F.lit(fill)).alias(v) for v in values]
+    cell = F.struct(F.col(index).alias("k"), F.struct(*values).alias("v"))
+    known = F.map_from_entries(F.collect_list(F.when(F.col(index).isNotNull(), cell)))
+    rows = panel.groupBy(id_col).agg(known.alias("__rows"))
+    dense = rows.select(id_col, F.explode(_slots(panel, index, periods)).alias(index), "__rows")
+    found = _observed(dense, panel, index, periods).select(id_col, index, F.col("__rows")[F.col(index)].alias("__cell"))
+    columns = [F.coalesce(F.col("__cell")[v], F.lit(fill)).alias(v) for v in values]
     if present:
-        columns.append(F.coalesce(F.col("__present"), F.lit(0)).alias(present))
-    return dense.select(id_col, index, *columns)
+        columns.append(F.col("__cell").isNotNull().cast("int").alias(present))
+    return found.select(id_col, index, *columns)
 
 
 def attach(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,13 +182,23 @@ def sequence_arrays(
 
 
 def sequence_pivot(
-    dense: DataFrame, id_col: str, values: Sequence[str], index: str = "ind", periods: Sequence[int] = range(1, 14)
+    panel: DataFrame,
+    id_col: str,
+    values: Sequence[str],
+    index: str = "ind",
+    periods: Sequence[int] = range(1, 14),
+    fill: float | int | None = None,
 ) -> DataFrame:
-    """One column ``{value}_{period}`` for every value and slot, by conditional aggregation."""
-    cells = [
-        F.max(F.when(F.col(index) == p, F.col(v))).alias(f"{v}_{p}") for v in values for p in periods
-    ]
-    return dense.groupBy(id_col).agg(*cells)
+    """One column ``{value}_{period}`` for every value and slot, by conditional aggregation.
+
+    With ``fill`` the panel may be sparse: empty slots get it, and no grid is built.
+    """
+    cells = []
+    for v in values:
+        for p in periods:
+            cell = F.max(F.when(F.col(index) == p, F.col(v)))
+            cells.append((cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(f"{v}_{p}"))
+    return panel.groupBy(id_col).agg(*cells)
 
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

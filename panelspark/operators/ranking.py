@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ def running_total(
     groups that continue from an earlier bucket need a shift: at most one per bucket, so the
     broadcast carry table never exceeds the number of shuffle partitions.
 
-    ``partition_by`` values must not be null. Select the needed columns first; all are
-    checkpointed.
+    A null in ``partition_by`` is a partition of its own. Select the needed columns first; all
+    are checkpointed.
     """
     parts = list(partition_by)
     inputs = {f"__in_{name}": value for name, value in totals.items()}
@@ -50,12 +52,14 @@ def running_total(
         )
         .filter(F.col("__earlier") > 0)
         .drop("__earlier")
+        .withColumnsRenamed({c: f"__of_{c}" for c in (*parts, _BUCKET)})
     )
 
     local = Window.partitionBy(*parts, _BUCKET).orderBy(*order_by)
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.withColumns({name: F.sum(f"__in_{name}").over(local) for name in totals})
-    shifted = summed.join(F.broadcast(carry), [*parts, _BUCKET], "left")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (_BUCKET, *parts)])
+    shifted = summed.join(F.broadcast(carry), same, "left")
     return shifted.select(
         *df.columns,
         *[(F.col(n) + F.coalesce(F.col(f"__carry_{n}"), F.lit(0))).alias(n) for n in totals],

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_GROUPS = 256
 SALTS = 1 << 20
-BROADCAST_ROWS = 10_000
 
 
 def attach_group_values(
@@ -17,16 +15,17 @@ def attach_group_values(
     groups: DataFrame,
     keys: Sequence[str],
     size: str,
-    heavy_groups: int = HEAVY_GROUPS,
+    heavy_groups: int | None = None,
 ) -> DataFrame:
     """Left join ``groups`` (unique on ``keys``) to ``rows`` without a hot task.
 
     ``size`` names the column of ``groups`` holding the number of rows of each group. The
-    ``heavy_groups`` largest groups are broadcast, which is a fixed number of rows; any other
-    group has at most ``len(rows) / heavy_groups`` of them, so the shuffle join of the rest is
-    balanced. Rows already served by the broadcast get a random-like salt that matches nothing
+    ``heavy_groups`` largest groups are broadcast, as many as there are shuffle partitions unless
+    given; any other group has less rows than the mean partition, so the shuffle join of the rest
+    is balanced. Rows already served by the broadcast get a random-like salt that matches nothing
     and spreads them over the partitions. Rows with a null key get nulls and are spread too.
     """
+    heavy_groups = heavy_groups or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     values = [c for c in groups.columns if c not in keys]
     # Both branches read the size, so they need the same shuffle, which is computed once.
@@ -70,10 +69,7 @@ def group_values(rows: DataFrame, keys: Sequence[str], size: str, **values: Colu
 def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Inner join of per-group totals, unique on ``keys`` and holding every group of ``rows``.
 
-    Groups such as folds or models are few and each has a large share of the rows, so their
-    totals are broadcast if a count finds at most ``BROADCAST_ROWS`` of them. Otherwise the
-    join is the skew-safe one.
+    Groups such as folds or models may each have a large share of the rows, so the join is the one
+    that is safe under skew; the plan does not depend on how many there are.
     """
-    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(totals), list(keys), "inner")
     return attach_group_values(present(rows, keys), totals, keys, size)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelspark.functions.cleaning import sentinel_null
-from panelspark.operators.panel import date_parts, month_number, statement_index, union_split
+from panelspark.operators.panel import month_number, statement_index, union_split
 from panelspark.plans.denoise import CleaningPreset, denoise
 
 
@@ -21,8 +22,8 @@ def prepare_panel(
     both splits before the one that applies it.
     """
     statements = denoise(union_split({"train": train, "test": test}), preset)
-    dated = date_parts(statements, ts)
-    return statement_index(dated, id_col, month_number(ts), last=last).drop("month", "year")
+    parsed = F.to_timestamp(ts) if dict(statements.dtypes)[ts] == "string" else F.col(ts)
+    return statement_index(statements.withColumn(ts, parsed), id_col, month_number(ts), last=last)
 
 
 def nulls_for_sentinels(panel: DataFrame, keys: Sequence[str], sentinel: int = -1) -> DataFrame:

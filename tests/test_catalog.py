@@ -38,5 +38,5 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(got.select(*columns).collect()) == canonical(result.fetchall())
 
 
-def test_every_query_but_training_has_sql():
+def test_every_query_but_training_of_whole_models_has_sql():
     assert set(QUERIES) - set(ORACLE_SQL) == {"cross_fit_gbt", "focal_boost", "null_sequence_stack", "recursive_selection", "cv_check"}

@@ -144,3 +144,13 @@ def test_selection_arguments(vectors):
         recursive_selection(vectors, gbt(), "y", ["a"], by="other")
     with pytest.raises(ValueError):
         recursive_selection(vectors, gbt(), "y", ["a"], by="loss")
+
+
+def test_customers_without_a_sequence_stay(spark, customers):
+    base = customers.select("id", "y", "fold").filter("id < 300")
+    panel = base.filter("id % 10 <> 0").select("id", F.lit(12).alias("ind"), F.lit(1.0).alias("x"))
+    sequences = M.null_sequences(panel, "id", ["x"], "statement", periods=[11, 12])
+    complete = M.complete_sequences(base, sequences, "id", 1)
+    assert complete.count() == base.count()
+    absent = complete.filter("id % 10 = 0").select("statement_11", "statement_12").distinct().collect()
+    assert [tuple(r) for r in absent] == [(1, 1)]

@@ -95,10 +95,17 @@ def test_densify_is_a_complete_grid(spark):
     assert P.densify(panel(spark), "id", ["x"], periods=range(1, 14)).count() == 2 * 13
 
 
-def test_period_grid_refuses_unbounded_periods(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_PERIODS", 3)
-    with pytest.raises(Exception, match="distinct periods"):
-        P.period_grid(panel(spark), "id").collect()
+def test_period_grid_has_the_observed_periods_only(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 40_000), ("b", 7), ("c", None)], "id STRING, ind INT")
+    grid = rows_of(P.period_grid(rows, "id"), "id", "ind")
+    assert grid == [(i, p) for i in "abc" for p in (1, 7, 40_000)]
+    assert P.period_grid(rows.filter("id = 'z'"), "id").count() == 0
+
+
+def test_sequence_pivot_of_a_sparse_panel_equals_that_of_the_grid(spark):
+    dense = P.densify(panel(spark), "id", ["x"], periods=[12, 13], fill=0.0)
+    want = rows_of(P.sequence_pivot(dense, "id", ["x"], periods=[12, 13]), "id")
+    assert rows_of(P.sequence_pivot(panel(spark), "id", ["x"], periods=[12, 13], fill=0.0), "id") == want
 
 
 def test_sequences(spark):

@@ -117,3 +117,15 @@ def test_empty_and_unscored_frames(frame):
     unscored = frame.filter(F.col("s").isNull())
     ranks = percent_rank(unscored, "s", "r", ["fold"]).select("r").distinct().collect()
     assert [r[0] for r in ranks] == [None]
+
+
+def test_null_partitions_count_on_across_buckets(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = row_position(rows, [F.col("id").asc()], "pos", ["p"]).groupBy("p").agg(
+            F.count_distinct("pos").alias("n"), F.max("pos").alias("top"), F.count("*").alias("rows")
+        )
+        assert all(r["n"] == r["top"] == r["rows"] for r in placed.collect()) and placed.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
