@@ -37,7 +37,8 @@ def line_keep_bitmaps(documents: DataFrame, id_col: str = "doc_id", text_col: st
     order = ["h1", "h2", "doc_id", "pos"]
     runs = frozen(hashed.repartitionByRange(*order).sortWithinPartitions(*order))
     firsts = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    shared = firsts.where(F.col("first_id") < F.col("last_id")).drop("last_id")
+    # Frozen, so that the join deals both sides anew and Spark can split what a hot line fills.
+    shared = frozen(firsts.where(F.col("first_id") < F.col("last_id")).drop("last_id"))
     bit = F.expr("shiftleft(1L, pos % 64)")
     dropped = runs.join(shared, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_id"))
     dropped = dropped.select("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"), bit.alias("bits"))
