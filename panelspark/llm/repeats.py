@@ -122,9 +122,12 @@ def repeated_keys(suffixes: DataFrame) -> DataFrame:
 
 
 def _shared(windows: DataFrame) -> DataFrame:
-    """(wkey, first_id) of windows that two documents or more hold."""
+    """(wkey, first_id) of windows that two documents or more hold.
+
+    As a table, so that a join deals both sides anew and Spark can split what a hot window fills.
+    """
     held = windows.groupBy("wkey").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    return held.where("first_id < last_id").drop("last_id")
+    return written(held.where("first_id < last_id").drop("last_id"))
 
 
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
