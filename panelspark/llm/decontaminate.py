@@ -76,14 +76,17 @@ def find_items(
 
     texts = documents.select(*identity, whole(F.col(text_col)).alias("body"))
     same = texts["doc_id"].eqNullSafe(candidates["doc_id"]) & (texts["text_hash"] == candidates["text_hash"])
-    rows = texts.join(candidates, same, "left").select(texts["doc_id"], texts["text_hash"], _words("body").alias("w"), "cands")
-    spelled = lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ")
-    found = rows.select(
-        "doc_id",
-        "text_hash",
-        F.size("w").cast("long").alias("n_words"),
-        F.array_sort(F.filter(F.coalesce("cands", F.array().cast("array<struct<start:int,len:int,win:string,items:array<string>>>")), lambda c: spelled(c) == c["win"])).alias("hits"),
-    )
+    rows = texts.join(candidates, same, "left").select(texts["doc_id"], texts["text_hash"], "body", "cands")
+    empty = F.array().cast("array<struct<start:int,len:int,win:string,items:array<string>>>")
+
+    def verify(w):
+        spelled = lambda c: F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ") == c["win"]
+        hits = F.array_sort(F.filter(F.coalesce("cands", empty), spelled))
+        return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
+
+    # The words are the one element of an array, so that they are split once however many candidates there are.
+    verified = F.get(F.transform(F.array(_words("body")), verify), F.lit(0)).alias("v")
+    found = rows.select("doc_id", "text_hash", verified).select("doc_id", "text_hash", "v.n_words", "v.hits")
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def cover(seen, hit):
