@@ -22,6 +22,12 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def row_identity(rows: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart, in a fixed order: the id, the text, then all columns (maps, which cannot be hashed, left out)."""
+    every = [F.col(f"`{c.replace('`', '``')}`") for c, kind in rows.dtypes if "map<" not in kind]
+    return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("text_hash"), F.xxhash64(*every).alias("row_hash"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the quicker built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
