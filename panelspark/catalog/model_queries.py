@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
+from panelspark.catalog.feature_queries import CATEGORICAL as CATEGORY_COLUMNS, NUMERIC as NUMBER_COLUMNS
 from panelspark.catalog.fixtures import (
     ORDERS_PANEL,
     USER_DAY_PANEL,
@@ -21,7 +22,7 @@ from panelspark.catalog.fixtures import (
 )
 from panelspark.catalog.registry import Registry
 from panelspark.functions.losses import FocalLoss
-from panelspark.operators.features import PanelSpec, build_features
+from panelspark.operators.features import PanelSpec, build_features, feature_catalog
 from panelspark.operators.folds import in_holdout, stratified_folds
 from panelspark.operators.models import (
     complete_sequences,
@@ -32,32 +33,37 @@ from panelspark.operators.models import (
     null_sequence_stack as stack_null_sequences,
     null_sequences,
 )
-from panelspark.operators.selection import recursive_selection as select_recursively
+from panelspark.operators.selection import STEPS, TARGETS, recursive_selection as select_recursively
 
 R = Registry()
 FOLDS = 5
-NUMERIC = ["amt_last", "amt_mean", "n_max", "pend_last", "amt_last_mean_ratio", "amt_recentmean"]
-CATEGORICAL = ["prio_last"]
+#: All features of the build. Of a category column, the last and first value are categories; counts and null patterns are numbers.
+FEATURES = [f.name for f in feature_catalog(NUMBER_COLUMNS, CATEGORY_COLUMNS)]
+CATEGORICAL = [f"{c}_{agg}" for agg in ("last", "first") for c in CATEGORY_COLUMNS]
+NUMERIC = [name for name in FEATURES if name not in CATEGORICAL]
+#: Trees of a model and rounds of focal boosting: the number that GBTClassifier has by itself.
+TREES = 20
+#: Sizes in the proportion of 2500, 1500 and 500 to the 4,859 features of a 181-column panel.
+SELECTED = tuple(round(len(FEATURES) * size / 4859) for size in TARGETS)
 
 
-def _gbt(trees: int = 4, **params) -> GBTClassifier:
+def _gbt(trees: int = TREES, **params) -> GBTClassifier:
     return GBTClassifier(labelCol="target", featuresCol="features", maxIter=trees, maxDepth=3, seed=42, **params)
 
 
 def _features(spark, sf_dir):
     """(id, target, features...) of customers with orders."""
-    names = [*NUMERIC, *CATEGORICAL]
-    table = build_features(orders_panel(spark, sf_dir), PanelSpec("id"), ["amt", "n", "pend"], ["prio"], names)
+    table = build_features(orders_panel(spark, sf_dir), PanelSpec("id"), NUMBER_COLUMNS, CATEGORY_COLUMNS)
     return table.join(customer_target(spark, sf_dir), "id")
 
 
-def _train_vectors(spark, sf_dir, categorical=CATEGORICAL, indicators=True, everyone=True):
+def _train_vectors(spark, sf_dir, numeric=NUMERIC, categorical=CATEGORICAL, indicators=True, everyone=True):
     """Vectors with folds of all customers, or of those that are not kept for the test split."""
     features = _features(spark, sf_dir)
     features = features if everyone else features.filter(F.col("id") % 5 != 0)
     folds = stratified_folds(features.select("id", "target"), "id", "target", FOLDS)
     joined = features.join(folds.select("id", "fold"), "id")
-    return feature_vectors(joined, ["id", "target", "fold"], NUMERIC, categorical, indicators)
+    return feature_vectors(joined, ["id", "target", "fold"], numeric, categorical, indicators)
 
 
 def _test_vectors(spark, sf_dir):
@@ -76,7 +82,7 @@ def cross_fit_gbt(spark, sf_dir):
 def focal_boost(spark, sf_dir):
     loss = FocalLoss(gamma=2.0, alpha=0.3)
     vectors = _train_vectors(spark, sf_dir)
-    return cross_fit_focal(vectors, loss, "id", "target", FOLDS, rounds=4, max_depth=3, learning_rate=0.3, checkpoint_every=2)
+    return cross_fit_focal(vectors, loss, "id", "target", FOLDS, rounds=TREES, max_depth=3, learning_rate=0.3, checkpoint_every=5)
 
 
 def _buyers(spark, sf_dir):
@@ -186,18 +192,19 @@ def null_sequence_stump(spark, sf_dir):
 
 @R.query()
 def recursive_selection(spark, sf_dir):
-    vectors = _train_vectors(spark, sf_dir, (), False)
+    """All features, the ordered priority codes as numbers, so that their means are neutral values too."""
+    vectors = _train_vectors(spark, sf_dir, FEATURES, (), False)
     held = in_holdout("id")
     train, holdout = vectors.filter(~held), vectors.filter(held)
     rows = []
     for by in ("importance", "loss"):
-        chosen = select_recursively(train, _gbt(2), "target", NUMERIC, (4, 2), 2, by, holdout)
+        chosen = select_recursively(train, _gbt(), "target", FEATURES, SELECTED, STEPS, by, holdout)
         rows += [(by, size, i, name) for size, names in chosen.items() for i, name in enumerate(names)]
     return spark.createDataFrame(rows, "criterion STRING, target INT, pos INT, feature STRING")
 
 
 @R.query()
 def cv_check(spark, sf_dir):
-    learner = _gbt(6, validationTol=0.001)
+    learner = _gbt(validationTol=0.001)
     report = check_features(_train_vectors(spark, sf_dir), learner, "id", "target", FOLDS)
     return report.select("fold", rounded("metric").alias("metric"), rounded("log_loss").alias("log_loss"), "trees")

@@ -154,3 +154,14 @@ def test_customers_without_a_sequence_stay(spark, customers):
     assert complete.count() == base.count()
     absent = complete.filter("id % 10 = 0").select("statement_11", "statement_12").distinct().collect()
     assert [tuple(r) for r in absent] == [(1, 1)]
+
+
+def test_model_queries_take_every_feature_of_the_build(spark):
+    from panelspark.catalog import QUERIES
+    from panelspark.catalog import model_queries as Q
+
+    built = QUERIES["feature_build"](spark, "/root/testdata/sf0.001").columns
+    assert sorted([*Q.NUMERIC, *Q.CATEGORICAL]) == sorted(Q.FEATURES) == sorted(built[1:]) and len(Q.FEATURES) == 93
+    assert Q.SELECTED == (48, 29, 10) and Q.STEPS == 10
+    vectors = Q._train_vectors(spark, "/root/testdata/sf0.001")
+    assert len(vectors.first()["features"]) == 2 * len(Q.NUMERIC) + len(Q.CATEGORICAL)
