@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import fresh, frozen, whole
+from panelspark.llm.common import fresh, frozen, row_identity, whole
 from panelspark.llm.components import connected_components
 
 BITS = 64
@@ -210,12 +210,13 @@ def fingerprint_hex(fp: Column) -> Column:
 def simhash_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``documents`` per component, all columns: the one with the smallest id.
 
-    Of rows that share that id one stays; rows without an id all stay.
+    Rows of one id are told apart by text, then by the other columns, and the first of that order stays;
+    rows without an id all stay.
     """
-    found = simhash_components(documents, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id"))
-    (name,) = fresh(documents, "_kept")
-    ids = kept.select(F.col("doc_id").alias(name)).distinct()
-    rows = documents.join(ids, documents[id_col] == F.col(name), "left").where(F.col(name).isNotNull() | F.col(id_col).isNull()).drop(name)
+    (name,) = fresh(documents, "_identity")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), row_identity(documents, id_col, text_col).alias("identity"))
+    rows = documents.withColumn(name, order)
+    found = simhash_components(rows, name, text_col, **options)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name))
     with_id, without = rows.where(F.col(id_col).isNotNull()), rows.where(F.col(id_col).isNull())
-    return with_id.dropDuplicates([id_col]).unionByName(without)
+    return with_id.join(kept, name, "left_semi").dropDuplicates([name]).unionByName(without).drop(name)

@@ -139,3 +139,11 @@ def test_passages_across_chunks_and_in_empty_tables(documents, odd_rows):
     want = slow_passages([(r[0], r[1]) for r in odd_rows])
     assert {tuple(r) for r in got.collect()} == want
     assert repeated_passages(documents([])).count() == 0
+
+
+def test_simhash_dedup_tells_rows_of_one_id_apart_by_text(documents):
+    from panelspark.llm.simhash import simhash_dedup
+
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    got = simhash_dedup(documents([(5, a), (5, b), (1, b), (1, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, b), (5, a)]
