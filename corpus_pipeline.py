@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelspark.llm.common import shared_folder
 from panelspark.llm.decontaminate import decontaminate
 from panelspark.llm.mixing import mix_documents
-from panelspark.llm.near_copies import near_copy_dedup
+from panelspark.llm.simhash import simhash_dedup
 from panelspark.llm.token_files import token_files
 from panelspark.llm.toxicity import drop_toxic
 
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles of Jaccard 0.8 or more, the one with the smallest id stays."""
-    return near_copy_dedup(docs)
+    """Of each group of documents whose SimHash of 4-word shingles differs in 4 bits or fewer, the one with the smallest id stays."""
+    return simhash_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
