@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.collocations import collocations
 from panelspark.llm.decontaminate import find_items
 from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.html_main import main_text
@@ -145,3 +146,41 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_collocations",
+    f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+    ), worded AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    tokens AS (SELECT lang, p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded WHERE len(w) > 0),
+    f1 AS (SELECT lang, word, count(*) AS a FROM tokens GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+    g1 AS (SELECT lang, p, i, word FROM tokens JOIN f1 USING (lang, word) WHERE a >= 30),
+    g2 AS (SELECT x.lang, x.p, x.i, x.word || ' ' || y.word AS phrase FROM g1 x JOIN g1 y ON y.p = x.p AND y.i = x.i + 1),
+    g3 AS (SELECT x.lang, x.p, x.i, x.phrase || ' ' || y.word AS phrase FROM g2 x JOIN g1 y ON y.p = x.p AND y.i = x.i + 2),
+    g4 AS (SELECT x.lang, x.p, x.i, x.phrase || ' ' || y.word AS phrase FROM g3 x JOIN g1 y ON y.p = x.p AND y.i = x.i + 3),
+    f AS (
+        SELECT lang, 1 AS k, word AS phrase, a FROM f1 UNION ALL SELECT lang, 2, phrase, count(*) FROM g2 GROUP BY ALL
+        UNION ALL SELECT lang, 3, phrase, count(*) FROM g3 GROUP BY ALL UNION ALL SELECT lang, 4, phrase, count(*) FROM g4 GROUP BY ALL
+    ), frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 30),
+    cuts AS (
+        SELECT lang, phrase, w, k, a, c FROM frequent, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k
+    ), scored AS (
+        SELECT x.lang, x.phrase, x.k, x.a, c, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * x.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+        FROM cuts x JOIN frequent l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : c], ' ')
+        JOIN frequent r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[c + 1 : x.k], ' ')
+    ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    inner_of AS (
+        SELECT x.lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS longer
+        FROM frequent x, (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([2, 3]) AS m) WHERE m < k AND s + m - 1 <= k GROUP BY ALL
+    ), kept AS (
+        SELECT t.* FROM lowest t LEFT JOIN inner_of i ON i.lang = t.lang AND i.phrase = t.phrase
+        WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
