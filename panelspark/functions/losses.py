@@ -1,9 +1,10 @@
-"""Focal loss and its derivatives in the logit, and log loss, as column expressions."""
+"""Focal loss and its derivatives in the logit, and log loss, as column expressions and, for boosting tasks, on arrays."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,35 @@ class FocalLoss:
     gamma: float = 2.0
     alpha: float | None = None
 
+    def _terms(self, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class weight, class sign and probability of the true class."""
+        p = np.clip(1.0 / (1.0 + np.exp(-margin)), FOCAL_EPSILON, 1.0 - FOCAL_EPSILON)
+        weight = 1.0 if self.alpha is None else np.where(y == 1, self.alpha, 1.0 - self.alpha)
+        return weight, np.where(y == 1, 1.0, -1.0), np.where(y == 1, p, 1.0 - p)
+
+    def values(self, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        weight, _, q = self._terms(y, margin)
+        return -weight * (1.0 - q) ** self.gamma * np.log(q)
+
+    def derivatives(self, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second derivative in the margin, as ``gradient`` and ``hessian``."""
+        weight, sign, q = self._terms(y, margin)
+        g, f, log = self.gamma, 1.0 - q, np.log(q)
+        slope = g * q * log - f
+        curve = -g * f ** (g - 1.0) * slope + f**g * (g * log + g + 1.0)
+        return weight * sign * f**g * slope, weight * curve * q * f
+
+    def start(self, n1: int, n0: int) -> float:
+        """Log odds of the best constant probability, on the grid of ``focal_init_score``."""
+
+        def best(p: np.ndarray) -> float:
+            margin = np.log(p / (1.0 - p))
+            return float(p[np.argmin(n1 * self.values(np.ones(1), margin) + n0 * self.values(np.zeros(1), margin))])
+
+        p = best(np.arange(1, 10_000) / 10_000.0)
+        p = best(p + np.arange(-99, 100) / 1_000_000.0)
+        return float(np.log(p / (1.0 - p)))
+
     def _class_weight(self, label: Column) -> Column:
         if self.alpha is None:
             return F.lit(1.0)
@@ -64,6 +94,22 @@ class FocalLoss:
         return self._class_weight(y) * (from_power + from_slope) * q * f
 
 
+@dataclass(frozen=True)
+class LogLoss:
+    """Log loss, for boosting tasks."""
+
+    def values(self, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        return np.logaddexp(0.0, np.where(y == 1, -margin, margin))
+
+    def derivatives(self, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1.0 / (1.0 + np.exp(-margin))
+        return p - y, p * (1.0 - p)
+
+    def start(self, n1: int, n0: int) -> float:
+        """Log odds of the positive share; 0 if a class is missing."""
+        return float(np.log(n1 / n0)) if n1 and n0 else 0.0
+
+
 def log_loss(label: Column | str, probability: Column | str) -> Column:
     p = clip_probability(probability, LOG_LOSS_EPSILON)
     return -F.when(as_column(label) == 1, F.log(p)).otherwise(F.log(F.lit(1.0) - p))
