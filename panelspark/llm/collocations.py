@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,15 @@ SHARE = 80
 SCALE = 2_000_000
 TOP = 2000
 NO_LANG = "und"
-#: What ends a piece, and words between blanks; in lower-cased UTF-8.
-TOKEN = rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+"
+#: What ends a piece.
+ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Stands for any run of piece ends inside a chunk. No word contains it.
 END = b"."
 #: One in so many windows of words starts a chunk.
 PERIOD = 24
 #: A chunk without such a window is cut after so many tokens.
 LONGEST = 4096
-#: Bits of the tables of frequent words and word pairs (8 MB each).
+#: Bits of the tables of frequent words, pairs and so on (8 MB each).
 TABLE_BITS = 26
 #: Distinct chunks, words or phrases that a task holds before it passes their counts on.
 HELD = 400_000
@@ -38,6 +40,16 @@ HELD = 400_000
 RANK_PARTS = 64
 
 
+def tokens_of(text: str) -> list[bytes]:
+    """Words, A-Z lower-cased, and one ``END`` for each run of piece ends."""
+    marked = text.encode().lower().translate(_TO_END)
+    return _END_RUN.sub(b" . ", marked).split()
+
+
+_TO_END = bytes.maketrans(ENDS, END * len(ENDS))
+_END_RUN = re.compile(rb"\.[. \t]*")
+
+
 def cuts(hashes: np.ndarray, overlap: int, period: int = PERIOD, longest: int = LONGEST) -> np.ndarray:
     """Where chunks start: at 0 and at each window of ``overlap`` tokens whose hash is 0 modulo ``period``."""
     n = len(hashes)
@@ -62,9 +74,7 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
     """
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, hashes, held = regex.compile(TOKEN).findall, WordHashes(), {}
+        hashes, held = WordHashes(), {}
 
         def rows() -> pa.RecordBatch:
             langs, chunks, own = zip(*held, strict=True)
@@ -73,7 +83,7 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
 
         for batch in batches:
             for body, tongue in zip(batch["body"], batch["lang"].to_pylist(), strict=True):
-                tokens = [t if t[0] not in b".,;:!?\n\x0b\x0c\r" else END for t in find(body.as_py().encode().lower())]
+                tokens = tokens_of(body.as_py())
                 starts = cuts(hashes.of(tokens), overlap).tolist()
                 for a, b in zip(starts, [*starts[1:], len(tokens)], strict=True):
                     key = (tongue, b" ".join(tokens[a : b + overlap]), b - a)
@@ -89,100 +99,138 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
     return parts.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-class Phrases:
-    """The tokens of many chunks side by side, each chunk closed by an end."""
+class Vocabulary:
+    """Words of each language by number, with their hashes; 0 is no word."""
 
-    def __init__(self, batch: pa.RecordBatch, hashes: WordHashes, seeds: WordHashes):
-        chunks = [c.as_py().encode().split(b" ") for c in batch["chunk"]]
-        langs, own = batch["lang"].to_pylist(), batch["own"].to_numpy(zero_copy_only=False)
-        self.langs, self.weights = langs, batch["n"].to_numpy(zero_copy_only=False)
-        sizes = np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks))
-        self.tokens = [t for c in chunks for t in (*c, END)]
-        self.chunk = np.repeat(np.arange(len(chunks)), sizes)
-        place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = place < own[self.chunk]
-        words, seed = hashes.of(self.tokens), seeds.of([tongue.encode() for tongue in langs])
-        end = hashes[END]
-        self.words = words != np.uint64(end)
-        self.words &= np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)) > 0  # an empty text has one empty token
-        self.hash = mixed(seed[self.chunk], words)
+    def __init__(self):
+        import xxhash
 
-    def longer(self, hashes: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the phrases of one word more, and which of them have both parts of one word less."""
-        return mixed(hashes[:-1], hashes[1:]), alive[:-1] & alive[1:]
+        self.digest, self.langs = xxhash.xxh64_intdigest, {}
+        self.words: list[tuple[str, bytes]] = [("", b"")]
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
 
+    def of(self, lang: str) -> dict[bytes, int]:
+        if lang not in self.langs:
+            self.langs[lang] = _Language(self, lang)
+        return self.langs[lang]
+
+    def add(self, lang: str, seed: int, word: bytes) -> int:
+        number = len(self.words)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[number] = self.digest(word, seed)
+        self.words.append((lang, word))
+        return number
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.zeros(len(found), dtype=np.int64)
-    np.add.at(sums, at, np.concatenate(counts))
-    return found, sums
+
+class _Language(dict):
+    def __init__(self, vocabulary: Vocabulary, lang: str):
+        super().__init__({END: 0, b"": 0})
+        self.vocabulary, self.lang, self.seed = vocabulary, lang, vocabulary.digest(lang.encode())
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.vocabulary.add(self.lang, self.seed, word)
+        return found
+
+
+class Chunks:
+    """The words of many chunks side by side as numbers, each chunk closed by a 0."""
+
+    def __init__(self, batch: pa.RecordBatch, vocabulary: Vocabulary):
+        texts = [text.encode().split(b" ") for text in batch["chunk"].to_pylist()]
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        words = chain.from_iterable(chain(map(vocabulary.of(lang).__getitem__, t), (0,)) for lang, t in zip(batch["lang"].to_pylist(), texts, strict=True))
+        self.words = np.fromiter(words, np.int64, int(sizes.sum()))
+        self.weights = np.repeat(batch["n"].to_numpy(zero_copy_only=False), sizes)
+        place = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.own = place < np.repeat(batch["own"].to_numpy(zero_copy_only=False), sizes)
+        self.vocabulary = vocabulary
+
+    def phrases(self, tables: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... words: hashes of the phrases from each place on, and whether all their shorter parts are in the tables."""
+        hashes, alive = self.vocabulary.hashes[self.words], self.words > 0
+        yield hashes, alive
+        for table in tables:
+            at = np.flatnonzero(alive)
+            alive = alive.copy()
+            alive[at] = in_table(table, hashes[at])
+            hashes, alive = mixed(hashes[:-1], hashes[1:]), alive[:-1] & alive[1:]
+            yield hashes, alive
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
     """(lang, word, hash, n) of all words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds, held = WordHashes(), WordHashes(1), {}
+        vocabulary, sums = Vocabulary(), np.zeros(0)
 
         def rows() -> pa.RecordBatch:
-            langs, words = zip(*held, strict=True)
-            seen = mixed(seeds.of([tongue.encode() for tongue in langs]), hashes.of(list(words))).view(np.int64)
-            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(seen), pa.array(held.values(), pa.int64())]
+            at = np.flatnonzero(sums)
+            langs, words = zip(*(vocabulary.words[i] for i in at.tolist()), strict=True)
+            hashes = vocabulary.hashes[at].view(np.int64)
+            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(sums[at].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, ["lang", "word", "hash", "n"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_of = Phrases(batch, hashes, seeds)
-            at = np.flatnonzero(all_of.words & all_of.own)
-            found, first, back = np.unique(all_of.hash[at], return_index=True, return_inverse=True)
-            sums = np.zeros(len(found), dtype=np.int64)
-            np.add.at(sums, back, all_of.weights[all_of.chunk[at]])
-            for i, n in zip(at[first].tolist(), sums.tolist(), strict=True):
-                key = (all_of.langs[all_of.chunk[i]], all_of.tokens[i])
-                held[key] = held.get(key, 0) + n
-            if len(held) >= HELD:
-                yield rows()
-                held.clear()
-        if held:
+            seen = Chunks(batch, vocabulary)
+            at = np.flatnonzero(seen.own & (seen.words > 0))
+            new = np.bincount(seen.words[at], seen.weights[at], len(vocabulary.words))
+            new[: len(sums)] += sums
+            sums = new
+            if len(vocabulary.words) > HELD:
+                if sums.any():
+                    yield rows()
+                vocabulary, sums = Vocabulary(), np.zeros(0)
+        if sums.any():
             yield rows()
 
     parts = chunks.mapInArrow(counted, "lang string, word string, hash long, n long")
     return parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(chunks: DataFrame, words: Broadcast) -> DataFrame:
-    """(hash, n) of all pairs of neighbouring words that are both in the table ``words``."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast]) -> DataFrame:
+    """(hash, n) of all phrases of one word more than there are tables, whose shorter parts are in the tables."""
+    tables = list(tables)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds, keys, counts = WordHashes(), WordHashes(1), [], []
+        vocabulary, keys, counts, size, bits = Vocabulary(), [], [], 0, [t.value for t in tables]
+
+        def rows() -> pa.RecordBatch:
+            found, sums = _merged(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["hash", "n"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_of = Phrases(batch, hashes, seeds)
-            pairs, alive = all_of.longer(all_of.hash, all_of.words & in_table(words.value, all_of.hash))
-            at = np.flatnonzero(alive & all_of.own[:-1])
-            keys.append(pairs[at])
-            counts.append(all_of.weights[all_of.chunk[at]])
-            if sum(map(len, keys)) >= 4 * HELD:
-                found, sums = _merged(keys, counts)
-                keys, counts = [found], [sums]
-                if len(found) >= 2 * HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["hash", "n"])
-                    keys, counts = [], []
+            seen = Chunks(batch, vocabulary)
+            *_, (hashes, alive) = seen.phrases(bits)
+            at = np.flatnonzero(alive & seen.own[: len(alive)])
+            keys.append(hashes[at])
+            counts.append(seen.weights[at])
+            size += len(at)
+            if size >= 4 * HELD:
+                yield rows()
+                keys, counts, size = [], [], 0
+            if len(vocabulary.words) > HELD:
+                vocabulary = Vocabulary()
         if keys:
-            found, sums = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["hash", "n"])
+            yield rows()
 
     return chunks.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def count_phrases(chunks: DataFrame, words: Broadcast, pairs: Broadcast, max_words: int) -> DataFrame:
-    """(lang, phrase, words, a) of all phrases of 2 to ``max_words`` words whose every word and pair is in the tables, by text."""
+def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int) -> DataFrame:
+    """(lang, phrase, words, a) of all phrases of 2 to ``max_words`` words that are in the tables with all their parts, by text."""
+    tables = list(tables)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds, held = WordHashes(), WordHashes(1), {}
+        vocabulary, held, bits = Vocabulary(), {}, [t.value for t in tables]
 
         def rows() -> pa.RecordBatch:
             langs, phrases, sizes = zip(*held, strict=True)
@@ -190,22 +238,24 @@ def count_phrases(chunks: DataFrame, words: Broadcast, pairs: Broadcast, max_wor
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_of = Phrases(batch, hashes, seeds)
-            longer, alive = all_of.longer(all_of.hash, all_of.words & in_table(words.value, all_of.hash))
-            alive &= in_table(pairs.value, longer)
-            for size in range(2, max_words + 1):
-                if size > 2:
-                    alive = alive[:-1] & alive[1:]
-                at = np.flatnonzero(alive & all_of.own[: len(alive)])
-                chunk = all_of.chunk[at]
-                for i, c, n in zip(at.tolist(), chunk.tolist(), all_of.weights[chunk].tolist(), strict=True):
-                    key = (all_of.langs[c], b" ".join(all_of.tokens[i : i + size]), size)
+            seen = Chunks(batch, vocabulary)
+            for size, (hashes, alive) in enumerate(seen.phrases(bits), 1):
+                if size == 1:
+                    continue
+                at = np.flatnonzero(alive & seen.own[: len(alive)])
+                if size <= len(bits):
+                    at = at[in_table(bits[size - 1], hashes[at])]
+                phrases = np.stack([seen.words[at + i] for i in range(size)], axis=1)
+                found, back = np.unique(phrases, axis=0, return_inverse=True) if len(at) else (phrases, at)
+                for phrase, n in zip(found.tolist(), np.bincount(back.ravel(), seen.weights[at], len(found)).astype(np.int64).tolist(), strict=True):
+                    words = [vocabulary.words[w] for w in phrase]
+                    key = (words[0][0], b" ".join(w for _, w in words), size)
                     held[key] = held.get(key, 0) + n
             if len(held) >= HELD:
                 yield rows()
                 held.clear()
+            if len(vocabulary.words) > HELD:
+                vocabulary = Vocabulary()
         if held:
             yield rows()
 
@@ -235,9 +285,9 @@ def collocations(
     language's word count. Ranks are by score and a, largest first, then by phrase.
 
     Texts become a dictionary of overlapping chunks with frequencies, and all counting is done once per
-    distinct chunk. Words are counted first, then pairs of frequent words, then phrases of frequent pairs: no
-    phrase is more frequent than its parts. Frequent words and pairs are bit tables of a fixed size, which
-    let some rare ones through and miss none; final counts are by text. Counts are longs, products decimals.
+    distinct chunk. Words are counted first, then pairs of frequent words, then triples of frequent pairs, and
+    so on: no phrase is more frequent than its parts. What is frequent is kept as bit tables of a fixed size, which
+    let some rare phrases through and miss none; final counts are by text. Counts are longs, products decimals.
 
     A null language is ``und``, a null or empty text has no words, repeated rows count each time, an empty
     table gives no rows. Texts of any length are read whole; other columns are not read.
@@ -246,10 +296,10 @@ def collocations(
     chunks = written(parse(documents, text, lang, max_words - 1))
     words = written(count_words(chunks))
     frequent = words.where(F.col("n") >= min_count)
-    word_table = bit_table(frequent, "hash", TABLE_BITS)
-    pairs = count_pairs(chunks, word_table).where(F.col("n") >= min_count)
-    phrases = count_phrases(chunks, word_table, bit_table(pairs, "hash", TABLE_BITS), max_words)
-    candidates = written(phrases.where(F.col("a") >= min_count))
+    tables = [bit_table(frequent, "hash", TABLE_BITS)]
+    while len(tables) < max_words - 1:
+        tables.append(bit_table(count_hashes(chunks, tables).where(F.col("n") >= min_count), "hash", TABLE_BITS))
+    candidates = written(count_phrases(chunks, tables, max_words).where(F.col("a") >= min_count))
     return _scored(candidates, frequent, words.groupBy("lang").agg(F.sum("n").alias("n")), share, scale, top)
 
 

@@ -22,7 +22,7 @@ def bit_table(keys: DataFrame, key: str | Column, bits: int) -> Broadcast:
     rows = keys.select(place).groupBy(F.shiftright("place", ROW_BITS).alias("row"))
     rows = rows.agg(F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << ROW_BITS) - 1)).alias("bitmap"))
     table = np.zeros((1 << (bits - ROW_BITS), 1 << (ROW_BITS - 3)), dtype=np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         table[row["row"]] = np.frombuffer(row["bitmap"], dtype=np.uint8)
     return keys.sparkSession.sparkContext.broadcast(table.ravel())
 

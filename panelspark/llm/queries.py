@@ -13,8 +13,10 @@ from panelspark.llm.exact_dedup import exact_dedup
 from panelspark.llm.html_main import main_text
 from panelspark.llm.line_dedup import line_dedup
 from panelspark.llm.mixing import mix_plan
+from panelspark.llm.ngram_jaccard import ngram_jaccard_components
 from panelspark.llm.repeats import repeated_passages
 from panelspark.llm.simhash import fingerprint_hex, simhash_components
+from panelspark.llm.spelling import MIN_COUNT, count_runs, spelling_variants
 from panelspark.llm.token_counts import count_tokens
 from panelspark.llm.token_files import token_files
 from panelspark.llm.toxicity import score_toxicity
@@ -184,3 +186,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+#: One in so many distinct words of a document loses a letter.
+DAMAGE = 31
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_runs(table(spark, sf_dir, "documents"), damage_every=DAMAGE)
+    return spelling_variants(words.where(F.col("n") >= MIN_COUNT))
+
+
+@query(
+    "op13_ngram_jaccard",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+    ), smallest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN smallest USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+)
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
