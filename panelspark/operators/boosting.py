@@ -90,10 +90,11 @@ def drop_set(params: BoostParams, round_: int) -> tuple[int, ...]:
     return tuple(np.flatnonzero(uniform(params.seed, 2, round_, np.arange(round_)) < params.drop_rate).tolist())
 
 
-def sampled_columns(params: BoostParams, round_: int, features: int) -> np.ndarray:
-    """Features of a tree, in order."""
-    n = max(round(params.column_share * features), 1)
-    return np.sort(np.argsort(uniform(params.seed, 3, round_, np.arange(features)), kind="stable")[:n])
+def sampled_columns(params: BoostParams, round_: int, features: Sequence[int]) -> np.ndarray:
+    """Features of a tree out of those that may be used, in order."""
+    allowed = np.asarray(features)
+    n = max(round(params.column_share * len(allowed)), 1)
+    return np.sort(allowed[np.argsort(uniform(params.seed, 3, round_, allowed), kind="stable")[:n]])
 
 
 @dataclass
@@ -160,8 +161,18 @@ class Booster:
     all trees; trees since the last checkpoint are applied when a task reads the row.
     """
 
-    def __init__(self, rows: DataFrame, cuts: Sequence[np.ndarray], loss: LogLoss | FocalLoss, params: BoostParams, folds: int | None, init_score: float | None):
+    def __init__(
+        self,
+        rows: DataFrame,
+        cuts: Sequence[np.ndarray],
+        loss: LogLoss | FocalLoss,
+        params: BoostParams,
+        folds: int | None = None,
+        init_score: float | None = None,
+        allowed: Sequence[int] | None = None,
+    ):
         self.cuts, self.loss, self.params, self.folds = [np.asarray(c) for c in cuts], loss, params, folds
+        self.allowed = range(len(self.cuts)) if allowed is None else allowed
         self.models = folds or 1
         counts = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
         self.forests = []
@@ -170,7 +181,7 @@ class Booster:
             self.forests.append(Forest(loss.start(n1, n0) if init_score is None else init_score, [], []))
         self.stored = 0  # trees in the steps
         empty = np.zeros(0 if params.drops else self.models).tobytes()
-        self.rows = checkpoint_frame(rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins", F.lit(empty).alias("steps")))
+        self.rows = rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins", F.lit(empty).alias("steps"))
 
     def read(self, forests: Sequence[Forest], left_out: Sequence[int] = ()):
         """A function from a batch to (codes, margins by model), for tasks."""
@@ -215,7 +226,7 @@ class Booster:
 
     def grow(self, round_: int) -> list[Tree]:
         """One tree per model, on the margins without the trees that the round leaves out."""
-        params, columns = self.params, sampled_columns(self.params, round_, len(self.cuts))
+        params, columns = self.params, sampled_columns(self.params, round_, self.allowed)
         margins = self.read(self.forests, drop_set(params, round_))
         growths = [Growth(Tree()) for _ in range(self.models)]
         for growth in growths:
@@ -440,30 +451,28 @@ class Boosted:
     metrics: list[list[float]]
 
 
-def boost(
-    df: DataFrame,
-    label: str,
-    id_col: str,
-    loss: LogLoss | FocalLoss | None = None,
-    params: BoostParams | None = None,
+def binned_rows(
+    df: DataFrame, label: str, id_col: str, cuts: Sequence[np.ndarray], fold: str | None = None, features: str = "features"
+) -> DataFrame:
+    """(id, y, fold, bins), written once for all rounds."""
+    part = F.lit(0) if fold is None else F.col(fold)
+    keep = [F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), part.cast("int").alias("fold")]
+    return checkpoint_frame(binned(df, keep, cuts, features))
+
+
+def boost_rows(
+    rows: DataFrame,
+    cuts: Sequence[np.ndarray],
+    loss: LogLoss | FocalLoss,
+    params: BoostParams,
     folds: int | None = None,
-    fold: str = "fold",
-    features: str = "features",
     init_score: float | None = None,
-    cuts: Sequence[np.ndarray] | None = None,
+    allowed: Sequence[int] | None = None,
 ) -> Boosted:
-    """Boost on a feature column (array or vector; NULL and NaN are missing): one forest, or one per fold on the rows of the others.
-
-    Leaves hold Newton steps with L2. ``init_score`` is the loss's best constant by default. ``cuts`` and bins
-    serve all folds and rounds. Sampling and drops depend on the seed, the round and the id alone.
-    """
-    loss, params = loss or LogLoss(), params or BoostParams()
+    """``boost`` on rows that are binned already, with the ``allowed`` features only (default: all)."""
     if params.patience and (folds is None or params.drops):
         raise ValueError("patience needs folds to measure on, and rounds that later ones don't change")
-    cuts = quantile_cuts(df, features, bins=params.bins) if cuts is None else cuts
-    part = F.lit(0) if folds is None else F.col(fold)
-    rows = binned(df, [F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), part.cast("int").alias("fold")], cuts, features)
-    booster = Booster(rows, cuts, loss, params, folds, init_score)
+    booster = Booster(rows, cuts, loss, params, folds, init_score, allowed)
     metrics: list[list[float]] = [[] for _ in booster.forests]
     for round_ in range(params.rounds):
         booster.add(booster.grow(round_), round_)
@@ -480,6 +489,29 @@ def boost(
     return Boosted(booster.forests, metrics)
 
 
+def boost(
+    df: DataFrame,
+    label: str,
+    id_col: str,
+    loss: LogLoss | FocalLoss | None = None,
+    params: BoostParams | None = None,
+    folds: int | None = None,
+    fold: str = "fold",
+    features: str = "features",
+    init_score: float | None = None,
+    cuts: Sequence[np.ndarray] | None = None,
+) -> Boosted:
+    """Boost on a feature column (array or vector; NULL and NaN are missing): one forest, or one per fold on the rows of the others.
+
+    Leaves hold Newton steps with L2. ``init_score`` is the loss's best constant by default. ``cuts`` and bins
+    serve all folds and rounds. Sampling and drops depend on the seed, the round and the id alone.
+    """
+    params = params or BoostParams()
+    cuts = quantile_cuts(df, features, bins=params.bins) if cuts is None else cuts
+    rows = binned_rows(df, label, id_col, cuts, None if folds is None else fold, features)
+    return boost_rows(rows, cuts, loss or LogLoss(), params, folds, init_score)
+
+
 def best_round(metric: Sequence[float]) -> int:
     """The first round (from 1) with the largest metric."""
     return int(np.argmax(metric)) + 1

@@ -1,7 +1,6 @@
-"""Cross-fitted Spark ML models: out-of-fold predictions, focal boosting, stacking, checks.
+"""Cross-fitted models: out-of-fold predictions, focal boosting, stacking, checks.
 
-Model training is Spark ML's own distributed training. Frames of vectors that a loop reads
-many times are checkpointed once.
+Any Spark ML classifier can be cross-fitted; boosted trees of all folds are grown side by side.
 """
 
 from __future__ import annotations
@@ -11,22 +10,20 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.losses import FocalLoss, log_loss
-from panelspark.functions.numeric import nan_to_null, quoted, sigmoid
-from panelspark.operators.folds import SEED
+from panelspark.functions.losses import FocalLoss, LogLoss, log_loss
+from panelspark.functions.numeric import nan_to_null, quoted
+from panelspark.operators.boosted_models import HistogramBooster, HistogramBoosterModel
+from panelspark.operators.boosting import BoostParams, boost, fold_margins
 from panelspark.operators.metrics import rank_metrics
 from panelspark.operators.panel import LAST_INDEX
 from panelspark.session import checkpoint_frame
 
 FINITE_BOUND = 1e12
-MIN_HESSIAN = 1e-6
 WORD_BITS = 62
 
 
@@ -110,80 +107,53 @@ def _stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-@dataclass
-class FocalBooster:
-    """Additive trees on the logit of a focal loss."""
-
-    init_score: float
-    learning_rate: float
-    trees: list[DecisionTreeRegressionModel]
-
-    def transform(self, vectors: DataFrame, keep: Sequence[str], name: str = "prediction") -> DataFrame:
-        """Add the summed raw score ``margin`` and its probability."""
-        scored = vectors.withColumn("margin", F.lit(self.init_score))
-        for tree in self.trees:
-            scored = _add_tree(scored, tree, self.learning_rate)
-        return scored.select(*keep, "margin", sigmoid("margin").alias(name))
-
+def fit_focal_booster(
+    df: DataFrame,
+    label: str,
+    loss: FocalLoss,
+    id_col: str = "id",
+    params: BoostParams | None = None,
+    init_score: float | None = None,
+    features: str = "features",
+) -> HistogramBoosterModel:
+    """Newton boosting on the logit of a focal loss: a leaf's step is sum(-g) / (sum(h) + L2).
 
-def _add_tree(df: DataFrame, tree: DecisionTreeRegressionModel, learning_rate: float) -> DataFrame:
-    step = F.col("margin") + F.lit(learning_rate) * F.col(tree.getPredictionCol())
-    return tree.transform(df).withColumn("margin", step).drop(tree.getPredictionCol())
+    The focal hessian can be negative, so it is clamped. The start is the best constant unless given.
+    """
+    return HistogramBooster(params, loss, label, features, id_col, init_score).fit(df)
 
 
-def fit_focal_booster(
-    vectors: DataFrame,
+def cross_fit_boosted(
+    df: DataFrame,
+    loss: LogLoss | FocalLoss,
+    id_col: str,
     label: str,
-    loss: FocalLoss,
-    rounds: int = 100,
-    learning_rate: float = 0.1,
-    max_depth: int = 5,
-    init_score: float = 0.0,
-    checkpoint_every: int = 5,
+    folds: int,
+    fold: str = "fold",
+    params: BoostParams | None = None,
+    init_score: float | None = None,
+    test: DataFrame | None = None,
     features: str = "features",
-    seed: int = SEED,
-) -> FocalBooster:
-    """Newton boosting with regression trees.
+) -> CrossFit:
+    """``cross_fit`` of boosted trees with the folds side by side: bins are made once, and a level of all folds' trees is one job.
 
-    A leaf of a tree that fits -g/h with weights h holds sum(-g)/sum(h), the Newton step. The
-    focal hessian can be negative, so it is clamped. Margins are checkpointed every few rounds
-    to keep the lineage short.
+    ``oof`` has (id, label, fold, margin, prediction).
     """
-    p = sigmoid("margin")
-    hessian = F.greatest(loss.hessian(label, p), F.lit(MIN_HESSIAN))
-    state = checkpoint_frame(vectors.select(label, features, F.lit(init_score).alias("margin")))
-    trees = []
-    for r in range(rounds):
-        target = state.select(
-            features, (-loss.gradient(label, p) / hessian).alias("__target"), hessian.alias("__weight")
-        )
-        learner = DecisionTreeRegressor(
-            featuresCol=features,
-            labelCol="__target",
-            weightCol="__weight",
-            predictionCol="__step",
-            maxDepth=max_depth,
-            seed=seed + r,
-        )
-        tree = learner.fit(target)
-        trees.append(tree)
-        if r + 1 < rounds:
-            state = _add_tree(state, tree, learning_rate)
-            if (r + 1) % checkpoint_every == 0:
-                state = checkpoint_frame(state)
-    return FocalBooster(init_score, learning_rate, trees)
+    fitted = boost(df, label, id_col, loss, params, folds, fold, features, init_score)
+    models = [HistogramBoosterModel(f, loss, features) for f in fitted.forests]
+    oof = fold_margins(df, fitted.forests, [id_col, label, fold], fold, features)
+    if test is None:
+        return CrossFit(oof, None, models)
+    every = test.withColumn("__model", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumnRenamed("__model", fold)
+    scored = fold_margins(every, fitted.forests, [id_col, fold], fold, features)
+    return CrossFit(oof, scored.select(id_col, fold, "prediction"), models)
 
 
 def cross_fit_focal(
-    vectors: DataFrame, loss: FocalLoss, id_col: str, label: str, folds: int, fold: str = "fold", **boosting
+    df: DataFrame, loss: FocalLoss, id_col: str, label: str, folds: int, fold: str = "fold", **options
 ) -> DataFrame:
     """Out-of-fold raw scores and probabilities of focal boosting: (id, label, fold, margin, prediction)."""
-    rows = checkpoint_frame(vectors)
-    oof = []
-    for k in range(folds):
-        booster = fit_focal_booster(rows.filter(F.col(fold) != k), label, loss, **boosting)
-        oof.append(booster.transform(rows.filter(F.col(fold) == k), [id_col, label, fold]))
-    return _stack(oof)
+    return cross_fit_boosted(df, loss, id_col, label, folds, fold, **options).oof
 
 
 def null_sequences(
@@ -253,24 +223,24 @@ def null_sequence_stack(
 
 
 def cv_check(
-    vectors: DataFrame, estimator: GBTClassifier, id_col: str, label: str, folds: int, fold: str = "fold"
+    df: DataFrame,
+    params: BoostParams,
+    id_col: str,
+    label: str,
+    folds: int,
+    fold: str = "fold",
+    loss: LogLoss | FocalLoss | None = None,
+    features: str = "features",
+    init_score: float | None = None,
 ) -> DataFrame:
-    """Cross-validated score of a feature set with early stopping on the fold left out.
+    """Cross-validated score of a feature set, stopped early by the rank metric on the fold left out.
 
-    One row per fold: the rank metric, the log loss and the number of trees kept. Give the
-    estimator a ``validationTol``; its validation indicator is set here.
+    One row per fold: the rank metric and the log loss of the best round, and its number of trees. With
+    ``params.patience`` 0 all rounds count.
     """
-    rows = checkpoint_frame(vectors)
-    reports = []
-    for k in range(folds):
-        marked = rows.withColumn("__valid", F.col(fold) == k)
-        model = estimator.copy({estimator.validationIndicatorCol: "__valid"}).fit(marked)
-        scored = positive_probability(model, rows.filter(F.col(fold) == k), [id_col, label])
-        metrics = rank_metrics(scored, label, "prediction", id_col).select("metric")
-        losses = scored.agg(F.avg(log_loss(label, "prediction")).alias("log_loss"))
-        reports.append(
-            metrics.select(
-                F.lit(k).alias("fold"), "metric", losses.scalar().alias("log_loss"), F.lit(model.getNumTrees).alias("trees")
-            )
-        )
-    return _stack(reports)
+    fitted = boost(df, label, id_col, loss, params, folds, fold, features, init_score)
+    scored = checkpoint_frame(fold_margins(df, fitted.forests, [id_col, label, fold], fold, features))
+    metrics = rank_metrics(scored, label, "margin", id_col, [fold]).select(fold, "metric")
+    losses = scored.groupBy(fold).agg(F.avg(log_loss(label, "prediction")).alias("log_loss"))
+    trees = F.element_at(F.array(*[F.lit(len(f.trees)) for f in fitted.forests]), F.col(fold) + 1)
+    return metrics.join(losses, fold).select(F.col(fold).cast("int").alias("fold"), "metric", "log_loss", trees.alias("trees"))

@@ -1,47 +1,54 @@
-"""Recursive feature elimination."""
+"""Recursive feature elimination by Shapley values."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from panelspark.functions.losses import log_loss
+from panelspark.functions.losses import FocalLoss, LogLoss
+from panelspark.operators.binning import quantile_cuts
+from panelspark.operators.boosting import BoostParams, binned_rows, boost_rows
+from panelspark.operators.forest import shapley_sums
 from panelspark.session import checkpoint_frame
 
 # Fixed values of the selection.
 TARGETS = (2500, 1500, 500)
 STEPS = 10
+CRITERIA = ("shap", "loss", "importance")
 
 
 def recursive_selection(
     train: DataFrame,
-    estimator: Estimator,
     label: str,
+    id_col: str,
     names: Sequence[str],
+    params: BoostParams | None = None,
+    loss: LogLoss | FocalLoss | None = None,
     targets: Sequence[int] = TARGETS,
     steps: int = STEPS,
-    by: str = "importance",
+    by: str = "shap",
     holdout: DataFrame | None = None,
     features: str = "features",
+    init_score: float | None = None,
 ) -> dict[int, list[str]]:
     """Feature names kept for each target size, best first; each target starts from the last one.
 
-    The vector column holds ``names`` in order and is assembled once; every step slices it,
-    fits, and drops the lowest-ranked share. ``by`` is ``importance`` (the model's own) or
-    ``loss``: how much the hold-out log loss rises when a feature is neutralized to its mean.
+    The feature column holds ``names`` in order and is binned once; every step grows trees on the features that are
+    left and drops the lowest-ranked share. ``by`` is ``shap`` (mean size of the Shapley values on the hold-out rows,
+    or the training rows without any), ``loss`` (how much the mean hold-out loss rises when a feature's Shapley value
+    is taken from the margin) or ``importance`` (gain of the splits). A step scores each row once for all
+    features, so no row is copied per feature.
     """
-    if by not in ("importance", "loss"):
-        raise ValueError(f"by must be 'importance' or 'loss', not {by!r}")
+    if by not in CRITERIA:
+        raise ValueError(f"by must be one of {CRITERIA}, not {by!r}")
     if by == "loss" and holdout is None:
         raise ValueError("selection by loss needs a hold-out frame")
-    rows = checkpoint_frame(train.select(label, features))
+    params, loss = params or BoostParams(), loss or LogLoss()
+    cuts = quantile_cuts(train, features, bins=params.bins)
+    rows = binned_rows(train, label, id_col, cuts, features=features)
+    scoring = None if by == "importance" else checkpoint_frame((train if holdout is None else holdout).select(label, features))
     kept = list(range(len(names)))
     selected = {}
     for target in targets:
@@ -51,44 +58,13 @@ def recursive_selection(
             if excess <= 0 and step:
                 break
             drop = max(min(math.ceil(surplus / steps), excess), 0)
-            slicer = VectorSlicer(inputCol=features, outputCol="__sliced", indices=kept)
-            sliced = slicer.transform(rows).select(label, F.col("__sliced").alias(features))
-            model = estimator.fit(sliced)
+            forest = boost_rows(rows, cuts, loss, params, init_score=init_score, allowed=kept).forests[0]
             if by == "importance":
-                scores = model.featureImportances.toArray()
+                scores = dict(enumerate(forest.importances(len(names)).tolist()))
             else:
-                kept_holdout = slicer.transform(holdout).select(label, F.col("__sliced").alias(features))
-                scores = loss_changes(model, kept_holdout, _means(sliced, features), label, features)
-            ranked = sorted(range(len(kept)), key=lambda i: (-scores[i], kept[i]))
-            kept = [kept[i] for i in ranked[: len(ranked) - drop]]
-        selected[target] = [names[i] for i in kept]
+                column = "importance" if by == "shap" else "loss_change"
+                scores = {r["feature"]: r[column] for r in shapley_sums(scoring, forest, label, loss.values, features).collect()}
+            ranked = sorted(kept, key=lambda f: (-scores.get(f, 0.0), f))
+            kept = ranked[: len(ranked) - drop]
+        selected[target] = [names[f] for f in kept]
     return selected
-
-
-def _means(df: DataFrame, features: str) -> list[float]:
-    return df.select(Summarizer.mean(F.col(features)).alias("m")).first()["m"].toArray().tolist()
-
-
-def loss_changes(
-    model: Model, holdout: DataFrame, neutral: Sequence[float], label: str, features: str = "features"
-) -> list[float]:
-    """Rise of the mean log loss when each feature takes its neutral value, in one scoring job.
-
-    Position -1 scores the rows as they are. One number per feature comes back.
-    """
-    values = F.col("__values")
-    means = F.array(*[F.lit(float(m)) for m in neutral])
-    positions = F.sequence(F.lit(-1), F.lit(len(neutral) - 1))
-    altered = (
-        holdout.select(label, vector_to_array(features).alias("__values"))
-        .select(label, "__values", F.explode(positions).alias("__at"))
-        .select(
-            label,
-            "__at",
-            F.transform(values, lambda v, i: F.when(i == F.col("__at"), means[i]).otherwise(v)).alias("__altered"),
-        )
-        .select(label, "__at", array_to_vector("__altered").alias(features))
-    )
-    scored = model.transform(altered).select("__at", log_loss(label, vector_to_array("probability")[1]).alias("l"))
-    losses = {r["__at"]: r["l"] for r in scored.groupBy("__at").agg(F.avg("l").alias("l")).collect()}
-    return [losses[i] - losses[-1] for i in range(len(neutral))]

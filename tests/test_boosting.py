@@ -190,7 +190,7 @@ def test_samples_depend_on_seed_round_and_id_alone(data):
     np.testing.assert_allclose(one, two, atol=1e-9)
     other = G.boost(df, "y", "id", params=G.BoostParams(**{**params.__dict__, "seed": 7})).forests[0].margins(x)
     assert not np.allclose(one, other)
-    assert len(G.sampled_columns(params, 0, 6)) == 3
+    assert len(G.sampled_columns(params, 0, range(6))) == 3
     assert abs(G.uniform(1, 2, np.arange(10_000)).mean() - 0.5) < 0.02
 
 

@@ -1,14 +1,17 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import functions as F
 
-from panelspark.functions.losses import FocalLoss
+from panelspark.functions.losses import FocalLoss, LogLoss
 from panelspark.operators import models as M
+from panelspark.operators.binning import feature_array
+from panelspark.operators.boosted_models import HistogramBooster, HistogramBoosterModel
+from panelspark.operators.boosting import BoostParams, boost
 from panelspark.operators.folds import in_holdout, stratified_folds
-from panelspark.operators.metrics import auc
-from panelspark.operators.selection import loss_changes, recursive_selection
+from panelspark.operators.forest import shapley_sums
+from panelspark.operators.metrics import auc, focal_init_score
+from panelspark.operators.selection import recursive_selection
 from panelspark.sources import tables
 
 
@@ -62,24 +65,47 @@ def test_focal_boosting_lowers_the_loss(vectors):
     loss = FocalLoss(2.0, 0.3)
     curve = []
     for rounds in (1, 4, 12):
-        booster = M.fit_focal_booster(vectors, "y", loss, rounds=rounds, max_depth=3, learning_rate=0.3, checkpoint_every=5)
+        params = BoostParams(rounds=rounds, max_depth=3, learning_rate=0.3, checkpoint_every=5)
+        booster = M.fit_focal_booster(vectors, "y", loss, params=params)
         assert len(booster.trees) == rounds
-        scored = booster.transform(vectors, ["id", "y"])
+        scored = booster.scores(vectors, ["id", "y"])
         curve.append(scored.agg(F.avg(loss.loss("y", "prediction"))).first()[0])
     assert curve[0] > curve[1] > curve[2]
-    assert isinstance(booster.trees[0], DecisionTreeRegressionModel)
+    assert booster.forest.init_score == pytest.approx(focal_init_score(vectors, "y", loss).first()["init_score"])
 
 
 def test_focal_first_step_is_a_newton_step(vectors):
-    """A stump of depth 0 moves all margins by learning rate times -sum(g) / sum(h)."""
+    """A tree of depth 0 moves all margins by learning rate times -sum(g) / sum(h)."""
     loss = FocalLoss(2.0, 0.3)
-    booster = M.fit_focal_booster(vectors, "y", loss, rounds=1, max_depth=0, learning_rate=0.5)
+    booster = M.fit_focal_booster(vectors, "y", loss, params=BoostParams(rounds=1, max_depth=0, learning_rate=0.5, l2=0.0), init_score=0.0)
     half = F.lit(0.5)
     g, h = vectors.agg(F.sum(loss.gradient("y", half)), F.sum(loss.hessian("y", half))).first()
-    margin = booster.transform(vectors, ["id"]).select("margin").distinct().collect()
+    margin = booster.scores(vectors, ["id"]).select("margin").distinct().collect()
     assert len(margin) == 1 and margin[0][0] == pytest.approx(-0.5 * g / h)
 
 
+def test_a_saved_booster_gives_the_same_margins(spark, vectors, tmp_path):
+    loss = FocalLoss(2.0, 0.3)
+    booster = M.fit_focal_booster(vectors, "y", loss, params=BoostParams(rounds=3, max_depth=3, drop_rate=0.5, skip_drop=0.0))
+    for _ in range(2):  # the second time over the first
+        tables.save_model(booster, str(tmp_path / "model"))
+    loaded = tables.load_model(HistogramBoosterModel, str(tmp_path / "model"))
+    assert (loaded.forest, loaded.loss, loaded.featuresCol) == (booster.forest, loss, "features")
+    one, two = (m.scores(vectors, ["id"]).orderBy("id").toPandas() for m in (booster, loaded))
+    np.testing.assert_array_equal(one["margin"], two["margin"])
+
+
+def test_boosters_cross_fit_one_by_one_or_side_by_side(vectors):
+    params = BoostParams(rounds=4, max_depth=3, bins=32)
+    booster = HistogramBooster(params, labelCol="y")
+    alone = M.cross_fit(vectors, booster, "id", "y", 3).oof.orderBy("id").toPandas()
+    together = M.cross_fit_boosted(vectors, LogLoss(), "id", "y", 3, params=params, test=vectors.select("id", "features"))
+    assert auc(together.oof, "y", "prediction").first()["auc"] > 0.85
+    # Bins are of all rows in the one, of the rows trained on in the other.
+    assert np.corrcoef(alone["prediction"], together.oof.orderBy("id").toPandas()["prediction"])[0, 1] > 0.98
+    assert together.test.groupBy("id").count().filter("count <> 3").count() == 0 and len(together.models) == 3
+
+
 def test_null_sequences(spark):
     rows = [(1, 13, None), (1, 11, 2.0), (2, 12, None), (2, 0, None)]
     panel = spark.createDataFrame(rows, "id INT, ind INT, x DOUBLE")
@@ -107,43 +133,46 @@ def test_null_sequence_stack(spark, customers):
 
 
 def test_cv_check_stops_early(vectors):
-    report = M.cv_check(vectors, gbt(maxIter=30, validationTol=0.05), "id", "y", 3).toPandas()
+    params = BoostParams(rounds=40, learning_rate=0.5, max_depth=3, patience=4, checkpoint_every=4, bins=32)
+    report = M.cv_check(vectors, params, "id", "y", 3).toPandas()
     assert sorted(report["fold"]) == [0, 1, 2]
-    assert (report["trees"] < 30).all() and (report["log_loss"] < 0.69).all()
+    assert (report["trees"] < 40).all() and (report["log_loss"] < 0.69).all()
 
 
-@pytest.mark.parametrize("by", ["importance", "loss"])
+@pytest.mark.parametrize("by", ["importance", "loss", "shap"])
 def test_selection_drops_noise(customers, by):
     names = ["noise", "a", "b", "flat"]
     df = customers.withColumn("flat", F.lit(1.0))
-    rows = M.feature_vectors(df, ["id", "y"], names, indicators=False)
+    rows = df.select("id", "y", feature_array(df, names).alias("features"))
     held = in_holdout("id", 0.3)
-    kept = recursive_selection(rows.filter(~held), gbt(maxIter=3), "y", names, (3, 2, 1), 2, by, rows.filter(held))
+    params = BoostParams(rounds=3, max_depth=3, bins=32)
+    kept = recursive_selection(rows.filter(~held), "y", "id", names, params, None, (3, 2, 1), 2, by, rows.filter(held))
     assert [len(kept[n]) for n in (3, 2, 1)] == [3, 2, 1]
     assert set(kept[2]) == {"a", "b"} and kept[1] == ["a"]
 
 
-def test_loss_changes_match_one_by_one(customers):
+def test_loss_changes_match_one_by_one_where_trees_share_no_path(customers):
+    """For stumps a feature's Shapley value is its step less the mean step, so taking it away puts the mean in its place."""
     names = ["a", "b", "noise"]
-    rows = M.feature_vectors(customers, ["id", "y"], names, indicators=False)
-    model = gbt(maxIter=2).fit(rows)
-    neutral = [0.5, 0.1, 0.5]
-    got = loss_changes(model, rows, neutral, "y")
-
-    def loss_with(column=None):
-        df = customers if column is None else customers.withColumn(column, F.lit(neutral[names.index(column)]))
-        scored = M.positive_probability(model, M.feature_vectors(df, ["y"], names, indicators=False), ["y"])
-        return scored.agg(F.avg(M.log_loss("y", "prediction"))).first()[0]
-
-    base = loss_with()
-    np.testing.assert_allclose(got, [loss_with(c) - base for c in names], atol=1e-12)
+    rows = customers.select("id", "y", feature_array(customers, names).alias("features"))
+    forest = boost(rows, "y", "id", params=BoostParams(rounds=5, max_depth=1, column_share=0.34, bins=32)).forests[0]
+    got = shapley_sums(rows, forest, "y", LogLoss().values).orderBy("feature").toPandas()["loss_change"]
+    data = customers.toPandas().sort_values("id")
+    x, y = data[names].to_numpy(float), data["y"].to_numpy(float)
+    base = LogLoss().values(y, forest.margins(x)).mean()
+    for f in range(3):
+        margin = np.full(len(y), forest.init_score)
+        for tree, weight in zip(forest.trees, forest.weights, strict=True):
+            steps = tree.steps(x)
+            margin += weight * (steps.mean() if tree.feature[0] == f else steps)
+        assert got[f] == pytest.approx(LogLoss().values(y, margin).mean() - base, abs=1e-12)
 
 
 def test_selection_arguments(vectors):
     with pytest.raises(ValueError):
-        recursive_selection(vectors, gbt(), "y", ["a"], by="other")
+        recursive_selection(vectors, "y", "id", ["a"], by="other")
     with pytest.raises(ValueError):
-        recursive_selection(vectors, gbt(), "y", ["a"], by="loss")
+        recursive_selection(vectors, "y", "id", ["a"], by="loss")
 
 
 def test_customers_without_a_sequence_stay(spark, customers):
