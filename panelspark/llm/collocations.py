@@ -84,7 +84,7 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
         for batch in batches:
             for body, tongue in zip(batch["body"], batch["lang"].to_pylist(), strict=True):
                 tokens = tokens_of(body.as_py())
-                starts = cuts(hashes.of(tokens), overlap).tolist()
+                starts = cuts(hashes.of(b" ".join(tokens)), overlap).tolist()
                 for a, b in zip(starts, [*starts[1:], len(tokens)], strict=True):
                     key = (tongue, b" ".join(tokens[a : b + overlap]), b - a)
                     held[key] = held.get(key, 0) + 1

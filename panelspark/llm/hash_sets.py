@@ -42,20 +42,62 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, computed on first sight; forgotten when there are too many."""
+#: ASCII white space: tab to carriage return, and space.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 20
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
-        super().__init__()
-        import xxhash
 
-        self.digest, self.seed, self.most = xxhash.xxh64_intdigest, seed, most
+class WordHashes:
+    """64-bit hashes of all words of a text, between ASCII white space, without a step in Python per word.
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = self.digest(word, self.seed)
-        return found
+    A word's bytes are looked up as random numbers and summed with powers of an odd number, modulo 2^64; what
+    stands before the word is taken off by differences of running sums.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __init__(self, seed: int = 0):
+        draw = np.random.default_rng(seed)
+        self.letters = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(draw.integers(0, 1 << 62)) * 4 + 3
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 1 << 16)
+            steps = np.full(n, self.base, dtype=np.uint64), np.full(n, pow(self.base, -1, 1 << 64), dtype=np.uint64)
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = (np.multiply.accumulate(s) for s in steps)
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The words' hashes in order."""
+        out, at = [], 0
+        while at < len(text):
+            end = self._cut(text, at)
+            out.append(self._block(np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+    def _cut(self, text: bytes, at: int) -> int:
+        """The end of a block: white space before its limit, or else the next there is."""
+        limit = at + BLOCK
+        if limit >= len(text):
+            return len(text)
+        block = WHITE[np.frombuffer(text, dtype=np.uint8, count=BLOCK, offset=at)]
+        if block.any():
+            return at + len(block) - int(block[::-1].argmax())
+        rest = WHITE[np.frombuffer(text, dtype=np.uint8, offset=limit)]
+        return limit + int(rest.argmax()) if rest.any() else len(text)
+
+    def _block(self, raw: np.ndarray) -> np.ndarray:
+        self._powers(len(raw))
+        white = np.ones(len(raw) + 2, dtype=bool)
+        white[1:-1] = WHITE[raw]
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.letters[raw] * self.up[: len(raw)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+        found ^= found >> np.uint64(31)
+        found *= np.uint64(0xBF58476D1CE4E5B9)
+        return found ^ (found >> np.uint64(32))

@@ -23,6 +23,8 @@ FREQUENT = 8
 #: Bits of the table of one class (2 MB each), and of the texts whose sets are compared (8 MB).
 CLASS_BITS = 24
 TEXT_BITS = 26
+#: Slots are counted by ranges, 2^8 of them.
+RANGE_BITS = 8
 #: Longs of the parity sketch of a set.
 SKETCH = 4
 #: Shingles that a task counts before it passes their counts on.
@@ -37,7 +39,7 @@ class Shingler:
 
     def of(self, text: str) -> np.ndarray:
         """Words are between ASCII white space, A-Z lower-cased; a text of fewer words is one shingle, one without words has none."""
-        found = self.hashes.of(text.encode().lower().split())
+        found = self.hashes.of(text.encode().lower())
         for _ in range(min(self.size, len(found)) - 1):
             found = mixed(found[:-1], found[1:])
         return np.unique(found)
@@ -50,28 +52,74 @@ def set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def count_shingles(documents: DataFrame, text: Column, words: int) -> DataFrame:
-    """(hash, n): documents that have each shingle."""
+def count_slots(documents: DataFrame, text: Column, words: int) -> DataFrame:
+    """(hash, n): documents that have a shingle in each of 2^32 slots by the upper half of its hash, from ``FREQUENT`` on.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends the slots that it met as sorted differences, by range of slots; the counters of one range fill
+    64 MB at any size of the input. Few shingles share a slot until there are as many as slots.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(words), [], 0
 
         def rows() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+            slots, n = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            ranges = slots >> np.uint32(32 - RANGE_BITS)
+            first = np.flatnonzero(np.diff(ranges, prepend=np.uint32(1 << 31)))
+            parts = [_packed(s, c) for s, c in zip(np.split(slots, first[1:]), np.split(n, first[1:]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ranges[first].astype(np.int32)), pa.array(parts, pa.binary())], ["range", "met"])
 
         for batch in batches:
             for body in batch["body"]:
-                held.append(shingler.of(body.as_py()))
-                size += len(held[-1])
-                if size >= HELD:
-                    yield rows()
-                    held, size = [], 0
-        if held:
+                found = shingler.of(body.as_py())
+                for at in range(0, len(found), HELD):
+                    held.append(found[at : at + HELD])
+                    size += len(held[-1])
+                    if size >= HELD:
+                        yield rows()
+                        held, size = [], 0
+        if size:
             yield rows()
 
-    parts = documents.select(text.alias("body")).mapInArrow(counted, "hash long, n long")
-    return parts.repartition("hash").groupBy("hash").agg(F.sum("n").alias("n"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, at = None, None
+
+        def rows() -> pa.RecordBatch:
+            often = np.flatnonzero(counters >= FREQUENT)
+            hashes = (np.uint64(at) << np.uint64(64 - RANGE_BITS)) | (often.astype(np.uint64) << np.uint64(32))
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counters[often])], ["hash", "n"])
+
+        for batch in batches:
+            for i, packed in zip(batch["range"].to_pylist(), batch["met"].to_pylist(), strict=True):
+                if i != at:
+                    if counters is not None:
+                        yield rows()
+                    counters, at = np.zeros(1 << (32 - RANGE_BITS), dtype=np.int64), i
+                slots, n = _unpacked(packed)
+                counters[slots & np.uint32(len(counters) - 1)] += n
+        if counters is not None:
+            yield rows()
+
+    parts = documents.select(text.alias("body")).mapInArrow(met, "range int, met binary")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(counted, "hash long, n long")
+
+
+def _packed(slots: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted distinct slots as differences in two bytes each, or four if one is too large, and the counts above one."""
+    steps = np.diff(slots)
+    wide = bool((steps > 0xFFFF).any())
+    more = np.flatnonzero(n > 1).astype(np.uint32)
+    head = np.array([wide, len(slots), len(more), slots[0]], dtype=np.uint32)
+    return b"".join(x.tobytes() for x in (head, more, n[more].astype(np.uint32), steps.astype(np.uint32 if wide else np.uint16)))
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, size, extra, first = (int(x) for x in np.frombuffer(packed, dtype=np.uint32, count=4))
+    more = np.frombuffer(packed, dtype=np.uint32, count=extra, offset=16)
+    n = np.ones(size, dtype=np.int64)
+    n[more] = np.frombuffer(packed, dtype=np.uint32, count=extra, offset=16 + 4 * extra)
+    steps = np.frombuffer(packed, dtype=np.uint32 if wide else np.uint16, offset=16 + 8 * extra)
+    return np.concatenate([[first], first + np.cumsum(steps, dtype=np.uint64)]).astype(np.uint32), n
 
 
 def frequency_classes(counts: DataFrame, least: int = FREQUENT) -> list[Broadcast]:
@@ -125,8 +173,8 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketched(documents: DataFrame, doc_id: Column, text: Column, words: int, similarity: tuple[int, int], tables: list[Broadcast]) -> DataFrame:
-    """(doc_id, text_hash, v, n, sketch, keys) per row; v stands for the set and n is its size."""
-    rows = documents.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("body"))
+    """(doc_id, row_hash, v, n, sketch, keys) per row; v stands for the set and n is its size."""
+    rows = documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"), text.alias("body"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes = Shingler(words), [t.value for t in tables]
@@ -139,31 +187,42 @@ def _sketched(documents: DataFrame, doc_id: Column, text: Column, words: int, si
                 pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *columns], ["doc_id", "text_hash", "v", "n", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_hash"], *columns], ["doc_id", "row_hash", "v", "n", "sketch", "keys"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(sketched, f"doc_id {kind}, text_hash long, v binary, n long, sketch array<long>, keys array<long>")
+    return rows.mapInArrow(sketched, f"doc_id {kind}, row_hash long, v binary, n long, sketch array<long>, keys array<long>")
 
 
-def _sets(documents: DataFrame, text: Column, words: int, wanted: Broadcast) -> DataFrame:
-    """(v, shingles) of the texts in the table ``wanted``; others that it lets through do no harm."""
-    rows = documents.select(F.xxhash64(text).alias("text_hash"), text.alias("body"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
-        for batch in batches:
-            hashes = batch["text_hash"].to_numpy()
-            sets = []
-            for i in np.flatnonzero(in_table(wanted.value, hashes.view(np.uint64))).tolist():
-                if hashes[i] not in seen:
-                    seen.add(hashes[i])
-                    sets.append(shingler.of(batch["body"][i].as_py()))
-            if len(seen) > HELD:
-                seen.clear()
-            ids, values = [set_id(s) for s in sets], [s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["v", "shingles"])
-
-    return rows.mapInArrow(shingled, "v binary, shingles array<long>").groupBy("v").agg(F.any_value("shingles").alias("shingles"))
+@dataclass
+class Sets:
+    """Where the sets of classes come from: the text of one row of each is read again."""
+
+    documents: DataFrame
+    doc_id: Column
+    text: Column
+    words: int
+    classes: DataFrame  # (x, row_hash)
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(x, shingles) of the classes ``wanted`` (x), written. A row hash picks the text, so a hot class is read once."""
+        picked = written(wanted.join(self.classes, "x"))
+        table = bit_table(picked, "row_hash", TEXT_BITS)
+        rows = self.documents.select(F.xxhash64(self.doc_id, self.text).alias("row_hash"), self.text.alias("body"))
+        words = self.words
+
+        def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, seen = Shingler(words), set()
+            for batch in batches:
+                hashes = batch["row_hash"].to_numpy()
+                at = [i for i in np.flatnonzero(in_table(table.value, hashes.view(np.uint64))).tolist() if hashes[i] not in seen]
+                seen.update(hashes[at].tolist())
+                sets = [shingler.of(batch["body"][i].as_py()).view(np.int64) for i in at]
+                if len(seen) > HELD:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["row_hash", "shingles"])
+
+        found = rows.mapInArrow(shingled, "row_hash long, shingles array<long>")
+        return written(found.join(picked, "row_hash").select("x", "shingles"))
 
 
 @dataclass
@@ -181,47 +240,40 @@ class Bound:
 
     def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar, by all their shingles."""
-        left, right = (sets.select(F.col("v").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+        left, right = (sets.select(F.col("x").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(common * (self.part + self.of) >= (F.size("a_set") + F.size("b_set")) * self.part).select(*pairs.columns)
 
 
-def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """(v, c): ``labels`` after its components were linked further by ``found`` (v, c)."""
-    return labels.select("v", F.col("c").alias("of")).join(found.select(F.col("v").alias("of"), F.col("c").alias("to")), "of", "left").select("v", F.coalesce("to", "of").alias("c"))
-
-
-def _linked(index: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """(v, c): components of the sets in ``index`` (key, x; x has v, n and the sketch), under similarity.
+def _linked(index: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
+    """(x, c): components of the classes in ``index`` (key, m; the member m has x, n and its sketch), under similarity.
 
-    Members of a key are first compared with its smallest, then, where a key is left with several components,
-    with its largest: copies of one another need one link each. Then what is not of a key's most frequent
-    component is compared with all its members, in the join, by size and sketch; only what passes is compared
-    by whole sets.
+    Members of a key are first compared with its smallest and its largest: copies of one another need a link each.
+    Then what is not of a key's most frequent component is compared with all its members, in the join, by size
+    and sketch; only what passes is compared by whole sets.
     """
-    labels = frozen(index.select(F.col("x.v").alias("v"), F.col("x.v").alias("c")).distinct())
-    for pick in (F.min, F.max):
-        rows = written(index.join(labels.select(F.col("v").alias("of"), "c"), F.col("x.v") == F.col("of")).select("key", "x", "c"))
-        pivots = rows.groupBy("key").agg(pick(F.struct("x", "c")).alias("p"), F.min("c").alias("least"), F.max("c").alias("most"))
-        pivots = written(pivots.where("least <> most").select("key", F.col("p.x").alias("y"), F.col("p.c").alias("d")))
-        pairs = rows.join(pivots, "key").where((F.col("c") != F.col("d")) & bound.reachable("x", "y"))
-        labels = frozen(_more(labels, pairs, sets, bound))
-
-    rows = written(index.join(labels.select(F.col("v").alias("of"), "c"), F.col("x.v") == F.col("of")).select("key", "x", "c"))
+    pivots = written(index.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")))
+    stars = index.join(pivots, "key").select("m", F.explode(F.array("low", "high")).alias("p")).where((F.col("m.x") != F.col("p.x")) & bound.reachable("m", "p"))
+    labels = index.select(F.col("m.x").alias("x"), F.col("m.x").alias("c")).distinct()
+    labels = frozen(_more(labels, stars.select(F.col("m.x").alias("a"), F.col("p.x").alias("b"), F.col("m.x").alias("c"), F.col("p.x").alias("d")), sets, bound))
+
+    rows = written(index.join(labels, F.col("m.x") == F.col("x")).select("key", "m", "c"))
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "major")
-    others = written(rows.join(written(major), "key"))
-    strangers = others.where("c <> major").select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-    pairs = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable("x", "y"))
-    return _more(labels, pairs, sets, bound)
+    major = written(sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "major"))
+    others = written(rows.join(major, "key"))
+    strangers = others.where("c <> major").select("key", F.col("m").alias("p"), F.col("c").alias("d"))
+    pairs = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable("m", "p"))
+    return _more(labels, pairs.select(F.col("m.x").alias("a"), F.col("p.x").alias("b"), "c", "d"), sets, bound)
 
 
-def _more(labels: DataFrame, pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
-    """The labels after verifying ``pairs`` (x, y, c, d) of different components."""
-    pairs = frozen(pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), "c", "d").distinct())
-    links = bound.similar(pairs, sets).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-    return _relabelled(labels, connected_components(labels.select(F.col("c").alias("v")).distinct(), frozen(links)))
+def _more(labels: DataFrame, pairs: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
+    """The labels (x, c) after verifying ``pairs`` (a, b, c, d) of different components c and d."""
+    pairs = frozen(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
+    links = frozen(bound.similar(pairs, sets.of(wanted)).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+    found = connected_components(links.select(F.col("a").alias("v")).union(links.select("b")).distinct(), links)
+    return labels.select("x", F.col("c").alias("v")).join(found.withColumnRenamed("c", "to"), "v", "left").select("x", F.coalesce("to", "v").alias("c"))
 
 
 def ngram_jaccard_components(
@@ -230,7 +282,6 @@ def ngram_jaccard_components(
     text_col: str = "text",
     similarity: tuple[int, int] = SIMILARITY,
     shingle_words: int = SHINGLE_WORDS,
-    frequent: int = FREQUENT,
 ) -> DataFrame:
     """Per row of ``documents``: doc_id, n_shingles (size of its set), component_id (smallest id reachable).
 
@@ -248,22 +299,19 @@ def ngram_jaccard_components(
     if not 3 * bound.of <= 4 * bound.part < 4 * bound.of:
         raise ValueError(f"similarity must be from 3/4 to below 1, not {similarity}")
     text, doc_id = whole(F.col(text_col)), F.col(id_col)
-    tables = frequency_classes(count_shingles(documents, text, shingle_words), frequent)
+    tables = frequency_classes(count_slots(documents, text, shingle_words))
     rows = written(_sketched(documents, doc_id, text, shingle_words, similarity, tables))
-    unique = rows.where("n > 0").groupBy("v").agg(F.any_value(F.struct("n", "sketch", "text_hash", "keys")).alias("one"))
-    unique = written(unique.select("v", "one.*"))
+    classes = rows.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("n", "sketch", "row_hash", "keys")).alias("one"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("x"), "v", "first", "one.*"))
 
-    keyed = unique.select("v", F.explode("keys").alias("key"))
+    keyed = classes.select("x", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    member = F.struct("v", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("x")
-    index = written(keyed.join(shared, "key").join(unique.select(F.col("v").alias("of"), member), F.col("v") == F.col("of")).select("key", "x").distinct())
-
-    wanted = index.select(F.col("x.v").alias("v")).distinct().join(unique.select("v", "text_hash"), "v")
-    sets = written(_sets(documents, text, shingle_words, bit_table(wanted, "text_hash", TEXT_BITS)))
-    linked = frozen(_linked(index, sets, bound))
+    member = F.struct("x", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("m")
+    found = keyed.join(shared, "key").distinct()
+    index = written(found.join(classes.select("x", member), "x").select("key", "m"))
+    linked = frozen(_linked(index, Sets(documents, doc_id, text, shingle_words, classes.select("x", "row_hash")), bound))
 
-    smallest = rows.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("first")).join(linked, "v", "left").select("v", "first", F.coalesce("c", "v").alias("c"))
-    smallest = written(smallest)
-    by_set = written(smallest.join(smallest.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("v", "component_id"))
+    labelled = written(classes.select("x", "v", "first").join(linked, "x", "left").select("v", "first", F.coalesce("c", "x").alias("c")))
+    by_set = written(labelled.join(labelled.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("v", "component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "v", "n").join(by_set, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.llm import hash_sets
 from panelspark.llm.common import whole
-from panelspark.llm.ngram_jaccard import by_rarity, count_shingles, frequency_classes, ngram_jaccard_components, parity, signatures
+from panelspark.llm.hash_sets import WordHashes
+from panelspark.llm.ngram_jaccard import Shingler, _packed, _unpacked, by_rarity, count_slots, frequency_classes, ngram_jaccard_components, parity, signatures
 
 
 def shingle_set(text, size):
@@ -63,7 +65,7 @@ def corpus(seed=0):
 
 
 @pytest.mark.parametrize("seed", [0, 1])
-@pytest.mark.parametrize("options", [{}, {"similarity": (3, 4), "shingle_words": 2, "frequent": 3}])
+@pytest.mark.parametrize("options", [{}, {"similarity": (3, 4), "shingle_words": 2}])
 def test_equals_brute_force(documents, seed, options):
     rows = corpus(seed)
     expected = brute(rows, options.get("similarity", (9, 10)), options.get("shingle_words", 3))
@@ -108,11 +110,36 @@ def test_similar_sets_share_a_key_and_sketches_never_rule_them_out(similarity):
         assert int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum()) <= len(rest)
 
 
-def test_classes_follow_document_frequency(spark, documents):
+def test_classes_follow_document_frequency(documents):
     rows = [(i, "all the same " + f"only here{i} now") for i in range(70)]
-    counts = count_shingles(documents(rows), whole(F.col("text")), 3)
-    tables = [t.value for t in frequency_classes(counts)]
+    counts = count_slots(documents(rows), whole(F.col("text")), 3).collect()
+    often, once = Shingler(3).of("all the same"), Shingler(3).of("only here5 now")
+    slot = lambda h: int(h[0]) >> 32
+    assert {(r["hash"] % (1 << 64)) >> 32: r["n"] for r in counts}[slot(often)] == 70
+    assert slot(once) not in {(r["hash"] % (1 << 64)) >> 32 for r in counts}
+    tables = [t.value for t in frequency_classes(count_slots(documents(rows), whole(F.col("text")), 3))]
     assert len(tables) == 2
-    hashes = {r["n"]: r["hash"] for r in counts.collect()}
-    ordered, rare = by_rarity(np.array([hashes[70], hashes[1]], dtype=np.int64).view(np.uint64), tables)
-    assert ordered.view(np.int64).tolist() == [hashes[1], hashes[70]] and rare == 1
+    ordered, rare = by_rarity(np.concatenate([often, once]), tables)
+    assert ordered.tolist() == [once[0], often[0]] and rare == 1
+
+
+@pytest.mark.parametrize("spread", [10, 1 << 30])
+def test_packed_slots_come_back(spread):
+    rng = np.random.default_rng(spread)
+    slots = np.unique(rng.integers(0, spread, 500).astype(np.uint32))
+    n = np.where(rng.random(len(slots)) < 0.8, 1, rng.integers(1, 1 << 20, len(slots)))
+    back = _unpacked(_packed(slots, n))
+    np.testing.assert_array_equal(back[0], slots)
+    np.testing.assert_array_equal(back[1], n)
+
+
+def test_hashes_of_words_depend_on_the_words_alone(monkeypatch):
+    hashes = WordHashes()
+    text = " Ein Wort\tund\nÄ ein Wort\r\x0b\x0c  x" + "y" * 3000 + " Wort "
+    one = hashes.of(text.encode())
+    assert one.tolist() == [int(hashes.of(w.encode())[0]) for w in text.split()] and len(set(one.tolist())) == 6
+    monkeypatch.setattr(hash_sets, "BLOCK", 16)
+    assert hashes.of(text.encode()).tolist() == one.tolist()
+    words = [f"{a}{b}" for a in range(300) for b in "abcdefghij"]
+    assert len(set(hashes.of(" ".join(words).encode()).tolist())) == len(set(words))
+    assert len(hashes.of(b"")) == len(hashes.of(b" \n")) == 0
