@@ -7,6 +7,8 @@ labelled customers and folds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
@@ -21,12 +23,15 @@ from panelspark.catalog.fixtures import (
     user_day_panel,
 )
 from panelspark.catalog.registry import Registry
-from panelspark.functions.losses import FocalLoss
+from panelspark.functions.losses import FocalLoss, LogLoss
+from panelspark.operators.binning import feature_array
+from panelspark.operators.boosting import BoostParams
 from panelspark.operators.features import PanelSpec, build_features, feature_catalog
 from panelspark.operators.folds import in_holdout, stratified_folds
 from panelspark.operators.models import (
     complete_sequences,
     cross_fit,
+    cross_fit_boosted,
     cross_fit_focal,
     cv_check as check_features,
     feature_vectors,
@@ -66,6 +71,14 @@ def _train_vectors(spark, sf_dir, numeric=NUMERIC, categorical=CATEGORICAL, indi
     return feature_vectors(joined, ["id", "target", "fold"], numeric, categorical, indicators)
 
 
+def _train_arrays(spark, sf_dir, names=FEATURES):
+    """(id, target, fold, features) of all customers, missing values as they are."""
+    features = _features(spark, sf_dir)
+    folds = stratified_folds(features.select("id", "target"), "id", "target", FOLDS)
+    joined = features.join(folds.select("id", "fold"), "id")
+    return joined.select("id", "target", "fold", feature_array(joined, names).alias("features"))
+
+
 def _test_vectors(spark, sf_dir):
     features = _features(spark, sf_dir).filter(F.col("id") % 5 == 0)
     return feature_vectors(features, ["id"], NUMERIC, CATEGORICAL)
@@ -80,9 +93,24 @@ def cross_fit_gbt(spark, sf_dir):
 
 @R.query()
 def focal_boost(spark, sf_dir):
+    """Out-of-fold margins of focal boosting from the best constant on."""
     loss = FocalLoss(gamma=2.0, alpha=0.3)
-    vectors = _train_vectors(spark, sf_dir)
-    return cross_fit_focal(vectors, loss, "id", "target", FOLDS, rounds=TREES, max_depth=3, learning_rate=0.3, checkpoint_every=5)
+    params = BoostParams(rounds=TREES, max_depth=3, max_leaves=8, learning_rate=0.3)
+    return cross_fit_focal(_train_arrays(spark, sf_dir), loss, "id", "target", FOLDS, params=params)
+
+
+#: Of the dropped-tree model, in the proportions of the original: a fifth of the columns a tree, half of the rows anew every ten rounds.
+DART = BoostParams(rounds=TREES, learning_rate=0.3, max_depth=5, max_leaves=20, l2=2.0, min_rows=40, column_share=0.2, row_share=0.5, row_every=10, drop_rate=0.1)
+
+
+@R.query()
+def cross_fit_dart(spark, sf_dir):
+    """Out-of-fold and test predictions of trees with missing directions, samples and dropped trees."""
+    rows = _train_arrays(spark, sf_dir)
+    is_test = F.col("id") % 5 == 0
+    fitted = cross_fit_boosted(rows.filter(~is_test), LogLoss(), "id", "target", FOLDS, params=DART, test=rows.filter(is_test).select("id", "features"))
+    oof = fitted.oof.select("id", F.lit("train").alias("split"), "fold", "prediction")
+    return oof.unionByName(fitted.test.select("id", F.lit("test").alias("split"), "fold", "prediction"))
 
 
 def _buyers(spark, sf_dir):
@@ -164,8 +192,10 @@ _CURVE = f"CASE WHEN target = 1 THEN 0.3e0 ELSE 0.7e0 END * (-{_SLOPE} + 0.25e0
 )
 def focal_stump(spark, sf_dir):
     """Out-of-fold margin of one Newton round, half a step long."""
-    vectors = feature_vectors(_several_orders(spark, sf_dir), ["id", "target", "fold"], ["several"], indicators=False)
-    fitted = cross_fit_focal(vectors, STUMP_LOSS, "id", "target", FOLDS, rounds=1, max_depth=1, learning_rate=0.5)
+    rows = _several_orders(spark, sf_dir)
+    arrays = rows.select("id", "target", "fold", feature_array(rows, ["several"]).alias("features"))
+    params = BoostParams(rounds=1, max_depth=1, learning_rate=0.5, l2=0.0, min_rows=1, min_gain=-math.inf)
+    fitted = cross_fit_focal(arrays, STUMP_LOSS, "id", "target", FOLDS, params=params, init_score=0.0)
     return fitted.select("id", "fold", rounded("margin").alias("margin"))
 
 
@@ -192,19 +222,20 @@ def null_sequence_stump(spark, sf_dir):
 
 @R.query()
 def recursive_selection(spark, sf_dir):
-    """All features, the ordered priority codes as numbers, so that their means are neutral values too."""
-    vectors = _train_vectors(spark, sf_dir, FEATURES, (), False)
+    """All features, the ordered priority codes as numbers, by Shapley values and by the change of the hold-out loss."""
+    rows = _train_arrays(spark, sf_dir)
     held = in_holdout("id")
-    train, holdout = vectors.filter(~held), vectors.filter(held)
-    rows = []
-    for by in ("importance", "loss"):
-        chosen = select_recursively(train, _gbt(), "target", FEATURES, SELECTED, STEPS, by, holdout)
-        rows += [(by, size, i, name) for size, names in chosen.items() for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "criterion STRING, target INT, pos INT, feature STRING")
+    params = BoostParams(rounds=TREES, max_depth=3, max_leaves=8, learning_rate=0.3)
+    chosen = []
+    for by in ("shap", "loss"):
+        kept = select_recursively(rows.filter(~held), "target", "id", FEATURES, params, None, SELECTED, STEPS, by, rows.filter(held))
+        chosen += [(by, size, i, name) for size, names in kept.items() for i, name in enumerate(names)]
+    return spark.createDataFrame(chosen, "criterion STRING, target INT, pos INT, feature STRING")
 
 
 @R.query()
 def cv_check(spark, sf_dir):
-    learner = _gbt(validationTol=0.001)
-    report = check_features(_train_vectors(spark, sf_dir), learner, "id", "target", FOLDS)
+    """Per fold the rank metric and loss of the best round."""
+    params = BoostParams(rounds=5 * TREES, max_depth=6, max_leaves=63, l2=70.0, min_hessian=8.0, min_rows=1, column_share=0.6, row_share=0.9, patience=TREES)
+    report = check_features(_train_arrays(spark, sf_dir), params, "id", "target", FOLDS)
     return report.select("fold", rounded("metric").alias("metric"), rounded("log_loss").alias("log_loss"), "trees")
