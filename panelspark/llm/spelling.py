@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import frozen, whole, written
 
 #: Runs of these are words; A-Z are lower-cased before.
-RUN = "[a-zÀ-ÿ]+"
+LETTER = "[a-zÀ-ÿ]"
 MIN_LENGTH = 7
 MIN_COUNT = 2
 #: How many times as frequent as a word its form must be.
@@ -22,7 +23,9 @@ RATIO = 10
 #: Letters are grouped by code point modulo this.
 GROUPS = 32
 #: The trie is dealt out by its upper levels, as many as leave at most so many words below a node.
-NODE_WORDS = 20_000
+NODE_WORDS = 50_000
+#: Letter groups by which words are dealt out at most; a node that is too large even then is split by hash.
+DEALT = 12
 #: A node of no more words is not searched further; its words are verified.
 LEAF = 8
 #: Pairs verified at a time.
@@ -50,9 +53,7 @@ def count_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, held = regex.compile(RUN).findall, {}
+        find, held = re.compile(f"{LETTER}{{{min_length},}}").findall, {}
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
@@ -61,10 +62,9 @@ def count_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for doc, body in zip(batch["doc"], batch["body"], strict=True):
                 name = doc.as_py().encode()
                 for run, n in Counter(find(body.as_py().encode().lower().decode())).items():
-                    if len(run) >= min_length:
-                        word = damaged(run, name, damage_every) if damage_every else run
-                        if len(word) >= min_length:
-                            held[word] = held.get(word, 0) + n
+                    word = damaged(run, name, damage_every) if damage_every else run
+                    if len(word) >= min_length:
+                        held[word] = held.get(word, 0) + n
                 if len(held) >= HELD:
                     yield rows()
                     held.clear()
@@ -75,13 +75,15 @@ def count_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return bodies.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vectors(words: list[str]) -> np.ndarray:
-    """Per word its length and its letters by group."""
+def vectors(words: list[str], groups: Sequence[int] = range(GROUPS)) -> np.ndarray:
+    """Per word its length and its letters by group, in the order of ``groups``."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
     counts = np.zeros((len(words), GROUPS + 1), dtype=np.int32)
     counts[:, 0] = sizes
-    np.add.at(counts, (np.repeat(np.arange(len(words)), sizes), 1 + letters % GROUPS), 1)
+    level = np.empty(GROUPS, dtype=np.int64)
+    level[list(groups)] = np.arange(1, GROUPS + 1)
+    np.add.at(counts, (np.repeat(np.arange(len(words)), sizes), level[letters % GROUPS]), 1)
     return counts
 
 
@@ -137,7 +139,7 @@ _AFTER_UP = np.array([UP, -1, -1, -1, -1], dtype=np.int8)
 _AFTER_DOWN = np.array([-1, UP_DOWN, -1, DOWN, -1], dtype=np.int8)
 
 
-def trie_pairs(words: list[str], queries: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(words: list[str], queries: list[str], groups: Sequence[int] = range(GROUPS)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (query, word) of all pairs one edit apart, each pair of a word list with itself once.
 
     Words in the order of their vectors are a trie: a node is a range of rows that agree so far, a level is
@@ -146,10 +148,10 @@ def trie_pairs(words: list[str], queries: list[str]) -> Iterator[tuple[np.ndarra
     A pair with the deficit first is found from its other end.
     """
     order = sorted(range(len(words)), key=words.__getitem__)
-    table = vectors([words[i] for i in order])
+    table = vectors([words[i] for i in order], groups)
     by_vector = np.lexsort(table.T[::-1])
     order, table = np.array(order, dtype=np.int64)[by_vector], table[by_vector]
-    asked = vectors(queries)
+    asked = vectors(queries, groups)
     own, theirs = Letters([words[i] for i in order]), Letters(queries)
     sizes: list[tuple[int, int, np.ndarray]] = []
     held = 0
@@ -227,9 +229,9 @@ def _moved(levels: Column, depth: int) -> Column:
 
 def _depth(words: DataFrame, node_words: int) -> tuple[int, int]:
     """Levels above which the trie is dealt out, and blocks that each node's words are split into."""
-    for depth in range(3, GROUPS + 2):
+    for depth in range(3, DEALT + 2):
         most = words.groupBy(_nodes(F.col("levels"), depth)).count().agg(F.max("count")).first()[0] or 0
-        if most <= node_words or depth > 12:
+        if most <= node_words:
             break
     return depth, -(-most // node_words) or 1
 
@@ -239,6 +241,7 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
 
     Words are dealt out by the upper levels of the trie, deep enough that a node has at most ``node_words``
     (and split further where it still has more); each word goes as a query to every node it can reach.
+    Levels are the letter groups by variance, so that few of them tell words apart.
     """
 
     def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +250,12 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
             levels = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), GROUPS + 1).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], levels], ["word", "n", "levels"])
 
-    rows = written(words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(levelled, "word string, n long, levels array<int>"))
-    total = rows.count()
+    rows = words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(levelled, "word string, n long, levels array<int>")
+    rows = written(rows)
+    spread = rows.agg(F.count("*").alias("n"), F.array(*[F.var_pop(F.col("levels")[g + 1]) for g in range(GROUPS)]).alias("by_group")).first()
+    total = spread["n"]
+    groups = sorted(range(GROUPS), key=lambda g: (-(spread["by_group"][g] or 0.0), g))
+    rows = rows.select("word", "n", F.array(*[F.col("levels")[i] for i in (0, *(g + 1 for g in groups[:DEALT]))]).alias("levels"))
     depth, blocks = _depth(rows, node_words)
     shards = max(2 * total // node_words, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(blocks)).cast("int")
@@ -257,12 +264,13 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
     top = F.slice("levels", 1, depth)
     asked = rows.select("word", "n", F.explode(_moved(top, depth)).alias("node"))
     asked = asked.select("word", "n", "node", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select(F.col("word").alias("query"), F.col("n").alias("query_n"), shard.alias("at")).distinct()
+    asked = asked.select(F.col("word").alias("query"), F.col("n").alias("query_n"), shard.alias("at"))
 
     def searched(own: pa.Table, queries: pa.Table) -> pa.Table:
-        names, asking = (np.array(t[c].to_pylist(), dtype=object) for t, c in ((own, "word"), (queries, "query")))
-        n, asking_n = own["n"].to_numpy(), queries["query_n"].to_numpy()
-        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), *trie_pairs(list(names), list(asking))]
+        once = dict(zip(queries["query"].to_pylist(), queries["query_n"].to_pylist(), strict=True))  # a word may reach several nodes of a shard
+        names, asking = (np.array(words, dtype=object) for words in (own["word"].to_pylist(), list(once)))
+        n, asking_n = own["n"].to_numpy(), np.array(list(once.values()), dtype=np.int64)
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), *trie_pairs(list(names), list(asking), groups)]
         q, w = (np.concatenate([p[i] for p in out]) for i in (0, 1))
         columns = [np.concatenate(c) for c in ((asking[q], names[w]), (names[w], asking[q]), (n[w], asking_n[q]))]
         return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "other", "other_n"])
