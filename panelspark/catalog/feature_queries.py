@@ -29,10 +29,10 @@ R = Registry()
 SPEC = PanelSpec("id")
 NUMERIC = ["amt", "n", "pend"]
 CATEGORICAL = ["prio"]
-#: Decimals that both engines agree on: means of cents are equal to six unless 32 rows or more make a tie; deviations
-#: of large amounts to three.
+#: Decimals that both engines agree on: means of cents are equal to six unless 32 rows or more make a tie. Deviations
+#: and ratios are equal to six significant digits (written as negative).
 DIGITS = 6
-DEVIATION_DIGITS = 3
+SIGNIFICANT = -6
 
 
 def _sql_aggregate(f: Feature) -> str:
@@ -78,7 +78,7 @@ def _sql_feature(f: Feature) -> str:
 
 
 def _digits(f: Feature) -> int:
-    return DEVIATION_DIGITS if f.aggregate == "std" else DIGITS
+    return SIGNIFICANT if f.aggregate == "std" or f.kind == "ratio" else DIGITS
 
 
 def _is_whole(f: Feature, categorical: Sequence[str]) -> bool:
@@ -190,8 +190,8 @@ _STATS = {"first": "arg_min({c}, ind)", "last": "arg_max({c}, ind)", "mean": "av
 
 
 def _distance_digits(name: str) -> int:
-    """Ratios of scaled values near zero are large and carry what is left of the sums' last bits."""
-    return 3 if name.endswith("ratio") else 6
+    """Ratios of scaled values may be of any size."""
+    return SIGNIFICANT if name.endswith("ratio") else DIGITS
 
 
 def _distance_sql(kind: str) -> str:

@@ -152,15 +152,25 @@ def customer_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(column: Column | str, digits: int = 6) -> Column:
     """Round half to even with plain double arithmetic, which both engines do alike.
 
-    Adding zero turns a negative zero into a positive one.
+    Negative ``digits`` are significant ones: the value is scaled by a power of ten of its own size, so small
+    values keep theirs. Adding zero turns a negative zero into a positive one.
     """
-    factor = F.lit(10.0**digits)
     value = F.col(column) if isinstance(column, str) else column
-    return F.rint(value * factor) / factor + F.lit(0.0)
+    if digits >= 0:
+        factor = F.lit(10.0**digits)
+        return F.rint(value * factor) / factor + F.lit(0.0)
+    size = F.abs(value)
+    factor = F.pow(F.lit(10.0), F.lit(-digits - 1.0) - F.floor(F.log10(size)))
+    return F.when((size > 0) & (size < F.lit(float("inf"))), F.rint(value * factor) / factor).otherwise(value + F.lit(0.0))
 
 
 def rounded_sql(expression: str, digits: int = 6) -> str:
-    return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits} + 0.0e0)"
+    if digits >= 0:
+        return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits} + 0.0e0)"
+    value = f"({expression})"
+    factor = f"power(10.0e0, {-digits - 1}.0e0 - floor(log10(abs({value}))))"
+    finite = f"abs({value}) > 0 AND abs({value}) < CAST('Infinity' AS DOUBLE)"
+    return f"(CASE WHEN {finite} THEN round_even({value} * {factor}, 0) / {factor} ELSE {value} + 0.0e0 END)"
 
 
 def double_sql(value: float) -> str:

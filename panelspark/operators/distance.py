@@ -58,14 +58,16 @@ def self_distances(
     columns: Sequence[str],
     index: str = "ind",
     kinds: Sequence[str] = KINDS,
+    clustered: bool = False,
 ) -> DataFrame:
     """``{mean,max,min}_{pair}_{kind}`` over all columns, 15 features per kind.
 
-    The panel is shuffled once, by customer; unfolding the columns and both aggregations keep
+    The panel is shuffled once, by customer, unless it is ``clustered`` by a bucketed table; unfolding the columns and both aggregations keep
     that partitioning. Scaling is increasing and affine, so it is applied to the five
     statistics instead of to every row. The scaler has one row per column and is broadcast.
     """
-    by_customer = panel.select(id_col, index, *columns).repartition(id_col)
+    by_customer = panel.select(id_col, index, *columns)
+    by_customer = by_customer if clustered else by_customer.repartition(id_col)
     cells = unfold(by_customer, [id_col, index], columns)
     raw = cells.groupBy(id_col, "column").agg(
         F.expr(first_valid("value", quoted(index))).alias("first"),

@@ -64,12 +64,20 @@ class Feature:
 
 @dataclass(frozen=True)
 class PanelSpec:
-    """Names of the key and the order column, and the period numbers that frames refer to."""
+    """Names of the key and the order column, and the period numbers that frames refer to.
+
+    ``clustered`` panels come from a table that is bucketed by the key (``sources.tables.read_clustered``) and are
+    not shuffled again.
+    """
 
     id_col: str
     index: str = "ind"
     recent_from: int = RECENT_FROM
     last: int = LAST_INDEX
+    clustered: bool = False
+
+    def by_customer(self, rows: DataFrame) -> DataFrame:
+        return rows if self.clustered else rows.repartition(self.id_col)
 
 
 def feature_catalog(numeric: Sequence[str], categorical: Sequence[str]) -> list[Feature]:
@@ -174,7 +182,7 @@ def _unfolded_features(
     """
     columns = list(dict.fromkeys(f.column for f in features))
     diffed = list(dict.fromkeys(f.column for f in features if f.prefix == "diff"))
-    rows = present(panel, [spec.id_col]).select(spec.id_col, spec.index, *columns).repartition(spec.id_col)
+    rows = spec.by_customer(present(panel, [spec.id_col]).select(spec.id_col, spec.index, *columns))
     if diffed:
         rows = exact_lag_diff(rows, spec.id_col, diffed, spec.index)
         rows = rows.withColumns({f"{c}_diff": F.lit(None).cast("double") for c in columns if c not in set(diffed)})
@@ -203,7 +211,7 @@ def _distinct_counts(panel: DataFrame, spec: PanelSpec, columns: Sequence[str])
     Distinct aggregates over several columns would multiply the rows once per column and
     shuffle twice; here the rows are shuffled once, by customer, and unfolded after that.
     """
-    rows = present(panel, [spec.id_col]).select(spec.id_col, *columns).repartition(spec.id_col)
+    rows = spec.by_customer(present(panel, [spec.id_col]).select(spec.id_col, *columns))
     values = unfold(rows, [spec.id_col], columns, value_type="STRING").select(spec.id_col, "column", "value").distinct()
     counts = values.groupBy(spec.id_col, "column").agg(F.count("value").alias("n"))
     folded = counts.groupBy(spec.id_col).agg(F.array_sort(F.collect_list(F.struct("column", "n"))).alias("__distinct"))

@@ -69,22 +69,15 @@ def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _slots(panel: DataFrame, index: str, periods: Sequence[int] | None) -> Column:
-    """The given periods, or all from the panel's first to its last, which are two scalars."""
+    """The given periods, or the distinct ones that the panel has, as one array; a period far off costs one slot."""
     if periods is not None:
         return F.array(*[F.lit(int(p)).cast(dict(panel.dtypes)[index]) for p in periods])
-    low, high = (panel.agg(bound(index)).scalar() for bound in (F.min, F.max))
-    return F.sequence(low, high)
-
-
-def _observed(grid: DataFrame, panel: DataFrame, index: str, periods: Sequence[int] | None) -> DataFrame:
-    """Without given periods, the grid has those that the panel has."""
-    return grid if periods is not None else grid.join(distinct_keys(panel, index), index, "left_semi")
+    return panel.agg(F.array_sort(F.collect_set(index))).scalar()
 
 
 def period_grid(panel: DataFrame, id_col: str, index: str = "ind", periods: Sequence[int] | None = None) -> DataFrame:
     """Every customer with every period: the given ones, or all that the panel has."""
-    grid = distinct_keys(panel, id_col).select(id_col, F.explode(_slots(panel, index, periods)).alias(index))
-    return _observed(grid, panel, index, periods).select(id_col, index)
+    return distinct_keys(panel, id_col).select(id_col, F.explode(_slots(panel, index, periods)).alias(index))
 
 
 def densify(
@@ -106,7 +99,7 @@ def densify(
     known = F.map_from_entries(F.collect_list(F.when(F.col(index).isNotNull(), cell)))
     rows = panel.groupBy(id_col).agg(known.alias("__rows"))
     dense = rows.select(id_col, F.explode(_slots(panel, index, periods)).alias(index), "__rows")
-    found = _observed(dense, panel, index, periods).select(id_col, index, F.col("__rows")[F.col(index)].alias("__cell"))
+    found = dense.select(id_col, index, F.col("__rows")[F.col(index)].alias("__cell"))
     columns = [F.coalesce(F.col("__cell")[v], F.lit(fill)).alias(v) for v in values]
     if present:
         columns.append(F.col("__cell").isNotNull().cast("int").alias(present))

@@ -102,6 +102,19 @@ def test_period_grid_has_the_observed_periods_only(spark):
     assert P.period_grid(rows.filter("id = 'z'"), "id").count() == 0
 
 
+def test_a_period_far_off_costs_one_slot(spark):
+    far = spark.createDataFrame([("a", -2_000_000, 1.0), ("a", 13, 2.0), ("b", 2_000_000, None)], "id STRING, ind INT, x DOUBLE")
+    slots = [-2_000_000, 13, 2_000_000]
+    assert rows_of(P.period_grid(far, "id"), "id", "ind") == [(i, s) for i in "ab" for s in slots]
+    dense = P.densify(far, "id", ["x"], present="real")
+    assert rows_of(dense, "id", "ind") == [("a", slots[0], 1.0, 1), ("a", 13, 2.0, 1), ("a", slots[2], 0.0, 0), ("b", slots[0], 0.0, 0), ("b", 13, 0.0, 0), ("b", slots[2], 0.0, 1)]
+
+
+def test_a_hot_customer_does_not_change_the_grid(spark):
+    hot = spark.range(5000).selectExpr("'a' AS id", "int(id) AS ind", "1.0 AS x").union(spark.createDataFrame([("b", 7, 1.0)], "id STRING, ind INT, x DOUBLE"))
+    assert P.densify(hot, "id", ["x"]).groupBy("id").count().filter("count = 5000").count() == 2
+
+
 def test_sequence_pivot_of_a_sparse_panel_equals_that_of_the_grid(spark):
     dense = P.densify(panel(spark), "id", ["x"], periods=[12, 13], fill=0.0)
     want = rows_of(P.sequence_pivot(dense, "id", ["x"], periods=[12, 13]), "id")

@@ -1,5 +1,11 @@
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
+from panelspark.operators.distance import fit_scaler, self_distances
+from panelspark.operators.features import PanelSpec, build_features
+from panelspark.operators.panel import densify, exact_lag_diff, sequence_arrays, sequence_pivot
 from panelspark.session import checkpoint_frame
 from panelspark.sources import tables
 
@@ -39,3 +45,55 @@ def test_checkpoint_cuts_lineage(spark):
     df = checkpoint_frame(spark.range(10).selectExpr("id * 2 AS v"))
     assert "Range" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["v"] for r in df.collect()) == list(range(0, 20, 2))
+
+
+PERIODS = list(range(9, 14))
+
+
+def _build(panel, clustered):
+    return build_features(panel, PanelSpec("id", clustered=clustered), ["x", "z"], ["c"])
+
+
+def _distances(panel, clustered):
+    scaler = panel.sparkSession.createDataFrame([((1.5, 2.0), (0.5, 3.0))], "x struct<mu: double, sd: double>, z struct<mu: double, sd: double>")
+    assert fit_scaler(panel, ["x", "z"]).schema["x"].dataType.names == ["mu", "sd"]
+    return self_distances(panel, scaler, "id", ["x", "z"], clustered=clustered)
+
+
+CLUSTERED = {
+    "build": _build,
+    "lags": lambda panel, _: exact_lag_diff(panel, "id", ["x", "z"]),
+    "distances": _distances,
+    "densify": lambda panel, _: densify(panel, "id", ["x", "z"], periods=PERIODS),
+    "sequences": lambda panel, _: sequence_arrays(densify(panel, "id", ["x", "z"], periods=PERIODS), "id", ["x", "z"]),
+    "pivot": lambda panel, _: sequence_pivot(panel, "id", ["x", "z"], periods=PERIODS),
+}
+
+
+@pytest.fixture(scope="module")
+def panels(spark, tmp_path_factory):
+    """The same panel from plain files and from a clustered table."""
+    folder = tmp_path_factory.mktemp("panels")
+    ids = spark.range(60).select(F.col("id"), F.explode(F.sequence(F.lit(9), F.lit(13))).alias("ind")).filter("(id * 7 + ind) % 4 <> 0")
+    rows = ids.select("id", "ind", F.when(F.col("id") % 5 != 0, F.col("id") * 0.25 + F.col("ind")).alias("x"), (F.col("ind") * 1.5 - F.col("id")).alias("z"), (F.col("id") % 3).cast("int").alias("c"))
+    tables.write_panel(rows.withColumn("split", F.lit("train")), str(folder / "plain"))
+    tables.write_clustered(rows, "clustered_panel", str(folder / "clustered"), "id", 6)
+    yield tables.read_panel(spark, str(folder / "plain")).drop("split"), tables.read_clustered(spark, "clustered_panel")
+    spark.sql("DROP TABLE clustered_panel")
+
+
+def test_a_clustered_table_has_one_sorted_file_per_bucket(spark, panels):
+    files = panels[1].inputFiles()
+    assert len(files) == 6
+    for f in files:
+        got = [(r["id"], r["ind"]) for r in spark.read.parquet(f).collect()]
+        assert got == sorted(got)
+
+
+@pytest.mark.parametrize("name", sorted(CLUSTERED))
+def test_clustered_panels_are_not_shuffled(panels, name):
+    plain, clustered = (CLUSTERED[name](panel, i == 1) for i, panel in enumerate(panels))
+    plan = clustered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange RoundRobin" not in plan and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning" in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, clustered.collect())) == sorted(map(tuple, plain.collect()))
