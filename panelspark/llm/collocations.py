@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +36,16 @@ LONGEST = 4096
 TABLE_BITS = 26
 #: Distinct chunks, words or phrases that a task holds before it passes their counts on.
 HELD = 400_000
+#: Files of the dictionary that a task reads when it counts frequent phrases by text.
+GATHERED = 4
 #: Parts in which the first phrases of a language are ranked before they meet.
 RANK_PARTS = 64
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words, A-Z lower-cased, and one ``END`` for each run of piece ends."""
+def normalized(text: str) -> bytes:
+    """Words, A-Z lower-cased, and one ``END`` for each run of piece ends, with single blanks between."""
     marked = text.encode().lower().translate(_TO_END)
-    return _END_RUN.sub(b" . ", marked).split()
+    return b" ".join(_END_RUN.sub(b" . ", marked).split())
 
 
 _TO_END = bytes.maketrans(ENDS, END * len(ENDS))
@@ -83,10 +85,15 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
 
         for batch in batches:
             for body, tongue in zip(batch["body"], batch["lang"].to_pylist(), strict=True):
-                tokens = tokens_of(body.as_py())
-                starts = cuts(hashes.of(b" ".join(tokens)), overlap).tolist()
-                for a, b in zip(starts, [*starts[1:], len(tokens)], strict=True):
-                    key = (tongue, b" ".join(tokens[a : b + overlap]), b - a)
+                stream = normalized(body.as_py())
+                words, starts, ends = hashes.spans(stream)
+                if not len(words):
+                    continue
+                first = cuts(words, overlap)
+                after = np.append(first[1:], len(words))
+                spans = zip(starts[first].tolist(), ends[np.minimum(after + overlap, len(words)) - 1].tolist(), (after - first).tolist(), strict=True)
+                for a, b, own in spans:
+                    key = (tongue, stream[a:b], own)
                     held[key] = held.get(key, 0) + 1
                     if len(held) >= HELD:
                         yield rows()
@@ -99,56 +106,29 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
     return parts.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Words of each language by number, with their hashes; 0 is no word."""
+class Chunks:
+    """The words of many chunks side by side, an end between two chunks, with their hashes by language."""
 
-    def __init__(self):
+    def __init__(self, batch: pa.RecordBatch, hashes: WordHashes):
         import xxhash
 
-        self.digest, self.langs = xxhash.xxh64_intdigest, {}
-        self.words: list[tuple[str, bytes]] = [("", b"")]
-        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
-
-    def of(self, lang: str) -> dict[bytes, int]:
-        if lang not in self.langs:
-            self.langs[lang] = _Language(self, lang)
-        return self.langs[lang]
-
-    def add(self, lang: str, seed: int, word: bytes) -> int:
-        number = len(self.words)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = self.digest(word, seed)
-        self.words.append((lang, word))
-        return number
-
-
-class _Language(dict):
-    def __init__(self, vocabulary: Vocabulary, lang: str):
-        super().__init__({END: 0, b"": 0})
-        self.vocabulary, self.lang, self.seed = vocabulary, lang, vocabulary.digest(lang.encode())
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = self.vocabulary.add(self.lang, self.seed, word)
-        return found
-
-
-class Chunks:
-    """The words of many chunks side by side as numbers, each chunk closed by a 0."""
-
-    def __init__(self, batch: pa.RecordBatch, vocabulary: Vocabulary):
-        texts = [text.encode().split(b" ") for text in batch["chunk"].to_pylist()]
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        words = chain.from_iterable(chain(map(vocabulary.of(lang).__getitem__, t), (0,)) for lang, t in zip(batch["lang"].to_pylist(), texts, strict=True))
-        self.words = np.fromiter(words, np.int64, int(sizes.sum()))
-        self.weights = np.repeat(batch["n"].to_numpy(zero_copy_only=False), sizes)
-        place = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = place < np.repeat(batch["own"].to_numpy(zero_copy_only=False), sizes)
-        self.vocabulary = vocabulary
+        sizes = pc.binary_length(batch["chunk"]).to_numpy(zero_copy_only=False)
+        self.stream = b" . ".join(text.encode() for text in batch["chunk"].to_pylist())
+        words, self.starts, self.ends = hashes.spans(self.stream)
+        first = np.cumsum(sizes + 3) - sizes - 3
+        self.chunk = np.searchsorted(first, self.starts, side="right") - 1
+        self.langs = batch["lang"].to_pylist()
+        seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in set(self.langs)}
+        seed = np.array([seeds[lang] for lang in self.langs], dtype=np.uint64)
+        self.words = (self.ends - self.starts != 1) | (np.frombuffer(self.stream, dtype=np.uint8)[self.starts] != END[0])
+        self.hashes = mixed(seed[self.chunk], words)
+        place = np.arange(len(words)) - np.searchsorted(self.starts, first)[self.chunk]
+        self.own = place < batch["own"].to_numpy(zero_copy_only=False)[self.chunk]
+        self.weights = batch["n"].to_numpy(zero_copy_only=False)[self.chunk]
 
     def phrases(self, tables: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For 1, 2, ... words: hashes of the phrases from each place on, and whether all their shorter parts are in the tables."""
-        hashes, alive = self.vocabulary.hashes[self.words], self.words > 0
+        hashes, alive = self.hashes, self.words
         yield hashes, alive
         for table in tables:
             at = np.flatnonzero(alive)
@@ -157,58 +137,68 @@ class Chunks:
             hashes, alive = mixed(hashes[:-1], hashes[1:]), alive[:-1] & alive[1:]
             yield hashes, alive
 
+    def distinct(self, hashes: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[str, bytes, int, int]]:
+        """(language, phrase, hash, weight) of the different phrases of ``size`` words at the places ``at``."""
+        keys, sums, first = _merged([hashes[at]], [self.weights[at]])
+        places = at[first]
+        langs = [self.langs[c] for c in self.chunk[places].tolist()]
+        ends = self.ends[places + size - 1].tolist()
+        for lang, a, b, key, n in zip(langs, self.starts[places].tolist(), ends, keys.view(np.int64).tolist(), sums.tolist(), strict=True):
+            yield lang, self.stream[a:b], key, n
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and a place of each."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    sums = np.add.reduceat(count[order], first) if len(first) else count
+    return key[first], sums, order[first]
+
 
 def count_words(chunks: DataFrame) -> DataFrame:
     """(lang, word, hash, n) of all words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, sums = Vocabulary(), np.zeros(0)
+        hashes, held = WordHashes(), {}
 
         def rows() -> pa.RecordBatch:
-            at = np.flatnonzero(sums)
-            langs, words = zip(*(vocabulary.words[i] for i in at.tolist()), strict=True)
-            hashes = vocabulary.hashes[at].view(np.int64)
-            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(sums[at].astype(np.int64))]
+            langs, words, keys = zip(*held, strict=True)
+            columns = [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(keys, pa.int64()), pa.array(held.values(), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "word", "hash", "n"])
 
         for batch in batches:
-            seen = Chunks(batch, vocabulary)
-            at = np.flatnonzero(seen.own & (seen.words > 0))
-            new = np.bincount(seen.words[at], seen.weights[at], len(vocabulary.words))
-            new[: len(sums)] += sums
-            sums = new
-            if len(vocabulary.words) > HELD:
-                if sums.any():
-                    yield rows()
-                vocabulary, sums = Vocabulary(), np.zeros(0)
-        if sums.any():
+            if not batch.num_rows:
+                continue
+            seen = Chunks(batch, hashes)
+            for lang, word, key, n in seen.distinct(seen.hashes, np.flatnonzero(seen.own & seen.words), 1):
+                held[lang, word, key] = held.get((lang, word, key), 0) + n
+            if len(held) >= HELD:
+                yield rows()
+                held.clear()
+        if held:
             yield rows()
 
     parts = chunks.mapInArrow(counted, "lang string, word string, hash long, n long")
     return parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
-
-
 def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast]) -> DataFrame:
     """(hash, n) of all phrases of one word more than there are tables, whose shorter parts are in the tables."""
     tables = list(tables)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, keys, counts, size, bits = Vocabulary(), [], [], 0, [t.value for t in tables]
+        words, keys, counts, size, bits = WordHashes(), [], [], 0, [t.value for t in tables]
 
         def rows() -> pa.RecordBatch:
-            found, sums = _merged(keys, counts)
+            found, sums, _ = _merged(keys, counts)
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["hash", "n"])
 
         for batch in batches:
-            seen = Chunks(batch, vocabulary)
+            if not batch.num_rows:
+                continue
+            seen = Chunks(batch, words)
             *_, (hashes, alive) = seen.phrases(bits)
             at = np.flatnonzero(alive & seen.own[: len(alive)])
             keys.append(hashes[at])
@@ -217,8 +207,6 @@ def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast]) -> DataFrame:
             if size >= 4 * HELD:
                 yield rows()
                 keys, counts, size = [], [], 0
-            if len(vocabulary.words) > HELD:
-                vocabulary = Vocabulary()
         if keys:
             yield rows()
 
@@ -226,11 +214,14 @@ def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast]) -> DataFrame:
 
 
 def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int) -> DataFrame:
-    """(lang, phrase, words, a) of all phrases of 2 to ``max_words`` words that are in the tables with all their parts, by text."""
+    """(lang, phrase, words, a) of all phrases of 2 to ``max_words`` words that are in the tables with all their parts, by text.
+
+    A task reads several files, as frequent phrases are in most of them and leave a task once.
+    """
     tables = list(tables)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, bits = Vocabulary(), {}, [t.value for t in tables]
+        words, held, bits = WordHashes(), {}, [t.value for t in tables]
 
         def rows() -> pa.RecordBatch:
             langs, phrases, sizes = zip(*held, strict=True)
@@ -238,28 +229,26 @@ def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a"])
 
         for batch in batches:
-            seen = Chunks(batch, vocabulary)
+            if not batch.num_rows:
+                continue
+            seen = Chunks(batch, words)
             for size, (hashes, alive) in enumerate(seen.phrases(bits), 1):
                 if size == 1:
                     continue
                 at = np.flatnonzero(alive & seen.own[: len(alive)])
                 if size <= len(bits):
                     at = at[in_table(bits[size - 1], hashes[at])]
-                phrases = np.stack([seen.words[at + i] for i in range(size)], axis=1)
-                found, back = np.unique(phrases, axis=0, return_inverse=True) if len(at) else (phrases, at)
-                for phrase, n in zip(found.tolist(), np.bincount(back.ravel(), seen.weights[at], len(found)).astype(np.int64).tolist(), strict=True):
-                    words = [vocabulary.words[w] for w in phrase]
-                    key = (words[0][0], b" ".join(w for _, w in words), size)
+                for lang, phrase, _, n in seen.distinct(hashes, at, size):
+                    key = (lang, phrase, size)
                     held[key] = held.get(key, 0) + n
-            if len(held) >= HELD:
+            if len(held) >= 2 * HELD:
                 yield rows()
                 held.clear()
-            if len(vocabulary.words) > HELD:
-                vocabulary = Vocabulary()
         if held:
             yield rows()
 
-    parts = chunks.mapInArrow(counted, "lang string, phrase string, words int, a long")
+    files = chunks.coalesce(max(chunks.rdd.getNumPartitions() // GATHERED, 1))
+    parts = files.mapInArrow(counted, "lang string, phrase string, words int, a long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
 
 

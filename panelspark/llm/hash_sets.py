@@ -71,12 +71,17 @@ class WordHashes:
 
     def of(self, text: bytes) -> np.ndarray:
         """The words' hashes in order."""
-        out, at = [], 0
+        return self.spans(text)[0]
+
+    def spans(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' hashes, and where each starts and ends."""
+        out, at = [(np.zeros(0, dtype=np.uint64), *np.zeros((2, 0), dtype=np.int64))], 0
         while at < len(text):
             end = self._cut(text, at)
-            out.append(self._block(np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at)))
+            hashes, starts, ends = self._block(np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at))
+            out.append((hashes, starts + at, ends + at))
             at = end
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def _cut(self, text: bytes, at: int) -> int:
         """The end of a block: white space before its limit, or else the next there is."""
@@ -89,7 +94,7 @@ class WordHashes:
         rest = WHITE[np.frombuffer(text, dtype=np.uint8, offset=limit)]
         return limit + int(rest.argmax()) if rest.any() else len(text)
 
-    def _block(self, raw: np.ndarray) -> np.ndarray:
+    def _block(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self._powers(len(raw))
         white = np.ones(len(raw) + 2, dtype=bool)
         white[1:-1] = WHITE[raw]
@@ -100,4 +105,4 @@ class WordHashes:
         found = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
         found ^= found >> np.uint64(31)
         found *= np.uint64(0xBF58476D1CE4E5B9)
-        return found ^ (found >> np.uint64(32))
+        return found ^ (found >> np.uint64(32)), starts, ends
