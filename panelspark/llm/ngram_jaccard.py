@@ -23,6 +23,8 @@ FREQUENT = 8
 #: Bits of the table of one class (2 MB each), and of the texts whose sets are compared (8 MB).
 CLASS_BITS = 24
 TEXT_BITS = 26
+#: Of the table of keys that several classes have (8 MB).
+KEY_BITS = 26
 #: Slots are counted by ranges, 2^8 of them.
 RANGE_BITS = 8
 #: Longs of the parity sketch of a set.
@@ -193,6 +195,64 @@ def _sketched(documents: DataFrame, doc_id: Column, text: Column, words: int, si
     return rows.mapInArrow(sketched, f"doc_id {kind}, row_hash long, v binary, n long, sketch array<long>, keys array<long>")
 
 
+#: What is known of a class at a key: its number, its size, the hash of the row its text is read from, its sketch.
+MEMBER = ["x", "n", "h", *[f"s{i}" for i in range(SKETCH)]]
+_LONGS = "key long, x long, n long, h long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+
+
+def _index(classes: DataFrame) -> DataFrame:
+    """(key, member) of the keys that two classes or more have; a bit table lets some others through."""
+    often = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    table = bit_table(often, "key", KEY_BITS)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch["keys"].offsets.to_numpy())
+            keys = batch["keys"].flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            hit = in_table(table.value, keys.view(np.uint64))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            sketch = batch["sketch"].flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+            known = [batch[c].to_numpy()[row] for c in ("x", "n", "row_hash")] + [sketch[row, i] for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys[hit], *known)], ["key", *MEMBER])
+
+    return classes.select("x", "n", "row_hash", "sketch", "keys").mapInArrow(shared, _LONGS)
+
+
+def _meetings(index: DataFrame, bound: Bound) -> DataFrame:
+    """Per key its members, compared with the smallest: kind 0 (x, h, y, yh) a pair that can be similar, kind 1 a member of
+    a key of three or more, whose other pairs are still to be compared.
+
+    Rows are streamed in the order of keys, so a key of any size needs no memory.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = np.zeros((0, len(MEMBER) + 1), dtype=np.int64), None
+
+        def rows(kind: int, known: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(known), kind), *known.T, other[:, 1], other[:, 3]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kind", "key", *MEMBER, "y", "yh"])
+
+        for batch in (*batches, None):
+            new = np.stack([c.to_numpy() for c in batch.columns], axis=1) if batch is not None else held[:0]
+            here = np.concatenate([held, new])
+            if not len(here):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], here[1:, 0] != here[:-1, 0]]))
+            sizes = np.diff(np.append(starts, len(here)))
+            smallest, large = here[np.repeat(starts, sizes)], np.repeat(sizes > 2, sizes)
+            if first is not None and first[0] == here[0, 0]:  # a key of three or more goes on
+                smallest[: sizes[0]], large[: sizes[0]] = first, True
+            stop = len(here) if batch is None or large[-1] else starts[-1]  # a key with fewer may still get more
+            held, first = here[stop:], smallest[-1].copy() if large[-1] else None
+            here, smallest, large = here[:stop], smallest[:stop], large[:stop]
+            pair = (here[:, 1] != smallest[:, 1]) & bound.reachable_rows(here, smallest)
+            yield rows(0, here[pair], smallest[pair])
+            yield rows(1, here[large], here[large])
+
+    dealt = index.repartition("key").sortWithinPartitions("key", "x")
+    return written(dealt.mapInArrow(met, f"kind long, {_LONGS}, y long, yh long"))
+
+
 @dataclass
 class Sets:
     """Where the sets of classes come from: the text of one row of each is read again."""
@@ -201,76 +261,80 @@ class Sets:
     doc_id: Column
     text: Column
     words: int
-    classes: DataFrame  # (x, row_hash)
 
-    def of(self, wanted: DataFrame) -> DataFrame:
-        """(x, shingles) of the classes ``wanted`` (x), written. A row hash picks the text, so a hot class is read once."""
-        picked = written(wanted.join(self.classes, "x"))
-        table = bit_table(picked, "row_hash", TEXT_BITS)
-        rows = self.documents.select(F.xxhash64(self.doc_id, self.text).alias("row_hash"), self.text.alias("body"))
+    def of(self, hashes: DataFrame) -> DataFrame:
+        """(h, shingles) of the rows with the hashes (h), written; some others may come along."""
+        table = bit_table(hashes, "h", TEXT_BITS)
+        rows = self.documents.select(F.xxhash64(self.doc_id, self.text).alias("h"), self.text.alias("body"))
         words = self.words
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler, seen = Shingler(words), set()
             for batch in batches:
-                hashes = batch["row_hash"].to_numpy()
-                at = [i for i in np.flatnonzero(in_table(table.value, hashes.view(np.uint64))).tolist() if hashes[i] not in seen]
-                seen.update(hashes[at].tolist())
+                of = batch["h"].to_numpy()
+                at = [i for i in np.flatnonzero(in_table(table.value, of.view(np.uint64))).tolist() if of[i] not in seen]
+                seen.update(of[at].tolist())
                 sets = [shingler.of(batch["body"][i].as_py()).view(np.int64) for i in at]
                 if len(seen) > HELD:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["row_hash", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
 
-        found = rows.mapInArrow(shingled, "row_hash long, shingles array<long>")
-        return written(found.join(picked, "row_hash").select("x", "shingles"))
+        return written(rows.mapInArrow(shingled, "h long, shingles array<long>"))
 
 
 @dataclass
 class Bound:
-    """The similarity asked for, as conditions on columns of pairs."""
+    """The similarity asked for, as conditions on pairs."""
 
     part: int
     of: int
 
-    def reachable(self, a: str, b: str) -> Column:
-        """By their sizes and sketches the sets ``a`` and ``b`` (structs) can be similar enough."""
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        flipped = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    def reachable(self) -> Column:
+        """By sizes and sketches the member (n, s0, ...) and the other (yn, ys0, ...) can be similar enough."""
+        n, m = F.col("n"), F.col("yn")
+        flipped = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"ys{i}"))) for i in range(SKETCH)), F.lit(0))
         return (F.least(n, m) * self.of >= F.greatest(n, m) * self.part) & (flipped * (self.of + self.part) <= (n + m) * (self.of - self.part))
 
+    def reachable_rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same of rows (key, member) of two matrices."""
+        n, m = a[:, 2], b[:, 2]
+        flipped = np.bitwise_count((a[:, 4:] ^ b[:, 4:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return (np.minimum(n, m) * self.of >= np.maximum(n, m) * self.part) & (flipped * (self.of + self.part) <= (n + m) * (self.of - self.part))
+
     def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar, by all their shingles."""
-        left, right = (sets.select(F.col("x").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b")
+        """The pairs (ha, hb) whose sets are similar, by all their shingles."""
+        left, right = (sets.select(F.col("h").alias(f"h{x}"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+        both = pairs.join(left, "ha").join(right, "hb")
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(common * (self.part + self.of) >= (F.size("a_set") + F.size("b_set")) * self.part).select(*pairs.columns)
 
 
 def _linked(index: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
-    """(x, c): components of the classes in ``index`` (key, m; the member m has x, n and its sketch), under similarity.
+    """(x, c): components of the classes in ``index`` that meet another, under similarity.
 
-    Members of a key are first compared with its smallest and its largest: copies of one another need a link each.
-    Then what is not of a key's most frequent component is compared with all its members, in the join, by size
-    and sketch; only what passes is compared by whole sets.
+    Members of a key are first compared with its smallest one: copies of one another need one link each. In keys
+    of three or more, what is not of the most frequent component is then compared with all members, in the
+    join, by size and sketch; only what passes is compared by whole sets.
     """
-    pivots = written(index.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")))
-    stars = index.join(pivots, "key").select("m", F.explode(F.array("low", "high")).alias("p")).where((F.col("m.x") != F.col("p.x")) & bound.reachable("m", "p"))
-    labels = index.select(F.col("m.x").alias("x"), F.col("m.x").alias("c")).distinct()
-    labels = frozen(_more(labels, stars.select(F.col("m.x").alias("a"), F.col("p.x").alias("b"), F.col("m.x").alias("c"), F.col("p.x").alias("d")), sets, bound))
+    found = _meetings(index, bound)
+    stars = found.where("kind = 0").select(F.col("h").alias("ha"), F.col("yh").alias("hb"), F.col("x").alias("c"), F.col("y").alias("d"))
+    members = found.where("kind = 1")
+    labels = stars.select("c").union(stars.select("d")).union(members.select("x")).distinct().select(F.col("c").alias("x"), "c")
+    labels = frozen(_more(labels, stars, sets, bound))
 
-    rows = written(index.join(labels, F.col("m.x") == F.col("x")).select("key", "m", "c"))
+    rows = written(members.join(labels, "x").select("key", *MEMBER, "c"))
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     major = written(sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "major"))
     others = written(rows.join(major, "key"))
-    strangers = others.where("c <> major").select("key", F.col("m").alias("p"), F.col("c").alias("d"))
-    pairs = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable("m", "p"))
-    return _more(labels, pairs.select(F.col("m.x").alias("a"), F.col("p.x").alias("b"), "c", "d"), sets, bound)
+    strangers = others.where("c <> major").select("key", *[F.col(c).alias(f"y{c}") for c in MEMBER], F.col("c").alias("d"))
+    pairs = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable())
+    return _more(labels, pairs.select(F.col("h").alias("ha"), F.col("yh").alias("hb"), "c", "d"), sets, bound)
 
 
 def _more(labels: DataFrame, pairs: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
-    """The labels (x, c) after verifying ``pairs`` (a, b, c, d) of different components c and d."""
+    """The labels (x, c) after verifying ``pairs`` (ha, hb, c, d) of different components c and d."""
     pairs = frozen(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb"))
     links = frozen(bound.similar(pairs, sets.of(wanted)).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
     found = connected_components(links.select(F.col("a").alias("v")).union(links.select("b")).distinct(), links)
     return labels.select("x", F.col("c").alias("v")).join(found.withColumnRenamed("c", "to"), "v", "left").select("x", F.coalesce("to", "v").alias("c"))
@@ -304,12 +368,7 @@ def ngram_jaccard_components(
     classes = rows.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("first"), F.any_value(F.struct("n", "sketch", "row_hash", "keys")).alias("one"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("x"), "v", "first", "one.*"))
 
-    keyed = classes.select("x", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    member = F.struct("x", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("m")
-    found = keyed.join(shared, "key").distinct()
-    index = written(found.join(classes.select("x", member), "x").select("key", "m"))
-    linked = frozen(_linked(index, Sets(documents, doc_id, text, shingle_words, classes.select("x", "row_hash")), bound))
+    linked = frozen(_linked(_index(classes), Sets(documents, doc_id, text, shingle_words), bound))
 
     labelled = written(classes.select("x", "v", "first").join(linked, "x", "left").select("v", "first", F.coalesce("c", "x").alias("c")))
     by_set = written(labelled.join(labelled.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("v", "component_id"))

@@ -143,3 +143,14 @@ def test_hashes_of_words_depend_on_the_words_alone(monkeypatch):
     words = [f"{a}{b}" for a in range(300) for b in "abcdefghij"]
     assert len(set(hashes.of(" ".join(words).encode()).tolist())) == len(set(words))
     assert len(hashes.of(b"")) == len(hashes.of(b" \n")) == 0
+
+
+def test_keys_that_go_on_in_the_next_batch(spark, documents):
+    rows = corpus(2)[260:]
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        assert found(documents(rows)) == brute(rows)
+    finally:
+        spark.conf.set(limit, before)
