@@ -8,7 +8,9 @@ labelled customers and folds.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ from panelspark.operators.models import (
     null_sequences,
 )
 from panelspark.operators.selection import STEPS, TARGETS, recursive_selection as select_recursively
+from panelspark.session import checkpoint_frame
 
 R = Registry()
 FOLDS = 5
@@ -48,6 +51,8 @@ CATEGORICAL = [f"{c}_{agg}" for agg in ("last", "first") for c in CATEGORY_COLUM
 NUMERIC = [name for name in FEATURES if name not in CATEGORICAL]
 #: Trees of a model and rounds of focal boosting: the number that GBTClassifier has by itself.
 TREES = 20
+#: Rounds of each of the up to sixty models of the elimination.
+SELECTION_ROUNDS = 10
 #: Sizes in the proportion of 2500, 1500 and 500 to the 4,859 features of a 181-column panel.
 SELECTED = tuple(round(len(FEATURES) * size / 4859) for size in TARGETS)
 
@@ -225,11 +230,15 @@ def recursive_selection(spark, sf_dir):
     """All features, the ordered priority codes as numbers, by Shapley values and by the change of the hold-out loss."""
     rows = _train_arrays(spark, sf_dir)
     held = in_holdout("id")
-    params = BoostParams(rounds=TREES, max_depth=3, max_leaves=8, learning_rate=0.3)
-    chosen = []
-    for by in ("shap", "loss"):
-        kept = select_recursively(rows.filter(~held), "target", "id", FEATURES, params, None, SELECTED, STEPS, by, rows.filter(held))
-        chosen += [(by, size, i, name) for size, names in kept.items() for i, name in enumerate(names)]
+    params = BoostParams(rounds=SELECTION_ROUNDS, max_depth=3, max_leaves=8, learning_rate=0.3)
+    train, holdout = (checkpoint_frame(part) for part in (rows.filter(~held), rows.filter(held)))
+
+    def select(by):
+        kept = select_recursively(train, "target", "id", FEATURES, params, None, SELECTED, STEPS, by, holdout)
+        return [(by, size, i, name) for size, names in kept.items() for i, name in enumerate(names)]
+
+    with ThreadPoolExecutor(2) as pool:  # the two share the cluster; either one alone leaves it idle between its jobs
+        chosen = [row for rows in pool.map(inheritable_thread_target(spark)(select), ("shap", "loss")) for row in rows]
     return spark.createDataFrame(chosen, "criterion STRING, target INT, pos INT, feature STRING")
 
 

@@ -16,6 +16,7 @@ from panelspark.functions.losses import FocalLoss, LogLoss
 from panelspark.functions.numeric import sigmoid
 from panelspark.operators.boosting import BoostParams, boost
 from panelspark.operators.forest import Forest, Tree, margin_column, shapley_column, staged_column
+from panelspark.session import checkpoint_frame
 
 LOSSES = {"log": LogLoss, "focal": FocalLoss}
 NODES = "tree int, node int, feature int, threshold double, bin int, missing_left boolean, left int, right int, value double, cover double, gain double"
@@ -41,6 +42,7 @@ class HistogramBooster(Estimator):
         self.labelCol, self.featuresCol, self.idCol, self.initScore = labelCol, featuresCol, idCol, initScore
 
     def _fit(self, dataset: DataFrame) -> HistogramBoosterModel:
+        dataset = checkpoint_frame(dataset.select(self.idCol, self.labelCol, self.featuresCol))
         forest = boost(dataset, self.labelCol, self.idCol, self.loss, self.boosting, features=self.featuresCol, init_score=self.initScore).forests[0]
         return HistogramBoosterModel(forest, self.loss, self.featuresCol)
 

@@ -182,6 +182,7 @@ class Booster:
         self.stored = 0  # trees in the steps
         empty = np.zeros(0 if params.drops else self.models).tobytes()
         self.rows = rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins", F.lit(empty).alias("steps"))
+        self.parts = rows.rdd.getNumPartitions()
 
     def read(self, forests: Sequence[Forest], left_out: Sequence[int] = ()):
         """A function from a batch to (codes, margins by model), for tasks."""
@@ -236,12 +237,14 @@ class Booster:
         parents: DataFrame | None = None
         kept: list[DataFrame] = []
         for depth in range(max(params.max_depth, 1)):
-            level = self._level(growths, frontier, parents, margins, columns, round_, last=depth + 1 >= params.max_depth)
+            last = depth + 1 >= params.max_depth
+            level = self._level(growths, frontier, parents, margins, columns, round_, last)
             if level is None:
                 break
-            kept.append(level.persist())
-            self._take(growths, kept[-1])
-            parents = kept[-1]
+            if not last:
+                kept.append(level.persist())
+            self._take(growths, level)
+            parents = level
             if params.max_depth:
                 frontier = [self._expand(growth, nodes) for growth, nodes in zip(growths, frontier, strict=True)]
         for level in kept:
@@ -319,7 +322,7 @@ class Booster:
             one["payload"] = [sum(map(np.frombuffer, pdf["payload"])).tobytes()]
             return one
 
-        found, parts = self.rows.mapInArrow(added, schema), self.rows.rdd.getNumPartitions()
+        found, parts = self.rows.mapInArrow(added, schema), self.parts
         while parts > FAN_IN:
             found = found.groupBy("model", "block", "node", F.floor(F.col("part") / FAN_IN)).applyInPandas(summed, schema)
             parts = -(-parts // FAN_IN)
@@ -504,7 +507,8 @@ def boost(
     """Boost on a feature column (array or vector; NULL and NaN are missing): one forest, or one per fold on the rows of the others.
 
     Leaves hold Newton steps with L2. ``init_score`` is the loss's best constant by default. ``cuts`` and bins
-    serve all folds and rounds. Sampling and drops depend on the seed, the round and the id alone.
+    serve all folds and rounds. Sampling and drops depend on the seed, the round and the id alone. The frame is
+    read once for the cuts and once for the bins; freeze it first if it is expensive.
     """
     params = params or BoostParams()
     cuts = quantile_cuts(df, features, bins=params.bins) if cuts is None else cuts

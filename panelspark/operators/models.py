@@ -88,8 +88,10 @@ def cross_fit(
 ) -> CrossFit:
     """Fit on all folds but one, predict the one left out and the test frame, for each fold.
 
-    ``vectors`` has the id, label, fold and the estimator's feature column.
+    ``vectors`` has the id, label, fold and the estimator's feature column. An estimator with bins gets as many
+    as the largest category needs; for thousands of codes use ``ordered_target_statistics`` instead.
     """
+    estimator = with_bins(estimator, vectors)
     rows = checkpoint_frame(vectors)
     scored_test = checkpoint_frame(test) if test is not None else None
     models, oof, predictions = [], [], []
@@ -103,6 +105,16 @@ def cross_fit(
     return CrossFit(_stack(oof), _stack(predictions) if predictions else None, models)
 
 
+def with_bins(estimator: Estimator, vectors: DataFrame) -> Estimator:
+    """The estimator with as many bins as its largest category has codes, if it takes bins and has fewer."""
+    if not estimator.hasParam("maxBins"):
+        return estimator
+    attributes = vectors.schema[estimator.getOrDefault("featuresCol")].metadata.get("ml_attr", {}).get("attrs", {})
+    codes = max((a.get("num_vals", 0) for a in attributes.get("nominal", [])), default=0)
+    bins = estimator.getParam("maxBins")
+    return estimator.copy({bins: codes}) if codes > estimator.getOrDefault(bins) else estimator
+
+
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -139,6 +151,7 @@ def cross_fit_boosted(
 
     ``oof`` has (id, label, fold, margin, prediction).
     """
+    df = checkpoint_frame(df.select(id_col, label, fold, features))
     fitted = boost(df, label, id_col, loss, params, folds, fold, features, init_score)
     models = [HistogramBoosterModel(f, loss, features) for f in fitted.forests]
     oof = fold_margins(df, fitted.forests, [id_col, label, fold], fold, features)
@@ -238,6 +251,7 @@ def cv_check(
     One row per fold: the rank metric and the log loss of the best round, and its number of trees. With
     ``params.patience`` 0 all rounds count.
     """
+    df = checkpoint_frame(df.select(id_col, label, fold, features))
     fitted = boost(df, label, id_col, loss, params, folds, fold, features, init_score)
     scored = checkpoint_frame(fold_margins(df, fitted.forests, [id_col, label, fold], fold, features))
     metrics = rank_metrics(scored, label, "margin", id_col, [fold]).select(fold, "metric")

@@ -46,9 +46,10 @@ def recursive_selection(
     if by == "loss" and holdout is None:
         raise ValueError("selection by loss needs a hold-out frame")
     params, loss = params or BoostParams(), loss or LogLoss()
+    train = checkpoint_frame(train.select(id_col, label, features))
     cuts = quantile_cuts(train, features, bins=params.bins)
     rows = binned_rows(train, label, id_col, cuts, features=features)
-    scoring = None if by == "importance" else checkpoint_frame((train if holdout is None else holdout).select(label, features))
+    scoring = None if by == "importance" else train if holdout is None else checkpoint_frame(holdout.select(label, features))
     kept = list(range(len(names)))
     selected = {}
     for target in targets:

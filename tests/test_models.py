@@ -61,6 +61,13 @@ def test_cross_fit_covers_every_row_once(spark, customers, vectors, tmp_path):
     assert loaded.getNumTrees == fitted.models[0].getNumTrees
 
 
+def test_more_codes_than_bins_train(customers):
+    many = customers.withColumn("cat", (F.col("id") % 40).cast("int"))
+    vectors = M.feature_vectors(many, ["id", "y", "fold"], ["a"], ["cat"])
+    assert M.cross_fit(vectors, gbt(maxIter=1), "id", "y", 3).oof.count() == 1200
+    assert M.with_bins(gbt(), vectors).getMaxBins() == 41 and M.with_bins(gbt(maxBins=64), vectors).getMaxBins() == 64
+
+
 def test_focal_boosting_lowers_the_loss(vectors):
     loss = FocalLoss(2.0, 0.3)
     curve = []
