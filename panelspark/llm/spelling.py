@@ -23,7 +23,7 @@ RATIO = 10
 #: Letters are grouped by code point modulo this.
 GROUPS = 32
 #: The trie is dealt out by its upper levels, as many as leave at most so many words below a node.
-NODE_WORDS = 50_000
+NODE_WORDS = 25_000
 #: Letter groups by which words are dealt out at most; a node that is too large even then is split by hash.
 DEALT = 12
 #: A node of no more words is not searched further; its words are verified.
@@ -33,7 +33,7 @@ PAIRS = 400_000
 #: Words longer than this are compared one pair at a time.
 WIDE = 48
 #: Distinct words that a task holds before it passes their counts on.
-HELD = 400_000
+HELD = 200_000
 
 
 def damaged(run: str, doc: bytes, every: int) -> str:
@@ -79,7 +79,7 @@ def vectors(words: list[str], groups: Sequence[int] = range(GROUPS)) -> np.ndarr
     """Per word its length and its letters by group, in the order of ``groups``."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
-    counts = np.zeros((len(words), GROUPS + 1), dtype=np.int32)
+    counts = np.zeros((len(words), GROUPS + 1), dtype=np.int8 if sizes.max(initial=0) < 120 else np.int32)
     counts[:, 0] = sizes
     level = np.empty(GROUPS, dtype=np.int64)
     level[list(groups)] = np.arange(1, GROUPS + 1)
@@ -104,10 +104,10 @@ class Letters:
         self.words = words
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         width = min(int(self.sizes.max(initial=0)), WIDE) + 1
-        left = np.zeros((len(words), width), dtype=np.uint32)
-        right = np.zeros((len(words), width), dtype=np.uint32)
         short = np.flatnonzero(self.sizes < width)
         flat = np.frombuffer("".join(words[i] for i in short).encode("utf-32-le"), dtype="<u4")
+        kind = np.uint8 if flat.max(initial=0) < 256 else np.uint32
+        left, right = (np.zeros((len(words), width), dtype=kind) for _ in range(2))
         rows, sizes = np.repeat(short, self.sizes[short]), self.sizes[short]
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         left[rows, place] = flat
@@ -247,7 +247,7 @@ def near_words(words: DataFrame, node_words: int = NODE_WORDS) -> DataFrame:
     def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = vectors(batch["word"].to_pylist())
-            levels = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), GROUPS + 1).cast(pa.list_(pa.int32()))
+            levels = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel().astype(np.int32)), GROUPS + 1).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], levels], ["word", "n", "levels"])
 
     rows = words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(levelled, "word string, n long, levels array<int>")
