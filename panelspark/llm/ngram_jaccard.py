@@ -29,6 +29,8 @@ KEY_BITS = 26
 RANGE_BITS = 8
 #: Longs of the parity sketch of a set.
 SKETCH = 4
+#: Members of a key up to which all of its pairs are compared where they meet, by size and sketch.
+COMPARED = 64
 #: Shingles that a task counts before it passes their counts on.
 HELD = 2_000_000
 
@@ -219,10 +221,10 @@ def _index(classes: DataFrame) -> DataFrame:
 
 
 def _meetings(index: DataFrame, bound: Bound) -> DataFrame:
-    """Per key its members, compared with the smallest: kind 0 (x, h, y, yh) a pair that can be similar, kind 1 a member of
-    a key of three or more, whose other pairs are still to be compared.
+    """Pairs of members of a key that can be similar (x, h, y, yh): kind 0 with the smallest member, kind 2 with another one;
+    kind 1 are the members of a key of more than ``COMPARED``, whose other pairs are still to be compared.
 
-    Rows are streamed in the order of keys, so a key of any size needs no memory.
+    Rows are streamed in the order of keys, and no more of a key is held than ``COMPARED`` members.
     """
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +241,18 @@ def _meetings(index: DataFrame, bound: Bound) -> DataFrame:
                 continue
             starts = np.flatnonzero(np.concatenate([[True], here[1:, 0] != here[:-1, 0]]))
             sizes = np.diff(np.append(starts, len(here)))
-            smallest, large = here[np.repeat(starts, sizes)], np.repeat(sizes > 2, sizes)
-            if first is not None and first[0] == here[0, 0]:  # a key of three or more goes on
+            smallest, large = here[np.repeat(starts, sizes)], np.repeat(sizes > COMPARED, sizes)
+            if first is not None and first[0] == here[0, 0]:  # a large key goes on
                 smallest[: sizes[0]], large[: sizes[0]] = first, True
             stop = len(here) if batch is None or large[-1] else starts[-1]  # a key with fewer may still get more
             held, first = here[stop:], smallest[-1].copy() if large[-1] else None
+            few = (starts < stop) & ~large[starts]
+            for size in np.unique(sizes[few & (sizes > 2)]).tolist():
+                i, j = np.triu_indices(size, 1)
+                at = starts[few & (sizes == size), None]
+                a, b = (here[(at + k[i > 0]).ravel()] for k in (i, j))
+                pair = (a[:, 1] != b[:, 1]) & bound.reachable_rows(a, b)
+                yield rows(2, a[pair], b[pair])
             here, smallest, large = here[:stop], smallest[:stop], large[:stop]
             pair = (here[:, 1] != smallest[:, 1]) & bound.reachable_rows(here, smallest)
             yield rows(0, here[pair], smallest[pair])
@@ -312,23 +321,27 @@ class Bound:
 def _linked(index: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
     """(x, c): components of the classes in ``index`` that meet another, under similarity.
 
-    Members of a key are first compared with its smallest one: copies of one another need one link each. In keys
-    of three or more, what is not of the most frequent component is then compared with all members, in the
-    join, by size and sketch; only what passes is compared by whole sets.
+    Members of a key are first compared with its smallest one: copies of one another need one link each. Of the other
+    pairs only those of different components are compared by whole sets. In large keys they are found by a join
+    of what is not of the most frequent component with all members, by size and sketch.
     """
     found = _meetings(index, bound)
-    stars = found.where("kind = 0").select(F.col("h").alias("ha"), F.col("yh").alias("hb"), F.col("x").alias("c"), F.col("y").alias("d"))
+    pairs = found.where("kind <> 1").select("kind", F.col("h").alias("ha"), F.col("yh").alias("hb"), F.col("x").alias("c"), F.col("y").alias("d"))
     members = found.where("kind = 1")
-    labels = stars.select("c").union(stars.select("d")).union(members.select("x")).distinct().select(F.col("c").alias("x"), "c")
-    labels = frozen(_more(labels, stars, sets, bound))
+    labels = pairs.select("c").union(pairs.select("d")).union(members.select("x")).distinct().select(F.col("c").alias("x"), "c")
+    labels = frozen(_more(labels, pairs.where("kind = 0").drop("kind"), sets, bound))
+    of_c, of_d = (labels.select(F.col("x").alias(c), F.col("c").alias(f"new_{c}")) for c in "cd")
+    apart = pairs.where("kind = 2").drop("kind").distinct().join(of_c, "c").join(of_d, "d").where("new_c <> new_d")
+    apart = apart.select("ha", "hb", F.col("new_c").alias("c"), F.col("new_d").alias("d"))
 
     rows = written(members.join(labels, "x").select("key", *MEMBER, "c"))
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     major = written(sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "major"))
     others = written(rows.join(major, "key"))
     strangers = others.where("c <> major").select("key", *[F.col(c).alias(f"y{c}") for c in MEMBER], F.col("c").alias("d"))
-    pairs = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable())
-    return _more(labels, pairs.select(F.col("h").alias("ha"), F.col("yh").alias("hb"), "c", "d"), sets, bound)
+    met = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable())
+    met = met.select(F.col("h").alias("ha"), F.col("yh").alias("hb"), "c", "d")
+    return _more(labels, met.union(apart), sets, bound)
 
 
 def _more(labels: DataFrame, pairs: DataFrame, sets: Sets, bound: Bound) -> DataFrame:

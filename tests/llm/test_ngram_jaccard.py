@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import hash_sets
+from panelspark.llm import hash_sets, ngram_jaccard
 from panelspark.llm.common import whole
 from panelspark.llm.hash_sets import WordHashes
 from panelspark.llm.ngram_jaccard import Shingler, _packed, _unpacked, by_rarity, count_slots, frequency_classes, ngram_jaccard_components, parity, signatures
@@ -145,7 +145,9 @@ def test_hashes_of_words_depend_on_the_words_alone(monkeypatch):
     assert len(hashes.of(b"")) == len(hashes.of(b" \n")) == 0
 
 
-def test_keys_that_go_on_in_the_next_batch(spark, documents):
+@pytest.mark.parametrize("compared", [2, 5, 64])
+def test_keys_that_go_on_in_the_next_batch(spark, documents, monkeypatch, compared):
+    monkeypatch.setattr(ngram_jaccard, "COMPARED", compared)
     rows = corpus(2)[260:]
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
