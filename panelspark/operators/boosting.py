@@ -106,24 +106,48 @@ class Split:
     left: tuple[float, float, float]  # gradient, hessian, rows
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """Histogram cells [gradient, hessian, rows]: all of them, or if that is shorter only those with rows, and their places."""
+    cells = cells.reshape(-1, 3)
+    used = np.flatnonzero(cells[:, 2])
+    if len(used) * 28 >= cells.nbytes:
+        return np.int64(-1).tobytes() + cells.tobytes()
+    return np.int64(len(used)).tobytes() + cells[used].tobytes() + used.astype(np.int32).tobytes()
+
+
+def unpacked(payloads: Sequence[bytes], features: int) -> np.ndarray:
+    """The sum of packed histograms as (feature, bin, [gradient, hessian, rows])."""
+    out = np.zeros((features * SLOTS, 3))
+    for payload in payloads:
+        n = int(np.frombuffer(payload, dtype=np.int64, count=1)[0])
+        if n < 0:
+            out += np.frombuffer(payload, offset=8).reshape(-1, 3)
+        else:
+            out[np.frombuffer(payload, dtype=np.int32, offset=8 + 24 * n)] += np.frombuffer(payload, count=3 * n, offset=8).reshape(-1, 3)
+    return out.reshape(features, SLOTS, 3)
+
+
 def best_splits(histogram: np.ndarray, bounds: Sequence[int], params: BoostParams) -> list[tuple[int, int, bool, float, np.ndarray] | None]:
     """For each node of a histogram (node, feature, bin, [gradient, hessian, rows]) the best (feature, bin, missing left, gain, left sums).
 
     Bins up to the split's go left, and missing values to the side that gains more. ``bounds`` are the features' numbers of cuts.
     """
+    nodes, features = histogram.shape[:2]
+    width = min(max(bounds, default=0) + 1, MISSING)  # no split lies above
     total = histogram.sum(axis=2)
-    missing = histogram[:, :, MISSING]
-    below = np.cumsum(histogram[:, :, :MISSING], axis=2)
-    sides = np.stack([below, below + missing[:, :, None]], axis=3)  # node, feature, bin, direction, sums
-    rest = total[:, :, None, None] - sides
-    allowed = (np.arange(MISSING)[None, :] <= np.asarray(bounds)[:, None])[None, :, :, None]
+    allowed = (np.arange(width)[None, :] <= np.asarray(bounds)[:, None])[None, :, :, None]
+    sides = np.empty((3, nodes, features, width, 2))  # sums, node, feature, bin, direction
+    for i in range(3):
+        sides[i, ..., 0] = np.cumsum(histogram[:, :, :width, i], axis=2)
+        np.add(sides[i, ..., 0], histogram[:, :, MISSING, i, None], out=sides[i, ..., 1])
+    rest = total.transpose(2, 0, 1)[:, :, :, None, None] - sides
     least_rows, least_hessian = max(params.min_rows, 1), params.min_hessian
     for side in (sides, rest):
-        allowed = allowed & (side[..., 2] >= least_rows - 0.5) & (side[..., 1] >= least_hessian)
+        allowed = allowed & (side[2] >= least_rows - 0.5) & (side[1] >= least_hessian)
     own = total[..., 0] ** 2 / (total[..., 1] + params.l2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = sides[..., 0] ** 2 / (sides[..., 1] + params.l2) + rest[..., 0] ** 2 / (rest[..., 1] + params.l2) - own[:, :, None, None]
-    gain = np.where(allowed & np.isfinite(gain), gain, -np.inf).reshape(len(histogram), -1)
+        gain = sides[0] ** 2 / (sides[1] + params.l2) + rest[0] ** 2 / (rest[1] + params.l2) - own[:, :, None, None]
+    gain = np.where(allowed & np.isfinite(gain), gain, -np.inf).reshape(nodes, -1)
     out: list[tuple[int, int, bool, float, np.ndarray] | None] = []
     for node, row in enumerate(gain):
         top = row.max(initial=-np.inf)
@@ -131,8 +155,8 @@ def best_splits(histogram: np.ndarray, bounds: Sequence[int], params: BoostParam
             out.append(None)
             continue
         at = int(np.argmax(row >= top - TIE * abs(top)))
-        feature, place, direction = np.unravel_index(at, (histogram.shape[1], MISSING, 2))
-        out.append((int(feature), int(place), bool(direction), float(row[at]), sides[node, feature, place, direction]))
+        feature, place, direction = np.unravel_index(at, (features, width, 2))
+        out.append((int(feature), int(place), bool(direction), float(row[at]), sides[:, node, feature, place, direction]))
     return out
 
 
@@ -183,6 +207,9 @@ class Booster:
         empty = np.zeros(0 if params.drops else self.models).tobytes()
         self.rows = rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins", F.lit(empty).alias("steps"))
         self.parts = rows.rdd.getNumPartitions()
+        # A sibling as its parent's rest halves what tasks build and send, but the parents are kept and dealt out
+        # once more. Where one task adds up all partial histograms of a node, building both siblings is quicker.
+        self.derives = self.parts > FAN_IN
 
     def read(self, forests: Sequence[Forest], left_out: Sequence[int] = ()):
         """A function from a batch to (codes, margins by model), for tasks."""
@@ -232,19 +259,19 @@ class Booster:
         growths = [Growth(Tree()) for _ in range(self.models)]
         for growth in growths:
             growth.tree.add(0.0, 0.0)
-        # Nodes to search: (node, its parent and sibling); the smaller of two siblings is built, the other is the rest.
+        # Nodes to search: (node, its parent and sibling); of many parts the smaller of two siblings is built, the other is the rest.
         frontier: list[list[tuple[int, int, int]]] = [[(0, -1, -1)] for _ in growths]
         parents: DataFrame | None = None
         kept: list[DataFrame] = []
         for depth in range(max(params.max_depth, 1)):
             last = depth + 1 >= params.max_depth
-            level = self._level(growths, frontier, parents, margins, columns, round_, last)
+            level = self._level(growths, frontier, parents, margins, columns, round_, last or not self.derives)
             if level is None:
                 break
-            if not last:
+            if self.derives and not last:
                 kept.append(level.persist())
             self._take(growths, level)
-            parents = level
+            parents = level if self.derives else None
             if params.max_depth:
                 frontier = [self._expand(growth, nodes) for growth, nodes in zip(growths, frontier, strict=True)]
         for level in kept:
@@ -252,12 +279,12 @@ class Booster:
         return [self._finished(growth) for growth in growths]
 
     def _level(self, growths, frontier, parents, margins, columns, round_, last) -> DataFrame | None:
-        """(model, block, node, histogram, best split) of all nodes of the frontier."""
+        """(model, block, node, histogram, best split) of all nodes of the frontier; no histograms if no level comes after that needs them (``last``)."""
         build, derived = [], []
         for growth, nodes in zip(growths, frontier, strict=True):
             own, rest = [], []
             for node, parent, sibling in nodes:
-                smaller = sibling < 0 or (growth.sums[node][2], node) < (growth.sums[sibling][2], sibling)
+                smaller = not self.derives or sibling < 0 or (growth.sums[node][2], node) < (growth.sums[sibling][2], sibling)
                 (own if smaller else rest).append((node, parent, sibling))
             build.append([n[0] for n in own])
             derived.append(rest)
@@ -309,7 +336,7 @@ class Booster:
                 for i, node in enumerate(nodes):
                     for b in range(len(blocks)):
                         payload = sums[m][first[b] : first[b + 1], i * SLOTS : (i + 1) * SLOTS]
-                        out.append((m, b, node, part, payload.tobytes()))
+                        out.append((m, b, node, part, packed(payload)))
             if out:
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["model", "block", "node", "part", "payload"])
@@ -319,7 +346,7 @@ class Booster:
         def summed(pdf: pd.DataFrame) -> pd.DataFrame:
             one = pdf.iloc[:1].copy()
             one["part"] //= FAN_IN
-            one["payload"] = [sum(map(np.frombuffer, pdf["payload"])).tobytes()]
+            one["payload"] = [packed(unpacked(pdf["payload"], len(blocks[int(pdf["block"].iloc[0])])))]
             return one
 
         found, parts = self.rows.mapInArrow(added, schema), self.parts
@@ -336,24 +363,27 @@ class Booster:
 
         def search(built: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
             model, block = int(built["model"].iloc[0]), int(built["block"].iloc[0])
-            shape = (len(blocks[block]), SLOTS, 3)
-            found = {int(node): sum(map(np.frombuffer, rows)).reshape(shape) for node, rows in built.groupby("node")["payload"]}
+            features = len(blocks[block])
+            found = {int(node): unpacked(rows, features) for node, rows in built.groupby("node")["payload"]}
             over = dict(zip(above["node"], above["payload"], strict=True))
             for node, parent, sibling in derived[model]:
-                found[node] = np.frombuffer(over[parent]).reshape(shape) - found[sibling]
+                found[node] = unpacked([over[parent]], features) - found[sibling]
             nodes = sorted(found)
             out = []
             for node, best in zip(nodes, best_splits(np.stack([found[n] for n in nodes]), bounds[block], params), strict=True):
-                payload = None if last else found[node].tobytes()
+                payload = None if last else packed(found[node])
                 total = found[node][0].sum(axis=0).tolist()
                 split = (-1, -1, False, 0.0, 0.0, 0.0, 0.0) if best is None else (int(blocks[block][best[0]]), *best[1:4], *best[4].tolist())
                 out.append((model, block, node, payload, *split, *total))
             return pd.DataFrame(out, columns=fields)
 
+        # A task per model and block: a persisted level keeps its shuffle partitions, however many of them are empty.
+        groups = self.models * len(blocks)
+        partial = partial.repartition(groups, "model", "block")
         if parents is None:
             none = pd.DataFrame({"node": [], "payload": []})
             return partial.groupBy("model", "block").applyInPandas(lambda pdf: search(pdf, none), schema)
-        above = parents.select("model", "block", "node", "payload")
+        above = parents.select("model", "block", "node", "payload").repartition(groups, "model", "block")
         return partial.groupBy("model", "block").cogroup(above.groupBy("model", "block")).applyInPandas(
             lambda built, over: search(built, over) if len(built) else pd.DataFrame([], columns=fields), schema
         )

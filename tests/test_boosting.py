@@ -203,6 +203,54 @@ def test_missing_values_go_where_they_gain_more(spark):
     assert forest.trees[0].threshold[0] == math.inf and not forest.trees[0].missing_left[0]
 
 
+def test_a_level_has_a_task_per_model_and_block_whatever_the_shuffle_partitions(spark, data):
+    df, old = data[2], spark.conf.get("spark.sql.shuffle.partitions")
+    cuts = B.quantile_cuts(df, bins=16)
+    rows = G.binned_rows(df, "y", "id", cuts, "fold")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for derives in (False, True):
+            booster = G.Booster(rows, cuts, LogLoss(), G.BoostParams(max_depth=2, min_rows=10), 3)
+            booster.derives, found = derives, []
+            searched = booster._searched
+
+            def counted(*given, searched=searched, found=found):
+                level = searched(*given)
+                found.append(level.persist().rdd.getNumPartitions())
+                return level
+
+            booster._searched = counted
+            booster.grow(0)
+            assert found == [3, 3]  # three folds, one block
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_siblings_built_or_taken_from_their_parents_give_the_same_trees(data):
+    df = data[2]
+    cuts = B.quantile_cuts(df, bins=16)
+    rows, grown = G.binned_rows(df, "y", "id", cuts, "fold"), []
+    for derives in (False, True):
+        booster = G.Booster(rows, cuts, LogLoss(), G.BoostParams(max_depth=4, max_leaves=12, min_rows=10), 3)
+        booster.derives = derives
+        grown.append(booster.grow(0))
+    for built, derived in zip(*grown, strict=True):
+        assert (built.feature, built.bin, built.missing_left) == (derived.feature, derived.bin, derived.missing_left)
+        assert max(built.feature) >= 0
+        np.testing.assert_allclose(built.value, derived.value)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.9, 1.0])
+def test_packed_histograms_add_up_and_few_rows_take_little_room(share):
+    rng = np.random.default_rng(7)
+    cells = rng.normal(size=(3, 5, G.SLOTS, 3))
+    cells[..., 2] = rng.random(cells.shape[:-1]) < share
+    cells[cells[..., 2] == 0] = 0.0
+    payloads = [G.packed(c) for c in cells]
+    np.testing.assert_array_equal(G.unpacked(payloads, 5), 0.0 + cells[0] + cells[1] + cells[2])
+    assert all(len(p) <= 8 + min(c.nbytes, 28 * int(c[..., 2].sum())) for p, c in zip(payloads, cells, strict=True))
+
+
 def test_constant_labels_and_features_give_one_leaf(spark):
     same = frame(spark, np.ones((50, 2)), np.arange(50) % 2)
     assert len(G.boost(same, "y", "id", params=G.BoostParams(rounds=2)).forests[0].trees[1].feature) == 1
