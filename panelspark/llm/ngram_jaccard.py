@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,8 @@ RANGE_BITS = 8
 SKETCH = 4
 #: Members of a key up to which all of its pairs are compared where they meet, by size and sketch.
 COMPARED = 64
+#: Large keys of a member, its smallest, by which a pair that meets at several of them is known from the second on.
+EARLIER = 64
 #: Shingles that a task counts before it passes their counts on.
 HELD = 2_000_000
 
@@ -176,6 +178,21 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def fine_parity(shingles: np.ndarray) -> bytes:
+    """The same with at least two bits a shingle, a power of two, so that sets of any size are told apart."""
+    bits = 1 << max(2 * len(shingles) - 1, 63).bit_length()
+    places = ((shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fine_flips(a: bytes, b: bytes) -> int:
+    """In how many bits two fine sketches differ, the longer one folded to the other's length."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sketched(documents: DataFrame, doc_id: Column, text: Column, words: int, similarity: tuple[int, int], tables: list[Broadcast]) -> DataFrame:
     """(doc_id, row_hash, v, n, sketch, keys) per row; v stands for the set and n is its size."""
     rows = documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"), text.alias("body"))
@@ -273,9 +290,16 @@ class Sets:
 
     def of(self, hashes: DataFrame) -> DataFrame:
         """(h, shingles) of the rows with the hashes (h), written; some others may come along."""
+        return self._read(hashes, "shingles array<long>", lambda sets: [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))])
+
+    def sketches(self, hashes: DataFrame) -> DataFrame:
+        """(h, n, fine) of the same rows: the size of the set and its fine sketch."""
+        return self._read(hashes, "n long, fine binary", lambda sets: [pa.array([len(s) for s in sets], pa.int64()), pa.array([fine_parity(s) for s in sets], pa.binary())])
+
+    def _read(self, hashes: DataFrame, schema: str, columns: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
         table = bit_table(hashes, "h", TEXT_BITS)
         rows = self.documents.select(F.xxhash64(self.doc_id, self.text).alias("h"), self.text.alias("body"))
-        words = self.words
+        words, names = self.words, ["h", *(c.split()[0] for c in schema.split(", "))]
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler, seen = Shingler(words), set()
@@ -283,12 +307,12 @@ class Sets:
                 of = batch["h"].to_numpy()
                 at = [i for i in np.flatnonzero(in_table(table.value, of.view(np.uint64))).tolist() if of[i] not in seen]
                 seen.update(of[at].tolist())
-                sets = [shingler.of(batch["body"][i].as_py()).view(np.int64) for i in at]
+                sets = [shingler.of(batch["body"][i].as_py()) for i in at]
                 if len(seen) > HELD:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), *columns(sets)], names)
 
-        return written(rows.mapInArrow(shingled, "h long, shingles array<long>"))
+        return written(rows.mapInArrow(shingled, f"h long, {schema}"))
 
 
 @dataclass
@@ -310,6 +334,20 @@ class Bound:
         flipped = np.bitwise_count((a[:, 4:] ^ b[:, 4:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
         return (np.minimum(n, m) * self.of >= np.maximum(n, m) * self.part) & (flipped * (self.of + self.part) <= (n + m) * (self.of - self.part))
 
+    def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs (ha, hb) that can be similar enough by their fine sketches."""
+        left, right = (sketches.select(F.col("h").alias(f"h{x}"), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine")) for x in "ab")
+        both, columns = pairs.join(left, "ha").join(right, "hb"), pairs.columns
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flips = np.array([fine_flips(a.as_py(), b.as_py()) for a, b in zip(batch["a_fine"], batch["b_fine"], strict=True)], dtype=np.int64)
+                sizes = batch["a_n"].to_numpy() + batch["b_n"].to_numpy()
+                near = pa.array(flips * (self.of + self.part) <= sizes * (self.of - self.part))
+                yield batch.select(columns).filter(near)
+
+        return both.mapInArrow(kept, pairs.schema)
+
     def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (ha, hb) whose sets are similar, by all their shingles."""
         left, right = (sets.select(F.col("h").alias(f"h{x}"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
@@ -323,7 +361,8 @@ def _linked(index: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
 
     Members of a key are first compared with its smallest one: copies of one another need one link each. Of the other
     pairs only those of different components are compared by whole sets. In large keys they are found by a join
-    of what is not of the most frequent component with all members, by size and sketch.
+    of what is not of the most frequent component with all members, by size and sketch; two members that
+    meet at several large keys are a pair at the first of them only, as far as that is among the ``EARLIER`` smallest of both.
     """
     found = _meetings(index, bound)
     pairs = found.where("kind <> 1").select("kind", F.col("h").alias("ha"), F.col("yh").alias("hb"), F.col("x").alias("c"), F.col("y").alias("d"))
@@ -337,18 +376,28 @@ def _linked(index: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
     rows = written(members.join(labels, "x").select("key", *MEMBER, "c"))
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     major = written(sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "major"))
-    others = written(rows.join(major, "key"))
-    strangers = others.where("c <> major").select("key", *[F.col(c).alias(f"y{c}") for c in MEMBER], F.col("c").alias("d"))
-    met = others.join(strangers, "key").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d"))) & bound.reachable())
+    met_at = rows.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("key")), 1, EARLIER).alias("keys"))
+    others = rows.join(major, "key").join(met_at, "x").withColumn("before", F.filter("keys", lambda k: k < F.col("key")))
+    others = written(others.select("key", *MEMBER, "c", "major", "before"))
+    strangers = others.where("c <> major").select("key", *[F.col(c).alias(f"y{c}") for c in (*MEMBER, "before")], F.col("c").alias("d"))
+    apart_here = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("major")) | (F.col("c") < F.col("d")))
+    met = others.join(strangers, "key").where(apart_here & bound.reachable() & ~F.arrays_overlap("before", "ybefore"))
     met = met.select(F.col("h").alias("ha"), F.col("yh").alias("hb"), "c", "d")
     return _more(labels, met.union(apart), sets, bound)
 
 
 def _more(labels: DataFrame, pairs: DataFrame, sets: Sets, bound: Bound) -> DataFrame:
-    """The labels (x, c) after verifying ``pairs`` (ha, hb, c, d) of different components c and d."""
+    """The labels (x, c) after verifying ``pairs`` (ha, hb, c, d) of different components c and d.
+
+    Fine sketches, a thirty-second to a sixteenth of the sets, leave few pairs whose sets are read and moved.
+    """
+
+    def rows_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("ha").alias("h")).union(pairs.select("hb"))
+
     pairs = frozen(pairs.distinct())
-    wanted = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb"))
-    links = frozen(bound.similar(pairs, sets.of(wanted)).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+    pairs = frozen(bound.near(pairs, sets.sketches(rows_of(pairs))).distinct())
+    links = frozen(bound.similar(pairs, sets.of(rows_of(pairs))).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
     found = connected_components(links.select(F.col("a").alias("v")).union(links.select("b")).distinct(), links)
     return labels.select("x", F.col("c").alias("v")).join(found.withColumnRenamed("c", "to"), "v", "left").select("x", F.coalesce("to", "v").alias("c"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import hash_sets, ngram_jaccard
 from panelspark.llm.common import whole
 from panelspark.llm.hash_sets import WordHashes
-from panelspark.llm.ngram_jaccard import Shingler, _packed, _unpacked, by_rarity, count_slots, frequency_classes, ngram_jaccard_components, parity, signatures
+from panelspark.llm.ngram_jaccard import Bound, Sets, Shingler, _packed, _unpacked, by_rarity, count_slots, fine_flips, fine_parity, frequency_classes, ngram_jaccard_components, parity, signatures
 
 
 def shingle_set(text, size):
@@ -156,3 +156,53 @@ def test_keys_that_go_on_in_the_next_batch(spark, documents, monkeypatch, compar
         assert found(documents(rows)) == brute(rows)
     finally:
         spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("earlier", [1, 64])
+def test_members_of_many_large_keys_are_compared_once(documents, monkeypatch, earlier):
+    """Long texts that share their frequent shingles, alike in size, less alike than the similarity, in many keys of all of them."""
+    monkeypatch.setattr(ngram_jaccard, "COMPARED", 2)
+    monkeypatch.setattr(ngram_jaccard, "EARLIER", earlier)
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(1300)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for at in rng.choice(1300, size=20 if i % 6 else 2, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    given = []
+
+    def more(labels, pairs, sets, bound, more=ngram_jaccard._more):
+        given.append((pairs.count(), pairs.select("ha", "hb").distinct().count()))
+        return more(labels, pairs, sets, bound)
+
+    monkeypatch.setattr(ngram_jaccard, "_more", more)
+    assert found(documents(rows)) == brute(rows)
+    every, different = given[1]
+    assert different > 50
+    assert every == different if earlier > 1 else every > different
+
+
+def test_fine_sketches_rule_out_long_sets_and_no_similar_ones():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 1000, 20_000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size + 2, dtype=np.int64).view(np.uint64))
+        a, b, near = pool[:size], pool[size : 2 * size], pool[size // 20 : size + size // 30]
+        assert fine_flips(fine_parity(a), fine_parity(near)) <= len(np.setxor1d(a, near))
+        assert fine_flips(fine_parity(a), fine_parity(a)) == 0
+        if size >= 40:
+            assert 19 * fine_flips(fine_parity(a), fine_parity(b)) > len(a) + len(b)
+            assert len(fine_parity(a)) * 16 <= 8 * len(a) + 64 * 16
+
+
+def test_long_texts_that_differ_are_not_read_as_whole_sets(documents, monkeypatch):
+    """Their short sketches are full and say nothing."""
+    rng = np.random.default_rng(6)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, " ".join([common, *(f"r{i}x{k}" for k in rng.integers(0, 10**9, 3000))])) for i in range(12)]
+    rows.append((50, rows[3][1] + " end"))
+    read = []
+    monkeypatch.setattr(Sets, "of", lambda self, hashes, of=Sets.of: (read.append(hashes.distinct().count()), of(self, hashes))[1])
+    assert found(documents(rows)) == brute(rows)
+    assert sum(read) <= 4
