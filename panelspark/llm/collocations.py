@@ -38,6 +38,9 @@ TABLE_BITS = 26
 HELD = 400_000
 #: Files of the dictionary that a task reads when it counts frequent phrases by text.
 GATHERED = 4
+#: Bits of the second hash of a phrase, summed with its counts as a proof that all counted under one hash are one phrase.
+PROOF_BITS = 24
+PROOF_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Parts in which the first phrases of a language are ranked before they meet.
 RANK_PARTS = 64
 
@@ -68,7 +71,7 @@ def cuts(hashes: np.ndarray, overlap: int, period: int = PERIOD, longest: int =
 
 
 def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> DataFrame:
-    """(lang, chunk, own, n): the distinct chunks of all texts and how often each occurs in the parse.
+    """(lang, chunk, own, n, spot): the distinct chunks of all texts, how often each occurs in the parse, and a hash of each.
 
     A text is a stream of words and piece ends. Chunks start where the words at hand say so, so equal
     passages give equal chunks wherever they stand; each runs on for ``overlap`` tokens into the next one.
@@ -103,7 +106,7 @@ def parse(documents: DataFrame, text: Column, lang: Column, overlap: int) -> Dat
 
     bodies = documents.select(lang.alias("lang"), text.alias("body"))
     parts = bodies.mapInArrow(chunked, "lang string, chunk string, own int, n long")
-    return parts.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
+    return parts.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")).withColumn("spot", F.hash("lang", "chunk", "own"))
 
 
 class Chunks:
@@ -125,21 +128,32 @@ class Chunks:
         place = np.arange(len(words)) - np.searchsorted(self.starts, first)[self.chunk]
         self.own = place < batch["own"].to_numpy(zero_copy_only=False)[self.chunk]
         self.weights = batch["n"].to_numpy(zero_copy_only=False)[self.chunk]
+        self.spots = batch["spot"].to_numpy(zero_copy_only=False)[self.chunk]
 
-    def phrases(self, tables: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For 1, 2, ... words: hashes of the phrases from each place on, and whether all their shorter parts are in the tables."""
+    def phrases(self, tables: Sequence[np.ndarray], max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``max_words`` words: hashes of the phrases from each place on, and whether all their shorter parts are in the tables there are."""
         hashes, alive = self.hashes, self.words
         yield hashes, alive
-        for table in tables:
-            at = np.flatnonzero(alive)
-            alive = alive.copy()
-            alive[at] = in_table(table, hashes[at])
+        for size in range(1, max_words):
+            if size <= len(tables):
+                at = np.flatnonzero(alive)
+                alive = alive.copy()
+                alive[at] = in_table(tables[size - 1], hashes[at])
             hashes, alive = mixed(hashes[:-1], hashes[1:]), alive[:-1] & alive[1:]
             yield hashes, alive
 
+    def proofs(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Second hashes, of ``PROOF_BITS`` bits, of the phrases of ``size`` words at the places ``at``."""
+        out = np.zeros(len(at), dtype=np.uint64)
+        for i in range(size):
+            out = out * PROOF_BASE + self.hashes[at + i]
+        out ^= out >> np.uint64(32)
+        out *= PROOF_BASE
+        return (out >> np.uint64(64 - PROOF_BITS)).view(np.int64)
+
     def distinct(self, hashes: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[str, bytes, int, int]]:
         """(language, phrase, hash, weight) of the different phrases of ``size`` words at the places ``at``."""
-        keys, sums, first = _merged([hashes[at]], [self.weights[at]])
+        keys, sums, first, *_ = _sorted(hashes[at], self.weights[at])
         places = at[first]
         langs = [self.langs[c] for c in self.chunk[places].tolist()]
         ends = self.ends[places + size - 1].tolist()
@@ -147,14 +161,13 @@ class Chunks:
             yield lang, self.stream[a:b], key, n
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the sums of their counts, and a place of each."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
+def _sorted(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the sums of their counts, a place of each, the order that sorts the keys, and where each begins in it."""
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     sums = np.add.reduceat(count[order], first) if len(first) else count
-    return key[first], sums, order[first]
+    return key[first], sums, order[first], order, first
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
@@ -184,33 +197,85 @@ def count_words(chunks: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
-def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast]) -> DataFrame:
-    """(hash, n) of all phrases of one word more than there are tables, whose shorter parts are in the tables."""
-    tables = list(tables)
+def count_hashes(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int, bits: int = 64) -> DataFrame:
+    """(hash, n, spot, proof) of all phrases of more words than there are tables, up to ``max_words``, whose shorter parts are in the tables.
+
+    ``spot`` is the least one of the chunks that own the phrase, ``proof`` the sum of its second hash over all
+    occurrences. ``bits``: of the hash, fewer only to try out collisions.
+    """
+    tables, least = list(tables), len(tables) + 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keys, counts, size, bits = WordHashes(), [], [], 0, [t.value for t in tables]
+        words, held, size, tests = WordHashes(), [], 0, [t.value for t in tables]
 
         def rows() -> pa.RecordBatch:
-            found, sums, _ = _merged(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["hash", "n"])
+            keys, counts, spots, proofs = (np.concatenate(c) for c in zip(*held, strict=True))
+            found, sums, _, order, first = _sorted(keys, counts)
+            if len(first):
+                spots, proofs = np.minimum.reduceat(spots[order], first), np.add.reduceat(proofs[order], first)
+            columns = [pa.array(found.view(np.int64)), pa.array(sums), pa.array(spots), pa.array(proofs)]
+            return pa.RecordBatch.from_arrays(columns, ["hash", "n", "spot", "proof"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             seen = Chunks(batch, words)
-            *_, (hashes, alive) = seen.phrases(bits)
-            at = np.flatnonzero(alive & seen.own[: len(alive)])
-            keys.append(hashes[at])
-            counts.append(seen.weights[at])
-            size += len(at)
+            for length, (hashes, alive) in enumerate(seen.phrases(tests, max_words), 1):
+                if length < least:
+                    continue
+                at = np.flatnonzero(alive & seen.own[: len(alive)])
+                counts = seen.weights[at]
+                held.append((hashes[at] >> np.uint64(64 - bits), counts, seen.spots[at], counts * seen.proofs(at, length)))
+                size += len(at)
             if size >= 4 * HELD:
                 yield rows()
-                keys, counts, size = [], [], 0
-        if keys:
+                held, size = [], 0
+        if held:
             yield rows()
 
-    return chunks.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    parts = chunks.mapInArrow(counted, "hash long, n long, spot int, proof long")
+    return parts.groupBy("hash").agg(F.sum("n").alias("n"), F.min("spot").alias("spot"), F.sum("proof").alias("proof"))
+
+
+def phrase_texts(chunks: DataFrame, counts: DataFrame, max_words: int, bits: int = 64) -> DataFrame:
+    """(lang, phrase, words, a, sure) of the phrases of ``counts``, each read from the chunks of its spot alone.
+
+    ``sure``: the sum of second hashes is that of this phrase alone, so no other was counted with it.
+    """
+    wanted = counts.groupBy("spot").agg(F.collect_list("hash").alias("wanted"))
+    table = bit_table(counts, F.shiftleft(F.col("spot").cast("long"), 32), TABLE_BITS)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch["spot"].to_numpy().astype(np.int64) << 32
+            yield batch.filter(pa.array(in_table(table.value, spots.view(np.uint64))))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen, keys = Chunks(batch, words), np.unique(pc.list_flatten(batch["wanted"]).to_numpy()).view(np.uint64)
+            for size, (hashes, alive) in enumerate(seen.phrases([], max_words), 1):
+                if size == 1:
+                    continue
+                hashes = hashes >> np.uint64(64 - bits)
+                at = np.flatnonzero(alive & seen.own[: len(alive)])
+                at = at[np.isin(hashes[at], keys)]
+                proofs = seen.proofs(at, size)
+                own = {}
+                spans = zip(seen.chunk[at].tolist(), seen.starts[at].tolist(), seen.ends[at + size - 1].tolist(), strict=True)
+                for (c, a, b), key, second in zip(spans, hashes[at].view(np.int64).tolist(), proofs.tolist(), strict=True):
+                    own[seen.langs[c], seen.stream[a:b]] = key, second
+                if own:
+                    (langs, phrases), (hashed, seconds) = zip(*own, strict=True), zip(*own.values(), strict=True)
+                    columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(own), size, np.int32)), pa.array(hashed, pa.int64()), pa.array(seconds, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "hash", "second"])
+
+    near = chunks.mapInArrow(kept, chunks.schema).join(wanted, "spot").select(*chunks.columns, "wanted")
+    texts = near.mapInArrow(found, "lang string, phrase string, words int, hash long, second long").distinct()
+    joined = texts.join(counts, "hash")
+    return joined.select("lang", "phrase", "words", F.col("n").alias("a"), (F.col("n") * F.col("second") == F.col("proof")).alias("sure"))
 
 
 def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int) -> DataFrame:
@@ -232,7 +297,7 @@ def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int
             if not batch.num_rows:
                 continue
             seen = Chunks(batch, words)
-            for size, (hashes, alive) in enumerate(seen.phrases(bits), 1):
+            for size, (hashes, alive) in enumerate(seen.phrases(bits, max_words), 1):
                 if size == 1:
                     continue
                 at = np.flatnonzero(alive & seen.own[: len(alive)])
@@ -252,6 +317,26 @@ def count_phrases(chunks: DataFrame, tables: Sequence[Broadcast], max_words: int
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
 
 
+def frequent_phrases(chunks: DataFrame, words: DataFrame, max_words: int, min_count: int, bits: int = 64) -> DataFrame:
+    """(lang, phrase, words, a) of all phrases of 2 to ``max_words`` words with ``min_count`` occurrences or more.
+
+    Pairs of frequent words are counted by hash, then all longer phrases of frequent pairs, and the text of
+    each frequent hash is read from one chunk. Where two words, or two phrases, share a hash, all are
+    counted by text instead.
+    """
+    often = F.col("n") >= min_count
+    tables = [bit_table(words.where(often), "hash", TABLE_BITS)]
+    counts = written(count_hashes(chunks, tables, min(2, max_words), bits).where(often))
+    if max_words > 2:
+        tables.append(bit_table(counts, F.shiftleft("hash", 64 - bits), TABLE_BITS))
+        counts = counts.union(written(count_hashes(chunks, tables, max_words, bits).where(often)))
+    phrases = written(phrase_texts(chunks, counts, max_words, bits))
+    shared = words.groupBy("hash").agg(F.count("*").alias("words")).where("words > 1")
+    if phrases.where("NOT sure").isEmpty() and shared.isEmpty():
+        return phrases.drop("sure")
+    return written(count_phrases(chunks, tables, max_words).where(F.col("a") >= min_count))
+
+
 def _part(words: Column, first: Column | int, size: Column | int) -> Column:
     return F.array_join(F.slice(words, first, size), " ")
 
@@ -274,9 +359,10 @@ def collocations(
     language's word count. Ranks are by score and a, largest first, then by phrase.
 
     Texts become a dictionary of overlapping chunks with frequencies, and all counting is done once per
-    distinct chunk. Words are counted first, then pairs of frequent words, then triples of frequent pairs, and
-    so on: no phrase is more frequent than its parts. What is frequent is kept as bit tables of a fixed size, which
-    let some rare phrases through and miss none; final counts are by text. Counts are longs, products decimals.
+    distinct chunk. Words are counted first, then pairs of frequent words, then longer phrases of frequent pairs: no
+    phrase is more frequent than its parts. What is frequent is kept as bit tables of a fixed size, which let some
+    rare phrases through and miss none. Phrases are counted by hash, with sums of a second hash that show whether
+    two share one; if any do, all are counted by text. Counts are longs, products decimals.
 
     A null language is ``und``, a null or empty text has no words, repeated rows count each time, an empty
     table gives no rows. Texts of any length are read whole; other columns are not read.
@@ -285,10 +371,7 @@ def collocations(
     chunks = written(parse(documents, text, lang, max_words - 1))
     words = written(count_words(chunks))
     frequent = words.where(F.col("n") >= min_count)
-    tables = [bit_table(frequent, "hash", TABLE_BITS)]
-    while len(tables) < max_words - 1:
-        tables.append(bit_table(count_hashes(chunks, tables).where(F.col("n") >= min_count), "hash", TABLE_BITS))
-    candidates = written(count_phrases(chunks, tables, max_words).where(F.col("a") >= min_count))
+    candidates = frequent_phrases(chunks, words, max_words, min_count)
     return _scored(candidates, frequent, words.groupBy("lang").agg(F.sum("n").alias("n")), share, scale, top)
 
 

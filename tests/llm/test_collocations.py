@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm.collocations import collocations, count_words, cuts, parse
-from panelspark.llm.common import whole
+from panelspark.llm.collocations import collocations, count_hashes, count_words, cuts, frequent_phrases, parse, phrase_texts
+from panelspark.llm.common import whole, written
 from panelspark.llm.hash_sets import bit_table, in_table
 
 
@@ -112,3 +112,42 @@ def test_bit_table_misses_nothing(spark):
     assert in_table(table, keys.view(np.uint64)).all()
     others = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64)
     assert in_table(table, others).mean() < 0.02
+
+
+def counted(rows, max_words=4, min_count=1):
+    """Phrases of 2 words or more with their counts, per language."""
+    out = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            out.update(("und" if lang is None else lang, " ".join(words[i : i + k])) for k in range(2, max_words + 1) for i in range(len(words) - k + 1))
+    return {p: a for p, a in out.items() if a >= min_count}
+
+
+def dictionary(spark, rows):
+    lang = F.coalesce("lang", F.lit("und"))
+    chunks = written(parse(frame(spark, rows), whole(F.col("text")), lang, 3).repartition(8))
+    return chunks, written(count_words(chunks))
+
+
+def test_the_text_of_a_phrase_leaves_the_chunks_of_one_spot(spark):
+    rows = corpus()
+    chunks, words = dictionary(spark, rows)
+    tables = [bit_table(words, "hash", 20)]
+    counts = written(count_hashes(chunks, tables, 4))
+    texts = phrase_texts(chunks, counts, 4).collect()
+    assert {(r["lang"], r["phrase"]): r["a"] for r in texts} == counted(rows)
+    assert len(texts) == len(counted(rows)) == counts.count() and all(r["sure"] for r in texts)
+
+
+def test_phrases_that_share_a_hash_are_counted_by_text(spark):
+    rng = np.random.default_rng(8)
+    rows = [*corpus(), *(("en", " ".join(rng.choice([f"v{i}" for i in range(400)], 500))) for _ in range(50))]
+    chunks, words = dictionary(spark, rows)
+    texts = phrase_texts(chunks, written(count_hashes(chunks, [bit_table(words, "hash", 20)], 4, 26)), 4, 26)
+    assert not texts.where("NOT sure").isEmpty()
+    got = {(r["lang"], r["phrase"]): r["a"] for r in frequent_phrases(chunks, words, 4, 1, 26).collect()}
+    assert got == counted(rows)
+    alike = words.withColumn("hash", F.lit(5).cast("long")).union(words)
+    got = {(r["lang"], r["phrase"]): r["a"] for r in frequent_phrases(chunks, alike, 4, 2).collect()}
+    assert got == counted(rows, min_count=2)
