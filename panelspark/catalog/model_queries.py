@@ -8,9 +8,7 @@ labelled customers and folds.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
@@ -228,17 +226,11 @@ def null_sequence_stump(spark, sf_dir):
 @R.query()
 def recursive_selection(spark, sf_dir):
     """All features, the ordered priority codes as numbers, by Shapley values and by the change of the hold-out loss."""
-    rows = _train_arrays(spark, sf_dir)
+    rows = checkpoint_frame(_train_arrays(spark, sf_dir))
     held = in_holdout("id")
     params = BoostParams(rounds=SELECTION_ROUNDS, max_depth=3, max_leaves=8, learning_rate=0.3)
-    train, holdout = (checkpoint_frame(part) for part in (rows.filter(~held), rows.filter(held)))
-
-    def select(by):
-        kept = select_recursively(train, "target", "id", FEATURES, params, None, SELECTED, STEPS, by, holdout)
-        return [(by, size, i, name) for size, names in kept.items() for i, name in enumerate(names)]
-
-    with ThreadPoolExecutor(2) as pool:  # the two share the cluster; either one alone leaves it idle between its jobs
-        chosen = [row for rows in pool.map(inheritable_thread_target(spark)(select), ("shap", "loss")) for row in rows]
+    kept = select_recursively(rows.filter(~held), "target", "id", FEATURES, params, None, SELECTED, STEPS, ("shap", "loss"), rows.filter(held))
+    chosen = [(by, size, i, name) for by, sizes in kept.items() for size, names in sizes.items() for i, name in enumerate(names)]
     return spark.createDataFrame(chosen, "criterion STRING, target INT, pos INT, feature STRING")
 
 

@@ -1,6 +1,6 @@
-"""Gradient-boosted trees grown from histograms, for all folds at once.
+"""Gradient-boosted trees grown from histograms, for all folds or sets of features at once.
 
-The binned matrix is made once. A level of the trees of all folds is one job: tasks add up gradients,
+The binned matrix is made once. A level of the trees of all models is one job: tasks add up gradients,
 hessians and rows by (model, node, feature, bin), and blocks of features are reduced and searched for
 splits by one task each. Only split candidates reach the driver, one per model, node and block.
 """
@@ -30,6 +30,8 @@ BLOCK = 32
 FAN_IN = 32
 #: Histogram cells of all models that a task holds; a level with more is built in several passes.
 CELLS = 1 << 24
+#: Rows of a task at least, if there are as many: with fewer, the histograms it sends are larger than the codes it reads.
+ROWS = 1 << 13
 #: Gains that differ by less of their size are equal; the first feature, bin and direction count then.
 TIE = 1e-9
 SLOTS = MISSING + 1
@@ -181,7 +183,7 @@ class Booster:
     """The state of training: binned rows, margins so far, and one forest per model.
 
     ``rows`` has id, y, fold and bins. Model m learns from the rows of all other folds, or from all rows if
-    there are no folds. ``steps`` of a row holds per model either the margin so far or, for DART, the steps of
+    there are no folds, on the features ``allowed[m]``. ``steps`` of a row holds per model either the margin so far or, for DART, the steps of
     all trees; trees since the last checkpoint are applied when a task reads the row.
     """
 
@@ -193,12 +195,16 @@ class Booster:
         params: BoostParams,
         folds: int | None = None,
         init_score: float | None = None,
-        allowed: Sequence[int] | None = None,
+        allowed: Sequence[Sequence[int]] | None = None,
     ):
         self.cuts, self.loss, self.params, self.folds = [np.asarray(c) for c in cuts], loss, params, folds
-        self.allowed = range(len(self.cuts)) if allowed is None else allowed
-        self.models = folds or 1
-        counts = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+        self.models = folds or (1 if allowed is None else len(allowed))
+        self.allowed = [range(len(self.cuts))] * self.models if allowed is None else allowed
+        if len(self.allowed) != self.models:
+            raise ValueError("allowed needs a list of features for each fold")
+        counts = {}
+        if init_score is None:
+            counts = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
         self.forests = []
         for m in range(self.models):
             n1, n0 = (sum(n for (fold, y), n in counts.items() if y == label and (folds is None or fold != m)) for label in (1, 0))
@@ -254,7 +260,7 @@ class Booster:
 
     def grow(self, round_: int) -> list[Tree]:
         """One tree per model, on the margins without the trees that the round leaves out."""
-        params, columns = self.params, sampled_columns(self.params, round_, self.allowed)
+        params, columns = self.params, [sampled_columns(self.params, round_, features) for features in self.allowed]
         margins = self.read(self.forests, drop_set(params, round_))
         growths = [Growth(Tree()) for _ in range(self.models)]
         for growth in growths:
@@ -290,8 +296,8 @@ class Booster:
             derived.append(rest)
         if not any(build):
             return None
-        blocks = [columns[i : i + BLOCK] for i in range(0, len(columns), BLOCK)]
-        per_pass = max(CELLS // (len(columns) * SLOTS * 3 * self.models), 1)
+        blocks = [[own[i : i + BLOCK] for i in range(0, len(own), BLOCK)] for own in columns]
+        per_pass = max(CELLS // (sum(map(len, columns)) * SLOTS * 3), 1)
         passes = [[b[i : i + per_pass] for b in build] for i in range(0, max(map(len, build)), per_pass)]
         partial = None
         for p in passes:
@@ -305,7 +311,7 @@ class Booster:
         draw = (params.seed, 4, round_ // params.row_every)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros((len(columns), len(nodes) * SLOTS, 3)) for nodes in build]
+            sums = [np.zeros((len(own), len(nodes) * SLOTS, 3)) for own, nodes in zip(columns, build, strict=True)]
             slots = []
             for tree, nodes in zip(trees, build, strict=True):
                 slot = np.full(len(tree.feature), -1)
@@ -325,16 +331,17 @@ class Booster:
                     rows, at = rows[at >= 0], at[at >= 0] * SLOTS
                     gradient, hessian = loss.derivatives(y[rows], margin[m, rows])
                     hessian = np.maximum(hessian, MIN_HESSIAN)
-                    for i, column in enumerate(columns):
+                    for i, column in enumerate(columns[m]):
                         cell = at + codes[rows, column]
                         size = sums[m].shape[1]
                         sums[m][i, :, 0] += np.bincount(cell, gradient, size)
                         sums[m][i, :, 1] += np.bincount(cell, hessian, size)
                         sums[m][i, :, 2] += np.bincount(cell, minlength=size)
-            part, out, first = TaskContext.get().partitionId(), [], np.cumsum([0, *map(len, blocks)])
+            part, out = TaskContext.get().partitionId(), []
             for m, nodes in enumerate(build):
+                first = np.cumsum([0, *map(len, blocks[m])])
                 for i, node in enumerate(nodes):
-                    for b in range(len(blocks)):
+                    for b in range(len(blocks[m])):
                         payload = sums[m][first[b] : first[b + 1], i * SLOTS : (i + 1) * SLOTS]
                         out.append((m, b, node, part, packed(payload)))
             if out:
@@ -346,7 +353,7 @@ class Booster:
         def summed(pdf: pd.DataFrame) -> pd.DataFrame:
             one = pdf.iloc[:1].copy()
             one["part"] //= FAN_IN
-            one["payload"] = [packed(unpacked(pdf["payload"], len(blocks[int(pdf["block"].iloc[0])])))]
+            one["payload"] = [packed(unpacked(pdf["payload"], len(blocks[int(pdf["model"].iloc[0])][int(pdf["block"].iloc[0])])))]
             return one
 
         found, parts = self.rows.mapInArrow(added, schema), self.parts
@@ -357,28 +364,28 @@ class Booster:
 
     def _searched(self, partial, parents, derived, blocks, last) -> DataFrame:
         """Histograms of built nodes summed, those of their siblings as the parent's rest, and each one's best split."""
-        params, bounds = self.params, [[len(self.cuts[c]) for c in block] for block in blocks]
+        params, bounds = self.params, [[[len(self.cuts[c]) for c in block] for block in own] for own in blocks]
         fields = ["model", "block", "node", "payload", "feature", "bin", "missing_left", "gain", "gl", "hl", "nl", "g", "h", "n"]
         schema = "model int, block int, node int, payload binary, feature int, bin int, missing_left boolean, gain double, gl double, hl double, nl double, g double, h double, n double"
 
         def search(built: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
             model, block = int(built["model"].iloc[0]), int(built["block"].iloc[0])
-            features = len(blocks[block])
+            features = len(blocks[model][block])
             found = {int(node): unpacked(rows, features) for node, rows in built.groupby("node")["payload"]}
             over = dict(zip(above["node"], above["payload"], strict=True))
             for node, parent, sibling in derived[model]:
                 found[node] = unpacked([over[parent]], features) - found[sibling]
             nodes = sorted(found)
             out = []
-            for node, best in zip(nodes, best_splits(np.stack([found[n] for n in nodes]), bounds[block], params), strict=True):
+            for node, best in zip(nodes, best_splits(np.stack([found[n] for n in nodes]), bounds[model][block], params), strict=True):
                 payload = None if last else packed(found[node])
                 total = found[node][0].sum(axis=0).tolist()
-                split = (-1, -1, False, 0.0, 0.0, 0.0, 0.0) if best is None else (int(blocks[block][best[0]]), *best[1:4], *best[4].tolist())
+                split = (-1, -1, False, 0.0, 0.0, 0.0, 0.0) if best is None else (int(blocks[model][block][best[0]]), *best[1:4], *best[4].tolist())
                 out.append((model, block, node, payload, *split, *total))
             return pd.DataFrame(out, columns=fields)
 
         # A task per model and block: a persisted level keeps its shuffle partitions, however many of them are empty.
-        groups = self.models * len(blocks)
+        groups = sum(map(len, blocks))
         partial = partial.repartition(groups, "model", "block")
         if parents is None:
             none = pd.DataFrame({"node": [], "payload": []})
@@ -487,10 +494,16 @@ class Boosted:
 def binned_rows(
     df: DataFrame, label: str, id_col: str, cuts: Sequence[np.ndarray], fold: str | None = None, features: str = "features"
 ) -> DataFrame:
-    """(id, y, fold, bins), written once for all rounds."""
+    """(id, y, fold, bins), written once for all rounds, in partitions of ``ROWS`` rows or more."""
     part = F.lit(0) if fold is None else F.col(fold)
     keep = [F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), part.cast("int").alias("fold")]
-    return checkpoint_frame(binned(df, keep, cuts, features))
+    return in_large_parts(checkpoint_frame(binned(df, keep, cuts, features)))
+
+
+def in_large_parts(rows: DataFrame) -> DataFrame:
+    """A written frame with partitions put together, if they have fewer than ``ROWS`` rows on average."""
+    few = max(-(-rows.count() // ROWS), 1)
+    return rows.coalesce(few) if few < rows.rdd.getNumPartitions() else rows
 
 
 def boost_rows(
@@ -500,9 +513,12 @@ def boost_rows(
     params: BoostParams,
     folds: int | None = None,
     init_score: float | None = None,
-    allowed: Sequence[int] | None = None,
+    allowed: Sequence[Sequence[int]] | None = None,
 ) -> Boosted:
-    """``boost`` on rows that are binned already, with the ``allowed`` features only (default: all)."""
+    """``boost`` on rows that are binned already.
+
+    ``allowed`` has the features of each model (default: all); without folds there is a model for each of its lists.
+    """
     if params.patience and (folds is None or params.drops):
         raise ValueError("patience needs folds to measure on, and rounds that later ones don't change")
     booster = Booster(rows, cuts, loss, params, folds, init_score, allowed)

@@ -205,30 +205,42 @@ def shapley_column(df: DataFrame, forest: Forest, features: str = "features") ->
 
 def shapley_sums(df: DataFrame, forest: Forest, label: str, loss: Callable[[np.ndarray, np.ndarray], np.ndarray], features: str = "features") -> DataFrame:
     """(feature, importance, loss_change, rows) over all rows: the mean size of a feature's Shapley value, and how much the
-    mean loss rises when it is taken from the margin.
+    mean loss rises when it is taken from the margin."""
+    return shapley_sums_of(df, [forest], label, loss, features).drop("model")
 
-    One scoring pass; a task adds up its rows, so one row per task and feature is shuffled.
+
+def shapley_sums_of(df: DataFrame, forests: Sequence[Forest], label: str, loss: Callable[[np.ndarray, np.ndarray], np.ndarray], features: str = "features") -> DataFrame:
+    """``shapley_sums`` of several forests, with their place in the list as ``model``.
+
+    One scoring pass; a task adds up its rows, so one row per task, forest and feature is shuffled.
     """
     rows = df.select(F.col(label).cast("double").alias("y"), as_array(df, features).alias("x"))
 
+    used = [sorted({f for tree in forest.trees for f in tree.feature if f != LEAF}) for forest in forests]
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y, values = batch["y"].to_numpy(zero_copy_only=False), forest.shapley(matrix(batch["x"]))
-            margin, parts = values.sum(axis=1), values[:, :-1]
-            base = loss(y, margin)
-            change = np.array([(loss(y, margin - parts[:, f]) - base).sum() for f in range(parts.shape[1])])
-            new = np.stack([np.abs(parts).sum(axis=0), change])
+            y, x = batch["y"].to_numpy(zero_copy_only=False), matrix(batch["x"])
+            new = np.zeros((2, len(forests), x.shape[1]))
+            for m, forest in enumerate(forests):
+                values = forest.shapley(x)
+                margin, parts = values.sum(axis=1), values[:, :-1]
+                base = loss(y, margin)
+                new[0, m] = np.abs(parts).sum(axis=0)
+                for f in used[m]:  # the values of the others are zero
+                    new[1, m, f] = (loss(y, margin - parts[:, f]) - base).sum()
             sums, n = new if sums is None else sums + new, n + len(y)
         if sums is not None:
-            columns = [pa.array(range(sums.shape[1]), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), pa.array([n] * sums.shape[1], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["feature", "size", "change", "n"])
+            model, feature = (at.ravel() for at in np.indices(sums.shape[1:], dtype=np.int32))
+            columns = [pa.array(model), pa.array(feature), pa.array(sums[0].ravel()), pa.array(sums[1].ravel()), pa.array([n] * len(model), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["model", "feature", "size", "change", "n"])
 
-    parts = rows.mapInArrow(summed, "feature int, size double, change double, n long").groupBy("feature")
+    parts = rows.mapInArrow(summed, "model int, feature int, size double, change double, n long").groupBy("model", "feature")
     total = parts.agg(F.sum("size").alias("size"), F.sum("change").alias("change"), F.sum("n").alias("rows"))
-    return total.select("feature", (F.col("size") / F.col("rows")).alias("importance"), (F.col("change") / F.col("rows")).alias("loss_change"), "rows")
+    return total.select("model", "feature", (F.col("size") / F.col("rows")).alias("importance"), (F.col("change") / F.col("rows")).alias("loss_change"), "rows")
 
 
 def rounds_of(staged: DataFrame, keep: Sequence[str], column: str = "staged") -> DataFrame:

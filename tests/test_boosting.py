@@ -135,6 +135,39 @@ def test_many_blocks_parts_and_passes_give_the_same_trees(spark, data, monkeypat
     np.testing.assert_allclose(G.boost(df.repartition(11), "y", "id", params=params).forests[0].margins(x), one, atol=1e-9)
 
 
+def test_small_partitions_are_put_together_and_many_give_the_same_trees(data, monkeypatch):
+    x, y, df = data
+    params = G.BoostParams(rounds=3, max_depth=4, min_rows=10, bins=16)
+    cuts, many = B.quantile_cuts(df, bins=16), df.repartition(11)
+    rows = G.binned_rows(many, "y", "id", cuts)
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == rows.select("id").distinct().count() == 1500
+    one = G.boost_rows(rows, cuts, LogLoss(), params).forests[0].margins(x)
+    monkeypatch.setattr(G, "ROWS", 150)
+    monkeypatch.setattr(G, "BLOCK", 2)
+    monkeypatch.setattr(G, "FAN_IN", 3)
+    rows = G.binned_rows(many, "y", "id", cuts)
+    assert rows.rdd.getNumPartitions() == 10
+    for allowed in (None, [range(6), [0, 2, 5]]):
+        found = G.boost_rows(rows, cuts, LogLoss(), params, allowed=allowed).forests[0]
+        np.testing.assert_allclose(found.margins(x), one, atol=1e-9)
+
+
+def test_models_on_features_of_their_own_are_those_grown_alone(data):
+    x, y, df = data
+    params = G.BoostParams(rounds=4, max_depth=3, min_rows=10, bins=16, column_share=0.7, checkpoint_every=2)
+    cuts, sets = B.quantile_cuts(df, bins=16), [[0, 1, 2, 3, 4, 5], [4], [1, 3, 5]]
+    rows = G.binned_rows(df, "y", "id", cuts)
+    together = G.boost_rows(rows, cuts, LogLoss(), params, allowed=sets).forests
+    assert len(together) == 3
+    for forest, own in zip(together, sets, strict=True):
+        alone = G.boost_rows(rows, cuts, LogLoss(), params, allowed=[own]).forests[0]
+        assert [t.feature for t in forest.trees] == [t.feature for t in alone.trees]
+        assert {f for t in forest.trees for f in t.feature} <= {*own, T.LEAF}
+        np.testing.assert_allclose(forest.margins(x), alone.margins(x), atol=1e-9)
+    with pytest.raises(ValueError):
+        G.boost_rows(rows, cuts, LogLoss(), params, folds=2, allowed=sets)
+
+
 def leaf_wise(codes, cuts, g, h, params):
     """The largest gain among the leaves is split first, one leaf at a time."""
     hist = lambda rows: np.stack([[np.bincount(codes[rows, f], w[rows], 256) for w in (g, h, np.ones(len(g)))] for f in range(codes.shape[1])]).transpose(0, 2, 1)[None]

@@ -9,7 +9,7 @@ from panelspark.operators.binning import feature_array
 from panelspark.operators.boosted_models import HistogramBooster, HistogramBoosterModel
 from panelspark.operators.boosting import BoostParams, boost
 from panelspark.operators.folds import in_holdout, stratified_folds
-from panelspark.operators.forest import shapley_sums
+from panelspark.operators.forest import shapley_sums, shapley_sums_of
 from panelspark.operators.metrics import auc, focal_init_score
 from panelspark.operators.selection import recursive_selection
 from panelspark.sources import tables
@@ -158,6 +158,42 @@ def test_selection_drops_noise(customers, by):
     assert set(kept[2]) == {"a", "b"} and kept[1] == ["a"]
 
 
+def test_criteria_share_the_jobs_of_a_step(customers, monkeypatch):
+    from panelspark.operators import selection
+
+    names = ["noise", "a", "b", "flat"]
+    df = customers.withColumn("flat", F.lit(1.0))
+    rows = df.select("id", "y", feature_array(df, names).alias("features"))
+    held = in_holdout("id", 0.3)
+    given = (rows.filter(~held), "y", "id", names, BoostParams(rounds=2, max_depth=2, bins=32), None, (3, 1), 2)
+    alone = {by: recursive_selection(*given, by, rows.filter(held)) for by in ("shap", "loss", "importance")}
+    grown, boost_rows = [], selection.boost_rows
+
+    def counted(*args, **named):
+        grown.append(named["allowed"])
+        return boost_rows(*args, **named)
+
+    monkeypatch.setattr(selection, "boost_rows", counted)
+    together = recursive_selection(*given, ("shap", "loss", "importance"), rows.filter(held))
+    assert together == alone
+    assert len(grown) == 3 and len(grown[0]) == 1 and len({tuple(s) for s in grown[1]}) == len(grown[1])
+    with pytest.raises(ValueError):
+        recursive_selection(*given, ("shap", "other"), rows.filter(held))
+
+
+def test_scores_of_several_forests_are_those_of_each(customers):
+    names = ["a", "b", "noise"]
+    rows = customers.select("id", "y", feature_array(customers, names).alias("features"))
+    forests = [boost(rows, "y", "id", params=BoostParams(rounds=r, max_depth=2, bins=32)).forests[0] for r in (1, 4)]
+    both = shapley_sums_of(rows, forests, "y", LogLoss().values).toPandas()
+    assert sorted(zip(both["model"], both["feature"], strict=True)) == [(m, f) for m in range(2) for f in range(3)]
+    for m, forest in enumerate(forests):
+        got = both[both["model"] == m].sort_values("feature")
+        one = shapley_sums(rows, forest, "y", LogLoss().values).orderBy("feature").toPandas()
+        for column in ("importance", "loss_change", "rows"):
+            assert got[column].tolist() == pytest.approx(one[column].tolist(), abs=1e-12)
+
+
 def test_loss_changes_match_one_by_one_where_trees_share_no_path(customers):
     """For stumps a feature's Shapley value is its step less the mean step, so taking it away puts the mean in its place."""
     names = ["a", "b", "noise"]
