@@ -1,8 +1,9 @@
 """Gradient-boosted trees grown from histograms, for all folds or sets of features at once.
 
-The binned matrix is made once. A level of the trees of all models is one job: tasks add up gradients,
-hessians and rows by (model, node, feature, bin), and blocks of features are reduced and searched for
-splits by one task each. Only split candidates reach the driver, one per model, node and block.
+The binned matrix is made once and kept as blocks of rows, the codes of a feature next to each other. A level of
+the trees of all models is one job: tasks add up gradients, hessians and rows by (model, node, feature, bin), and
+blocks of features are reduced and searched for splits by one task each. Only split candidates reach the driver, one
+per model, node and block.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ FAN_IN = 32
 CELLS = 1 << 24
 #: Rows of a task at least, if there are as many: with fewer, the histograms it sends are larger than the codes it reads.
 ROWS = 1 << 13
+#: Tasks per core and rows of a task, up to which there are no more than these: more tasks only send more histograms.
+TASKS = 3
+MOST_ROWS = 1 << 18
+#: Bytes of codes in a block of rows at most.
+BLOCK_BYTES = 1 << 24
 #: Gains that differ by less of their size are equal; the first feature, bin and direction count then.
 TIE = 1e-9
 SLOTS = MISSING + 1
@@ -179,12 +185,138 @@ class Growth:
         return sorted(self.key, key=lambda node: (-self.key[node], node))
 
 
+class Added:
+    """What some rows add to the histograms of a model: their nodes, gradients and hessians."""
+
+    def __init__(self, node: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, nodes: int):
+        self.at, self.gradient, self.hessian, self.nodes = node * SLOTS, gradient, hessian, nodes
+        self.total = np.stack([np.bincount(node, w, nodes) for w in (gradient, hessian, None)])
+
+    def into(self, histogram: np.ndarray, codes: np.ndarray, top: int) -> None:
+        """Add the rows by node and code to ([gradient, hessian, rows], cell).
+
+        With a frequent code ``top`` only the other rows are added up; a node's rest has this code.
+        """
+        size = histogram.shape[1]
+        if top < 0:
+            cell = self.at + codes
+            histogram[0] += np.bincount(cell, self.gradient, size)
+            histogram[1] += np.bincount(cell, self.hessian, size)
+            histogram[2] += np.bincount(cell, minlength=size)
+            return
+        rest = histogram.reshape(3, self.nodes, SLOTS)[:, :, top]
+        rest += self.total
+        others = np.flatnonzero(codes != top)
+        if len(others):
+            cell = self.at[others] + codes[others]
+            found = np.stack([np.bincount(cell, self.gradient[others], size), np.bincount(cell, self.hessian[others], size), np.bincount(cell, minlength=size)])
+            histogram += found
+            rest -= found.reshape(3, self.nodes, SLOTS).sum(axis=2)
+
+
+#: Of a block of rows: lists with an entry per row, labels (missing: NaN) as bytes, and the features it holds, for each the code of
+#: ``FREQUENT`` of the rows (or -1), and their codes, one feature after the other.
+LISTS = ["id", "key", "y", "fold"]
+CODED = ["features", "frequent", "codes"]
+COLUMNS = [*LISTS, "labels", *CODED]
+#: Share of a block's rows from which a feature's most frequent code is not added up, but taken as the rest of the node.
+FREQUENT = 0.4
+
+
+@dataclass
+class Block:
+    """A row of ``in_blocks``, as a task reads it."""
+
+    batch: pa.RecordBatch
+    at: int
+
+    def column(self, name: str) -> pa.Array:
+        return self.batch[name][self.at].values
+
+    def values(self, name: str) -> np.ndarray:
+        return self.column(name).to_numpy(zero_copy_only=False)
+
+    def numbers(self, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(self.batch[name][self.at].as_buffer(), dtype=kind)
+
+    @property
+    def labels(self) -> np.ndarray:
+        return self.numbers("labels", np.float64)
+
+    @property
+    def rows(self) -> int:
+        return len(self.labels)
+
+    @property
+    def frequent(self) -> dict[int, int]:
+        return dict(zip(self.numbers("features", np.int32).tolist(), self.numbers("frequent", np.int16).tolist(), strict=True))
+
+    @property
+    def codes(self) -> dict[int, np.ndarray]:
+        features = self.numbers("features", np.int32).tolist()
+        return dict(zip(features, self.numbers("codes", np.uint8).reshape(len(features), self.rows), strict=True))
+
+    def steps(self, models: int) -> np.ndarray:
+        """(model, tree or one, row); no trees before the first checkpoint."""
+        steps = self.batch["steps"][self.at]
+        return np.frombuffer(steps.as_buffer()).reshape(models, -1, self.rows) if steps.is_valid else np.zeros((models, 0, self.rows))
+
+
+def blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
+    return (Block(batch, at) for at in range(batch.num_rows))
+
+
+def coded(features: np.ndarray, frequent: np.ndarray, codes: np.ndarray) -> list[pa.Array]:
+    """The columns ``CODED`` of one block."""
+    return [pa.array([a.tobytes()], pa.binary()) for a in (features.astype(np.int32), frequent.astype(np.int16), codes)]
+
+
+def in_blocks(rows: DataFrame, width: int) -> DataFrame:
+    """Binned rows as blocks (``COLUMNS``), written: a task that reads them moves a few large values instead of many small rows.
+
+    Of more partitions than cores, the blocks are dealt out evenly to a multiple of the cores, so that the tasks of a level end together.
+    """
+    kind = dict(rows.dtypes)["id"]
+    step = max(BLOCK_BYTES // max(width, 1), 1)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                codes = np.frombuffer(b"".join(part["bins"].to_pylist()), dtype=np.uint8).reshape(part.num_rows, width)
+                counts = [np.bincount(column) for column in codes.T]
+                frequent = np.array([c.argmax() if c.max() >= FREQUENT * len(codes) else -1 for c in counts])
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c]) for c in LISTS]
+                labels = pa.array([part["y"].to_numpy(zero_copy_only=False).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*lists, labels, *coded(np.arange(width), frequent, codes.T)], COLUMNS)
+
+    schema = f"id array<{kind}>, key array<long>, y array<double>, fold array<int>, labels binary, features binary, frequent binary, codes binary"
+    blocks = rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins").mapInArrow(blocked, schema)
+    parts, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    return checkpoint_frame(blocks.repartition(parts // cores * cores) if parts > cores and parts % cores else blocks)
+
+
+def narrowed(blocks: DataFrame, features: Sequence[int]) -> DataFrame:
+    """Blocks with the codes of these features only, written: what later trees don't use need not be read for them."""
+    wanted = sorted(features)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks_of(batch):
+                codes, frequent, one = block.codes, block.frequent, batch.slice(block.at, 1)
+                own = coded(np.array(wanted), np.array([frequent[f] for f in wanted]), np.stack([codes[f] for f in wanted]))
+                yield pa.RecordBatch.from_arrays([*(one[c] for c in COLUMNS[: -len(CODED)]), *own], COLUMNS)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
+    return checkpoint_frame(blocks.mapInArrow(cut, schema))
+
+
 class Booster:
     """The state of training: binned rows, margins so far, and one forest per model.
 
-    ``rows`` has id, y, fold and bins. Model m learns from the rows of all other folds, or from all rows if
-    there are no folds, on the features ``allowed[m]``. ``steps`` of a row holds per model either the margin so far or, for DART, the steps of
-    all trees; trees since the last checkpoint are applied when a task reads the row.
+    ``rows`` has id, y, fold and bins, or blocks of them with the features of any model. Model m learns from the rows of all other folds, or from all rows if
+    there are no folds, on the features ``allowed[m]``. ``steps`` of a block holds per model either the margins so far or, for DART, the steps of
+    all trees; trees since the last checkpoint are applied when a task reads the block.
     """
 
     def __init__(
@@ -202,56 +334,55 @@ class Booster:
         self.allowed = [range(len(self.cuts))] * self.models if allowed is None else allowed
         if len(self.allowed) != self.models:
             raise ValueError("allowed needs a list of features for each fold")
+        rows = rows if "codes" in rows.columns else in_blocks(rows, len(self.cuts))
         counts = {}
         if init_score is None:
-            counts = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+            each = rows.select(F.inline(F.arrays_zip("fold", "y")))
+            counts = {(r["fold"], r["y"]): r["n"] for r in each.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
         self.forests = []
         for m in range(self.models):
             n1, n0 = (sum(n for (fold, y), n in counts.items() if y == label and (folds is None or fold != m)) for label in (1, 0))
             self.forests.append(Forest(loss.start(n1, n0) if init_score is None else init_score, [], []))
         self.stored = 0  # trees in the steps
-        empty = np.zeros(0 if params.drops else self.models).tobytes()
-        self.rows = rows.select("id", F.xxhash64("id").alias("key"), "y", "fold", "bins", F.lit(empty).alias("steps"))
+        self.rows = rows.select(*COLUMNS, F.lit(None).cast("binary").alias("steps"))
         self.parts = rows.rdd.getNumPartitions()
         # A sibling as its parent's rest halves what tasks build and send, but the parents are kept and dealt out
         # once more. Where one task adds up all partial histograms of a node, building both siblings is quicker.
         self.derives = self.parts > FAN_IN
 
     def read(self, forests: Sequence[Forest], left_out: Sequence[int] = ()):
-        """A function from a batch to (codes, margins by model), for tasks."""
-        stored, drops, models, width = self.stored, self.params.drops, self.models, len(self.cuts)
+        """A function from a block to (codes by feature, margins by model), for tasks."""
+        stored, drops, models = self.stored, self.params.drops, self.models
         weights = [np.array([0.0 if t in left_out else w for t, w in enumerate(f.weights)]) for f in forests]
 
-        def margins(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            codes = np.frombuffer(b"".join(batch["bins"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, width)
-            steps = np.frombuffer(b"".join(batch["steps"].to_pylist()), dtype=np.float64).reshape(batch.num_rows, models, -1)
-            out = np.empty((models, batch.num_rows))
+        def margins(block: Block) -> tuple[dict[int, np.ndarray], np.ndarray]:
+            codes, steps = block.codes, block.steps(models)
+            out = np.empty((models, block.rows))
             for m, forest in enumerate(forests):
-                out[m] = forest.init_score + (steps[:, m] @ weights[m][:stored] if drops else steps[:, m, 0])
+                out[m] = forest.init_score + (weights[m][:stored] @ steps[m] if drops else steps[m, 0] if stored else 0.0)
                 for tree, weight in zip(forest.trees[stored:], weights[m][stored:], strict=True):
                     if weight:
-                        out[m] += weight * np.array(tree.value)[tree.binned_leaves(codes, MISSING)]
+                        out[m] += (weight * np.array(tree.value))[tree.coded_leaves(codes, block.rows, MISSING)]
             return codes, out
 
         return margins
 
     def store(self) -> None:
-        """Write the steps of the trees since the last checkpoint into the rows."""
+        """Write the steps of the trees since the last checkpoint into the blocks."""
         stored, drops, models, forests = self.stored, self.params.drops, self.models, self.forests
-        kept = ["id", "key", "y", "fold", "bins"]
 
         def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = np.frombuffer(b"".join(batch["bins"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                steps = np.frombuffer(b"".join(batch["steps"].to_pylist()), dtype=np.float64).reshape(batch.num_rows, models, -1)
-                new = [np.stack([np.array(t.value)[t.binned_leaves(codes, MISSING)] for t in f.trees[stored:]], axis=1) for f in forests]
-                if drops:
-                    steps = np.concatenate([steps, np.stack(new, axis=1)], axis=2)
-                else:
-                    steps = steps + np.stack([n @ np.array(f.weights[stored:]) for n, f in zip(new, forests, strict=True)], axis=1)[:, :, None]
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array([row.tobytes() for row in steps], pa.binary())], [*kept, "steps"])
+                for block in blocks_of(batch):
+                    codes = block.codes
+                    new = [np.stack([np.array(t.value)[t.coded_leaves(codes, block.rows, MISSING)] for t in f.trees[stored:]]) for f in forests]
+                    if drops:
+                        steps = np.concatenate([block.steps(models), np.stack(new)], axis=1)
+                    else:
+                        steps = np.stack([np.array(f.weights[stored:]) @ n for n, f in zip(new, forests, strict=True)])[:, None, :]
+                        steps = block.steps(models) + steps if stored else steps
+                    one = block.batch.slice(block.at, 1)
+                    yield pa.RecordBatch.from_arrays([*(one[c] for c in COLUMNS), pa.array([steps.tobytes()], pa.binary())], [*COLUMNS, "steps"])
 
         if all(f.trees[stored:] for f in forests):
             schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.rows.schema.fields)
@@ -308,42 +439,46 @@ class Booster:
     def _partial(self, build, growths, margins, columns, blocks, round_) -> DataFrame:
         """(model, block, node, part, histogram) per task, summed in rounds until few parts are left."""
         loss, params, folds, trees = self.loss, self.params, self.folds, [g.tree for g in growths]
+        needed = ["labels", *CODED, "steps", *(["fold"] if folds is not None else []), *(["key"] if params.row_share < 1 else [])]
         draw = (params.seed, 4, round_ // params.row_every)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros((len(own), len(nodes) * SLOTS, 3)) for own, nodes in zip(columns, build, strict=True)]
+            sums = [np.zeros((3, len(own), len(nodes) * SLOTS)) for own, nodes in zip(columns, build, strict=True)]
+            places = [{int(column): i for i, column in enumerate(own)} for own in columns]
             slots = []
             for tree, nodes in zip(trees, build, strict=True):
                 slot = np.full(len(tree.feature), -1)
                 slot[nodes] = np.arange(len(nodes))
                 slots.append(slot)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, margin = margins(batch)
-                y, fold = batch["y"].to_numpy(zero_copy_only=False), batch["fold"].to_numpy(zero_copy_only=False)
-                drawn = uniform(*draw, batch["key"].to_numpy()) < params.row_share if params.row_share < 1 else np.ones(len(y), dtype=bool)
+            for block in (block for batch in batches for block in blocks_of(batch)):
+                codes, margin = margins(block)
+                y, fold = block.labels, None if folds is None else block.values("fold")
+                drawn = uniform(*draw, block.values("key")) < params.row_share if params.row_share < 1 else None
+                chosen = []
                 for m, slot in enumerate(slots):
                     if not build[m]:
                         continue
-                    rows = np.flatnonzero(drawn if folds is None else drawn & (fold != m))
-                    at = slot[trees[m].binned_leaves(codes[rows], MISSING)]
-                    rows, at = rows[at >= 0], at[at >= 0] * SLOTS
+                    at = slot[trees[m].coded_leaves(codes, block.rows, MISSING)]
+                    used = at >= 0
+                    if drawn is not None:
+                        used &= drawn
+                    if fold is not None:
+                        used &= fold != m
+                    rows = slice(None) if used.all() else np.flatnonzero(used)
                     gradient, hessian = loss.derivatives(y[rows], margin[m, rows])
-                    hessian = np.maximum(hessian, MIN_HESSIAN)
-                    for i, column in enumerate(columns[m]):
-                        cell = at + codes[rows, column]
-                        size = sums[m].shape[1]
-                        sums[m][i, :, 0] += np.bincount(cell, gradient, size)
-                        sums[m][i, :, 1] += np.bincount(cell, hessian, size)
-                        sums[m][i, :, 2] += np.bincount(cell, minlength=size)
+                    chosen.append((sums[m], places[m], rows, Added(at[rows], gradient, np.maximum(hessian, MIN_HESSIAN), len(build[m]))))
+                for column, top in block.frequent.items():
+                    own = codes[column]
+                    for total, place, rows, given in chosen:
+                        if column in place:
+                            given.into(total[:, place[column]], own[rows], top)
             part, out = TaskContext.get().partitionId(), []
             for m, nodes in enumerate(build):
                 first = np.cumsum([0, *map(len, blocks[m])])
                 for i, node in enumerate(nodes):
                     for b in range(len(blocks[m])):
-                        payload = sums[m][first[b] : first[b + 1], i * SLOTS : (i + 1) * SLOTS]
-                        out.append((m, b, node, part, packed(payload)))
+                        payload = sums[m][:, first[b] : first[b + 1], i * SLOTS : (i + 1) * SLOTS]
+                        out.append((m, b, node, part, packed(payload.transpose(1, 2, 0))))
             if out:
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["model", "block", "node", "part", "payload"])
@@ -356,7 +491,7 @@ class Booster:
             one["payload"] = [packed(unpacked(pdf["payload"], len(blocks[int(pdf["model"].iloc[0])][int(pdf["block"].iloc[0])])))]
             return one
 
-        found, parts = self.rows.mapInArrow(added, schema), self.parts
+        found, parts = self.rows.select(*needed).mapInArrow(added, schema), self.parts
         while parts > FAN_IN:
             found = found.groupBy("model", "block", "node", F.floor(F.col("part") / FAN_IN)).applyInPandas(summed, schema)
             parts = -(-parts // FAN_IN)
@@ -464,21 +599,19 @@ class Booster:
         stored, forests, read = self.stored, self.forests, self.read([Forest(f.init_score, f.trees[: self.stored], f.weights[: self.stored]) for f in self.forests])
 
         def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, margins = read(batch)
-                fold = batch["fold"].to_numpy(zero_copy_only=False)
-                out = np.zeros((batch.num_rows, len(forests[0].trees) - stored))
+            for block in (block for batch in batches for block in blocks_of(batch)):
+                codes, margins = read(block)
+                fold = block.values("fold")
+                out = np.zeros((block.rows, len(forests[0].trees) - stored))
                 for m, forest in enumerate(forests):
                     rows = np.flatnonzero(fold == m)
                     margin = margins[m, rows]
                     for i, (tree, weight) in enumerate(zip(forest.trees[stored:], forest.weights[stored:], strict=True)):
-                        margin = margin + weight * np.array(tree.value)[tree.binned_leaves(codes[rows], MISSING)]
+                        margin = margin + weight * np.array(tree.value)[tree.coded_leaves(codes, block.rows, MISSING)[rows]]
                         out[rows, i] = margin
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], batch["fold"], pa.array(list(out), pa.list_(pa.float64()))], ["id", "y", "fold", "staged"])
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("id", "y", "fold")), pa.array(list(out), pa.list_(pa.float64()))], ["id", "y", "fold", "staged"])
 
-        kind = dict(self.rows.dtypes)["id"]
+        kind = dict(self.rows.dtypes)["id"].removeprefix("array<").removesuffix(">")
         found = self.rows.mapInArrow(rounds, f"id {kind}, y double, fold int, staged array<double>")
         return found.select("id", "y", "fold", F.posexplode("staged").alias("at", "margin")).select("id", "y", "fold", (F.col("at") + stored + 1).alias("round"), "margin")
 
@@ -501,8 +634,9 @@ def binned_rows(
 
 
 def in_large_parts(rows: DataFrame) -> DataFrame:
-    """A written frame with partitions put together, if they have fewer than ``ROWS`` rows on average."""
-    few = max(-(-rows.count() // ROWS), 1)
+    """A written frame with partitions put together, if they have fewer than ``ROWS`` rows on average or are many more than there are cores."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    few = max(min(-(-n // ROWS), max(TASKS * cores, -(-n // MOST_ROWS))), 1)
     return rows.coalesce(few) if few < rows.rdd.getNumPartitions() else rows
 
 
@@ -515,7 +649,7 @@ def boost_rows(
     init_score: float | None = None,
     allowed: Sequence[Sequence[int]] | None = None,
 ) -> Boosted:
-    """``boost`` on rows that are binned already.
+    """``boost`` on rows that are binned already, or on blocks of them.
 
     ``allowed`` has the features of each model (default: all); without folds there is a model for each of its lists.
     """

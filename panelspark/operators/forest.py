@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +15,8 @@ from pyspark.sql.functions import pandas_udf
 from panelspark.operators.binning import as_array, matrix
 
 LEAF = -1
+#: Splits of a tree up to which its Shapley values are computed once for all rows that go the same way.
+PATTERN = 12
 
 
 @dataclass
@@ -53,6 +55,25 @@ class Tree:
         """The leaf that each row of bin codes reaches."""
         return self._descend(len(codes), lambda node, rows: np.where(codes[rows, self.feature[node]] == missing, self.missing_left[node], codes[rows, self.feature[node]] <= self.bin[node]))
 
+    def coded_leaves(self, codes: Mapping[int, np.ndarray], n: int, missing: int) -> np.ndarray:
+        """``binned_leaves`` of ``n`` rows' codes by feature, as the smallest unsigned numbers that hold them.
+
+        All rows go through every split, from the last to the first: a step is one pass over bytes that lie together.
+        """
+        kind = np.min_scalar_type(len(self.feature))
+        at: dict[int, np.ndarray] = {}
+        for node in range(len(self.feature) - 1, -1, -1):
+            if self.feature[node] == LEAF:
+                at[node] = np.array([node], dtype=kind)
+                continue
+            column = codes[self.feature[node]]
+            left = column <= self.bin[node]
+            if self.missing_left[node]:
+                left |= column == missing
+            low, high = at.pop(self.left[node]), at.pop(self.right[node])
+            at[node] = high + left.astype(kind) * (low - high)  # wraps around to low
+        return np.broadcast_to(at[0], n)
+
     def _descend(self, n: int, goes_left: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
         at = np.zeros(n, dtype=np.int64)
         for node, feature in enumerate(self.feature):
@@ -82,11 +103,22 @@ class Tree:
         all of a feature's splits, or the product of their cover shares. Coalition sizes are summed by one
         polynomial per leaf, whose factor of a feature is (share + satisfied * t).
         """
+        splits = [node for node, feature in enumerate(self.feature) if feature != LEAF]
         x_goes_left = {}
-        for node, feature in enumerate(self.feature):
-            if feature != LEAF:
-                values = x[:, feature]
-                x_goes_left[node] = np.where(np.isnan(values), self.missing_left[node], values <= self.threshold[node])
+        for node in splits:
+            values = x[:, self.feature[node]]
+            x_goes_left[node] = np.where(np.isnan(values), self.missing_left[node], values <= self.threshold[node])
+        n, pattern = len(x), None
+        if len(splits) <= PATTERN and 1 << len(splits) < n:  # rows that go the same way at every split have the same values
+            code = np.zeros(n, dtype=np.intp)
+            for i, node in enumerate(splits):
+                code |= x_goes_left[node].astype(np.intp) << i
+            seen = np.flatnonzero(np.bincount(code, minlength=1 << len(splits)))
+            place = np.zeros(1 << len(splits), dtype=np.intp)
+            place[seen] = np.arange(len(seen))
+            n, pattern = len(seen), place[code]
+            x_goes_left = {node: (seen >> i) & 1 == 1 for i, node in enumerate(splits)}
+        shares: dict[int, np.ndarray] = {}
         expected = 0.0
         for value, path in self.paths():
             satisfied: dict[int, np.ndarray] = {}
@@ -105,17 +137,20 @@ class Tree:
             coalitions = [1.0 / m]  # (size)! (m - 1 - size)! / m! by the size of a coalition without the player
             for size in range(1, m):
                 coalitions.append(coalitions[-1] * size / (m - size))
-            before = [np.ones((1, len(x)))]
+            before = [np.ones((1, n))]
             for player in players[:-1]:
                 before.append(_times(before[-1], share[player], satisfied[player]))
-            after = [np.ones((1, len(x)))]
+            after = [np.ones((1, n))]
             for player in players[:0:-1]:
                 after.append(_times(after[-1], share[player], satisfied[player]))
             for i, player in enumerate(players):
-                others = np.zeros((m, len(x)))
+                others = np.zeros((m, n))
                 for j, left_part in enumerate(before[i]):
                     others[j : j + len(after[m - 1 - i])] += left_part * after[m - 1 - i]
-                out[:, player] += weight * value * (satisfied[player] - share[player]) * (np.array(coalitions) @ others)
+                own = weight * value * (satisfied[player] - share[player]) * (np.array(coalitions) @ others)
+                shares[player] = shares[player] + own if player in shares else own
+        for player, own in shares.items():
+            out[:, player] += own if pattern is None else own[pattern]
         return weight * expected
 
 

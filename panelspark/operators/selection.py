@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from panelspark.functions.losses import FocalLoss, LogLoss
 from panelspark.operators.binning import quantile_cuts
-from panelspark.operators.boosting import BoostParams, binned_rows, boost_rows, in_large_parts
+from panelspark.operators.boosting import BoostParams, binned_rows, boost_rows, in_blocks, in_large_parts, narrowed
 from panelspark.operators.forest import shapley_sums_of
 from panelspark.session import checkpoint_frame
 
@@ -17,6 +17,8 @@ from panelspark.session import checkpoint_frame
 TARGETS = (2500, 1500, 500)
 STEPS = 10
 CRITERIA = ("shap", "loss", "importance")
+#: Share of the features of the binned rows from which the others are no longer carried along.
+NARROWER = 0.75
 
 
 def recursive_selection(
@@ -51,11 +53,11 @@ def recursive_selection(
     params, loss = params or BoostParams(), loss or LogLoss()
     train = checkpoint_frame(train.select(id_col, label, features))
     cuts = quantile_cuts(train, features, bins=params.bins)
-    rows = binned_rows(train, label, id_col, cuts, features=features)
+    rows = in_blocks(binned_rows(train, label, id_col, cuts, features=features), len(cuts)).persist()
     scoring = None if criteria == ["importance"] else in_large_parts(train if holdout is None else checkpoint_frame(holdout.select(label, features)))
     kept = {criterion: list(range(len(names))) for criterion in criteria}
     selected: dict[str, dict[int, list[str]]] = {criterion: {} for criterion in criteria}
-    left = len(names)  # features of every criterion
+    left = stored = len(names)  # features of every criterion, and of the rows
     for target in targets:
         surplus = max(left - target, 0)
         for step in range(steps):
@@ -64,6 +66,10 @@ def recursive_selection(
                 break
             drop = max(min(math.ceil(surplus / steps), excess), 0)
             sets = list(dict.fromkeys(tuple(sorted(kept[criterion])) for criterion in criteria))
+            used = set().union(*sets)
+            if len(used) <= NARROWER * stored:
+                wider, rows, stored = rows, narrowed(rows, used).persist(), len(used)
+                wider.unpersist()
             forests = boost_rows(rows, cuts, loss, params, init_score=init_score, allowed=sets).forests
             init_score = forests[0].init_score  # the same rows in every step
             found = {} if scoring is None else {(r["model"], r["feature"]): r for r in shapley_sums_of(scoring, forests, label, loss.values, features).collect()}
@@ -79,4 +85,5 @@ def recursive_selection(
             left -= drop
         for criterion in criteria:
             selected[criterion][target] = [names[f] for f in kept[criterion]]
+    rows.unpersist()
     return selected[by] if isinstance(by, str) else selected

@@ -152,6 +152,53 @@ def test_small_partitions_are_put_together_and_many_give_the_same_trees(data, mo
         np.testing.assert_allclose(found.margins(x), one, atol=1e-9)
 
 
+def test_rows_are_read_as_blocks_by_a_few_tasks_per_core(spark, data, monkeypatch):
+    x, y, df = data
+    cuts = B.quantile_cuts(df, bins=16)
+    monkeypatch.setattr(G, "ROWS", 10)
+    rows = G.binned_rows(df.repartition(40), "y", "id", cuts)
+    assert rows.rdd.getNumPartitions() == G.TASKS * spark.sparkContext.defaultParallelism
+    booster = G.Booster(rows, cuts, LogLoss(), G.BoostParams(max_depth=2))
+    assert booster.rows.count() <= 40 and booster.rows.selectExpr("explode(id)").distinct().count() == 1500
+    for block in booster.rows.limit(2).collect():
+        codes = B.to_bins(x[np.array(block["id"])], cuts)
+        assert block["codes"] == codes.T.tobytes() and block["labels"] == y[np.array(block["id"])].tobytes()
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.3, 2.0])
+def test_narrowed_blocks_and_frequent_codes_give_the_same_trees(data, monkeypatch, frequent):
+    x, y, df = data
+    x = np.where(np.arange(6) % 2 & (np.abs(np.nan_to_num(x)) < 1), 0.0, x)  # a third or more of every other column is 0
+    df = df.withColumn("features", F.expr("transform(features, (v, i) -> if(i % 2 = 1 and abs(coalesce(v, 0)) < 1, 0D, v))"))
+    params = G.BoostParams(rounds=4, max_depth=3, min_rows=10, bins=16, row_share=0.8, checkpoint_every=2)
+    cuts, own = B.quantile_cuts(df, bins=16), [1, 2, 3, 5]
+    monkeypatch.setattr(G, "FREQUENT", frequent)
+    blocks = G.in_blocks(G.binned_rows(df, "y", "id", cuts, "fold"), 6)
+    whole = G.boost_rows(blocks, cuts, LogLoss(), params, allowed=[own]).forests[0]
+    few = G.narrowed(blocks, own)
+    assert few.first()["features"] == np.array(own, dtype=np.int32).tobytes()
+    part = G.boost_rows(few, cuts, LogLoss(), params, allowed=[own, [2]]).forests[0]
+    assert [t.feature for t in part.trees] == [t.feature for t in whole.trees]
+    np.testing.assert_allclose(part.margins(x), whole.margins(x), atol=1e-9)
+    codes = B.to_bins(x, cuts)
+    row = {f: c for f, c in enumerate(np.ascontiguousarray(codes.T))}
+    for tree in whole.trees:
+        assert max(tree.feature) >= 0
+        np.testing.assert_array_equal(tree.coded_leaves(row, len(codes), B.MISSING), tree.binned_leaves(codes, B.MISSING))
+    first = G.BoostParams(rounds=1, learning_rate=1.0, max_depth=3, max_leaves=8, min_rows=10, bins=16)
+    one = G.boost_rows(blocks, cuts, LogLoss(), first, init_score=0.0).forests[0]
+    g, h = LogLoss().derivatives(y, np.zeros(len(y)))
+    np.testing.assert_allclose(one.margins(x), leaf_wise(codes, cuts, g, h, first), atol=1e-9)
+
+
+def test_shapley_values_of_equal_ways_are_computed_once(data, monkeypatch):
+    x, _, df = data
+    forest = G.boost(df, "y", "id", params=G.BoostParams(rounds=3, max_depth=3, min_rows=10, bins=16)).forests[0]
+    once = forest.shapley(x)
+    monkeypatch.setattr(T, "PATTERN", -1)
+    np.testing.assert_allclose(once, forest.shapley(x), atol=1e-12)
+
+
 def test_models_on_features_of_their_own_are_those_grown_alone(data):
     x, y, df = data
     params = G.BoostParams(rounds=4, max_depth=3, min_rows=10, bins=16, column_share=0.7, checkpoint_every=2)
